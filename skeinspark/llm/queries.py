@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from skeinspark.llm import exact_dedup, line_dedup
+from skeinspark.llm import decontaminate, exact_dedup, line_dedup, secrets
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op6_secrets": secrets.op6_secrets,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 SQL = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
