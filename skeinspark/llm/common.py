@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,17 @@ def materialize(df: DataFrame) -> DataFrame:
 def crc_mod(c: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null for a null id."""
     return F.pmod(F.crc32(c.cast("string")), F.lit(n))
+
+
+def map_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable], schema: str) -> DataFrame:
+    """Runs a function over Arrow batches of texts. make() is called once a task and gives f(texts) -> a list of columns, which follow doc_id; null texts come as ''."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            texts = ["" if x is None else x for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *f(texts)], names=names)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    names = ["doc_id", *[part.strip().split(" ")[0] for part in schema.split(",")]]
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, {schema}")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from skeinspark.llm import decontaminate, exact_dedup, line_dedup, secrets
+from skeinspark.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, secrets
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_bpe": bpe.op3_bpe,
+    "op5_quality": quality.op5_quality,
     "op6_secrets": secrets.op6_secrets,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
