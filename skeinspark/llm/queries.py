@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinspark.llm import bpe, decontaminate, exact_dedup, line_dedup, quality, secrets
+from skeinspark.llm import bpe, decontaminate, exact_dedup, line_dedup, pii, quality, secrets
 
 QUERIES = {
     "op2_decontaminate": decontaminate.op2_decontaminate,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_pii": pii.op9_pii,
 }
 
 SQL = {
