@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeinspark.llm.common import SPACES, ascii_lower, read
+from skeinspark.llm.common import SPACES, ascii_lower, materialize, read
 
 WORD = 64
 
@@ -33,13 +33,14 @@ def line_occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int
     rows = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), _row_key(F.col(text_col)).alias("rk"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line")
     )
-    rows = rows.filter(F.char_length("line") >= min_chars).withColumn("key", ascii_lower(F.btrim("line", F.lit(SPACES))))
-    return rows.filter(F.char_length("key") >= min_chars).select(F.unhex(F.substring(F.sha2("key", 256), 1, 32)).alias("h"), "doc_id", "rk", "pos")
+    rows = rows.filter(F.char_length("line") >= min_chars).withColumn("line", F.btrim("line", F.lit(SPACES))).filter(F.char_length("line") >= min_chars)
+    return rows.select(F.unhex(F.substring(F.sha2(ascii_lower(F.col("line")), 256), 1, 32)).alias("h"), "doc_id", "rk", "pos")
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3, slices: int = 32) -> DataFrame:
     """doc_id, rk, keep array<bigint>, n_dropped: only documents that lose lines. Bit i % 64 of word i / 64 is set if line i stays; later lines stay."""
-    found = line_occurrences(docs, id_col, text_col, min_chars).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
+    # written once: the sampling of the ranges, the sort and the way back to the occurrences all read it
+    found = materialize(line_occurrences(docs, id_col, text_col, min_chars)).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
     ranged = found.repartitionByRange("h", "slice")
     order = Window.partitionBy("h", "slice").orderBy(F.col("doc_id").desc(), "rk", "pos")
     before = F.lag("doc_id").over(order)
