@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from skeinspark.llm import bpe, decontaminate, exact_dedup, line_dedup, pii, quality, secrets
+from skeinspark.llm import bpe, decontaminate, exact_dedup, language_model, line_dedup, pii, quality, secrets
 
 QUERIES = {
+    "op1_lm_score": language_model.op1_lm_score,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_bpe": bpe.op3_bpe,
     "op5_quality": quality.op5_quality,
