@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinspark.llm import bpe, decontaminate, exact_dedup, language_model, line_dedup, pii, quality, secrets
+from skeinspark.llm import bpe, decontaminate, exact_dedup, language_model, line_dedup, near_dup, pii, quality, secrets
 
 QUERIES = {
     "op1_lm_score": language_model.op1_lm_score,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_pii": pii.op9_pii,
+    "op10_ngram_jaccard": near_dup.op10_ngram_jaccard,
 }
 
 SQL = {
