@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from skeinspark.llm import bpe, decontaminate, exact_dedup, language_model, line_dedup, near_dup, pii, quality, secrets
+from skeinspark.llm import bpe, decontaminate, exact_dedup, language_model, line_dedup, near_dup, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_lm_score": language_model.op1_lm_score,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_bpe": bpe.op3_bpe,
+    "op4_warc_revisit": warc.op4_warc_revisit,
     "op5_quality": quality.op5_quality,
     "op6_secrets": secrets.op6_secrets,
     "op7_line_dedup": line_dedup.op7_line_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op4_warc_revisit": warc.OP4_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
 }
