@@ -1,6 +1,68 @@
-STAGES = []
+"""From documents to token ids: five stages, each on all that the one before it kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again for the next. All but
+the last return the columns of documents; the last returns doc_id, n_tokens, ids_sha256, decoded_sha256 and ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skeinspark.llm import bpe, decontaminate, line_dedup, near_dup, quality
+from skeinspark.llm.common import materialize, read
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from the labels that op5 may learn from."""
+    return quality.keep_good(docs, quality.fit(docs, quality.learnable(read(spark, sf_dir, "labels"))))
+
+
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that three or more documents share stay in the last of them only; n_chars follows the text. Documents all stay."""
+    out = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    text = F.when(F.col("__dropped") > 0, F.col("__kept")).otherwise(F.col("text"))
+    chars = F.when(F.col("__dropped") > 0, F.char_length("__kept").cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", chars).withColumn("text", text).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of the smallest id stays."""
+    found = near_dup.near_duplicates(docs)
+    extra = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(extra, F.col("doc_id") == F.col("__id"), "left_anti")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of any benchmark item go."""
+    windows = decontaminate.item_windows(read(spark, sf_dir, "benchmark"), 8)
+    hits = decontaminate.window_hits(docs, windows)
+    dirty = hits.select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of every document that is left."""
+    return bpe.encode(docs, bpe.vocabulary())
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_deduplication),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("BPE encoding", bpe_encoding),
+]
+
+#: A trained classifier and a connected-components stage are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents, each one's result written and read again before the next."""
+    docs = read(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialize(docs)
+    return docs
