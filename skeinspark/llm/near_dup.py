@@ -11,11 +11,12 @@ most frequent ones are counted over all documents; a bounded list of them is bro
 many, so common lines and passages, and empty blocks, seldom make candidates. A document is offered to its own band, and to
 the next lower one if a partner there can be similar enough.
 
-Candidates. Documents that offer the same block are not paired with each other but, first, with the smallest one of them;
-blocks that are common are salted before. These pairs are verified: by size, by the Hamming distance of fixed sketches, then
-exactly on the sets. Links give components. Then pairs of documents that share a block but are not connected yet, and those
-alone, are verified in the same way, and components are final: every two documents that share a block were either compared or
-are connected, so no component misses a link.
+Candidates. Documents that offer the same block are not paired with each other but, first, with one of them: the one that
+shares most blocks with most others, as the original of many copies does. (A window over each block, salted if the block is
+common, finds who shares it at all.) These pairs are verified: by size, by the Hamming distance of fixed sketches, then exactly
+on the sets. Links give components. Then pairs of documents that share a block but are not connected yet, and those alone, are
+verified in the same way, and components are final: every two documents that share a block were either compared or are
+connected, so no component misses a link.
 
 Defined cases: null, empty and wordless texts have no shingles and no links; texts of fewer words than a shingle have one; rows
 without an id have no component (null); repeated rows share theirs; an empty table gives an empty result.
@@ -28,7 +29,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinspark.llm.common import materialize, read
@@ -222,13 +223,17 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return rows.join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
+def may_link(percent: int) -> Column:
+    """Of na, sketcha, nb, sketchb: sizes and the Hamming distance of the fixed sketches allow the similarity."""
+    apart = F.aggregate(F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: the pairs whose sets are similar enough."""
     slim = [sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}")) for x in "ab"]
-    near = pairs.join(slim[0], "a").join(slim[1], "b")
-    apart = F.aggregate(F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = near.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    near = near.filter((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+    near = pairs.join(slim[0], "a").join(slim[1], "b").filter(may_link(percent)).select("a", "b")
     full = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab"]
     both = F.size(F.array_intersect("sa", "sb"))
     checked = near.join(full[0], "a").join(full[1], "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("all"))
@@ -250,21 +255,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     shares = sharers(offered(docs, size, bands, hot))
     member = shares.join(nodes, "sig").join(nodes.select(F.col("sig").alias("leader"), F.col("node").alias("head")), "leader")
     member = materialize(member.select("key", "node", "head"))
-    wanted = member.select("node").union(member.select("head")).distinct()
-    sets = materialize(sets_of(docs, wanted, size))
-
-    ordered = F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")
-    links = materialize(verified(member.select(*ordered).distinct(), sets, percent))
+    # who shares a block: the original of many copies shares most, with most, and so leads its blocks
+    holds = materialize(member.select("key", "node").union(member.select("key", "head")).distinct())
+    crowd = holds.join(holds.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
+    weight = crowd.groupBy("node").agg(F.sum("size").alias("weight"))
+    lead = holds.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("head"))
+    sets = materialize(sets_of(docs, holds.select("node").distinct(), size))
+
+    pairs = holds.join(lead, "key").filter("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    pairs = materialize(pairs)
+    links = materialize(verified(pairs, sets, percent))
     roots = components(links)
 
     # who shares a block with somebody of another component
-    holds = member.select("key", "node").union(member.select("key", "head")).distinct()
-    holds = holds.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = holds.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    holds = materialize(holds.join(split, "key", "left_semi"))
-    other = holds.select("key", F.col("node").alias("node2"), F.col("root").alias("root2"))
-    pairs = holds.join(other, "key").filter("root < root2").select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-    more = materialize(verified(pairs.join(member.select(*ordered).distinct(), ["a", "b"], "left_anti"), sets, percent))
+    apart = holds.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    split = apart.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+    apart = apart.join(split, "key", "left_semi").join(sets.select("node", "n", "sketch"), "node")
+    left, right = (apart.select("key", F.col("node").alias(x), F.col("root").alias(f"root{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}")) for x in "ab")
+    other = left.join(right, (left["key"] == right["key"]) & (F.col("roota") < F.col("rootb")) & may_link(percent))
+    other = other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = materialize(verified(other.join(pairs, ["a", "b"], "left_anti"), sets, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
 
