@@ -39,7 +39,7 @@ from skeinspark.llm.common import crc_mod, materialize, read
 END = b""
 VOCABULARY, HEAD, CONTEXTS, CLASSES = 400_000, 2048, 512, 64
 FLUSH = 1_000_000
-BURN_IN, SWEEPS, DRAWS = 4, 8, 3
+BURN_IN, SWEEPS, DRAWS = 3, 5, 3
 STRENGTH = 1.0
 
 
@@ -56,40 +56,38 @@ def word_class(word: bytes) -> int:
 START = CLASSES - 1
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series, after the argument is raised to 8 at least."""
-    x = np.asarray(x, float)
-    low = np.maximum(0, np.ceil(8 - x))
-    shift = np.zeros_like(x)
-    for i in range(9):
-        shift += np.where(i < low, np.log(np.where(i < low, x + i, 1)), 0)
-    z = x + low
-    return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) - shift
+def seat(c: np.ndarray, strength: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator, draws: int = DRAWS, at_once: int = 100_000) -> np.ndarray:
+    """Tables for blocks of c customers each. strength: concentration plus discount times the restaurant's other tables.
 
+    Customers come one by one at first and then in runs of a sixteenth of those seated, for which the chance of a new table is
+    held at the middle of the run; so a block takes steps in proportion to the logarithm of its customers.
+    """
+    c, strength, base = (np.asarray(x, float) for x in (c, strength, base))
+    out = np.minimum(c, 1.0)
+    many = np.flatnonzero(c > 1)
+    for first in range(0, len(many), at_once):
+        part = many[first : first + at_once]
+        out[part] = _seat(c[part], strength[part], base[part], d, rng, draws)
+    return out
 
-def seat(c: np.ndarray, strength: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator, draws: int = DRAWS) -> np.ndarray:
-    """Tables for blocks of c customers each. strength: concentration plus discount times the restaurant's other tables."""
-    if not len(c):
-        return np.zeros(0)
+
+def _seat(c: np.ndarray, strength: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator, draws: int) -> np.ndarray:
     n = len(c)
-    c, s, p = (np.tile(np.asarray(x, float), draws) for x in (c, strength, base))
-    t, i = np.ones(len(c)), np.ones(len(c))
-    weight = np.zeros(len(c))
-    on = np.flatnonzero(i < c)
+    c, s, p = (np.tile(x, draws) for x in (c, strength, base))
+    t, i, weight = np.ones(len(c)), np.ones(len(c)), np.zeros(len(c))
+    on = np.arange(len(c))
     while len(on):
-        # j customers are seated when the next table opens; the chance that none of k does, a ratio of gamma functions, is nearly (x' / (x' + k)) ** a and is inverted
-        a = (s[on] + d * t[on]) * p[on]
-        x = i[on] - d * t[on]
-        u = rng.random(len(on))
-        first = u < a / (x + a)
-        with np.errstate(over="ignore"):
-            rest = ((1 - u) * (x + a) / x).clip(1e-300, 1) ** (-1 / a)
-            k = np.ceil((x + (a + 1) / 2) * rest - (a - 1) / 2 - x - 1)
-        j = np.minimum(i[on] + np.where(first, 0, np.clip(k, 1, 1e15)), c[on])
-        end = np.minimum(j + 1, c[on])
-        weight[on] += log_gamma(end - d * t[on] + a) - log_gamma(x + a)
-        t[on] += j < c[on]
-        i[on] = end
+        seated, tables = i[on], t[on]
+        run = np.minimum(np.maximum(1, np.floor(seated / 16)), c[on] - seated)
+        fresh = (s[on] + d * tables) * p[on]
+        all_ = seated + (run - 1) / 2 - d * tables + fresh
+        chance = np.clip(fresh / all_, 0, 1)
+        opened = np.where(run == 1, rng.random(len(on)) < chance, 0)
+        long = np.flatnonzero(run > 1)
+        opened[long] = rng.binomial(run[long].astype(np.int64), chance[long])
+        weight[on] += run * np.log(all_)
+        t[on] += opened
+        i[on] += run
         on = on[i[on] < c[on]]
     w = weight.reshape(draws, n)
     w = np.exp(w - w.max(0)).cumsum(0)
