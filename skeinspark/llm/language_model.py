@@ -236,15 +236,20 @@ def count_follow(train: DataFrame, text_col: str, words: list[bytes], context_id
 def fit(train: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, head: int = HEAD, contexts: int = CONTEXTS) -> tuple[Model, DataFrame]:
     """The model, and the counts of all words as a table in the shared folder."""
     counts = materialize(count_words(train, text_col))
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    hist = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("c")
+    n_tokens, n_types = int((hist["c"] * hist["n"]).sum()), int(hist["n"].sum())
+    # words above a count, so many as fit: every task sends its own share, and ties are never cut
+    above = hist["n"][::-1].cumsum()[::-1]
+    cut = int(hist["c"][above > vocabulary].max()) if (above > vocabulary).any() else 0
+    top = counts.filter((F.col("c") > cut) | (F.col("word") == END)).toPandas()
     # the end token comes first, so that it is a dish of its own
-    top = counts.orderBy((F.col("word") == END).desc(), F.col("c").desc(), "word").limit(vocabulary).toPandas()
-    words, c = [bytes(w) for w in top["word"]], top["c"].to_numpy(np.int64)
+    order = sorted(range(len(top)), key=lambda i, w=top["word"].tolist(), c=top["c"].tolist(): (w[i] != END, -c[i], w[i]))
+    words, c = [bytes(top["word"].iat[i]) for i in order], top["c"].to_numpy(np.int64)[order]
+    del top, order
     head, contexts = max(1, min(head, len(words))), min(contexts, len(words))
-    model = Model(words, c, int(total.n), int(total.v), np.zeros((0, 0)), c[:0], np.zeros(0), contexts, head)
+    model = Model(words, c, n_tokens, n_types, np.zeros((0, 0)), c[:0], np.zeros(0), contexts, head)
     cells = count_follow(train, text_col, words, model.context_ids(), head, contexts)
     model.follow = sample_follow(cells, np.array([word_class(w) for w in words[:contexts]], np.int64))
-    hist = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).toPandas()
     types = Counter(dict(zip(hist["c"].tolist(), hist["n"].tolist(), strict=True)))
     types.subtract(c[:head].tolist())
     pairs = sorted((k, n) for k, n in types.items() if n > 0)
