@@ -82,7 +82,7 @@ def _recoverable(spark: SparkSession, d: str) -> DataFrame:
 def _paragraphs(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d).withColumn("text", F.regexp_replace("text", "\n", "\n\n"))
     got = documents.paragraphs(docs, "doc_id", "text", 100_000_000)
-    return got.select(F.col("id").alias("doc_id"), "start", "end", F.sha2("text", 256).alias("text_sha256"))
+    return got.select(F.col("id").alias("doc_id"), F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -188,7 +188,7 @@ def _sql() -> dict[str, str]:
         "update_fields": f"{g}\nSELECT id, type, CASE WHEN segment = 'BUILDING' THEN 'patched' ELSE label END AS label, CASE WHEN segment = 'BUILDING' THEN 0.125 ELSE salience END AS salience, CASE WHEN segment = 'BUILDING' THEN '{NOW}' ELSE updated_at END AS updated_at FROM nodes WHERE type = 'Customer'",
         "remove_nodes": f"{g}\nSELECT e.id FROM edges e JOIN nodes c ON c.id = e.from_id AND c.type = 'Customer' JOIN nodes n ON n.id = e.to_id AND n.type = 'Nation' AND n.salience >= 0.1 WHERE e.type = 'IN_NATION'",
         "recoverable": "SELECT p_partkey AS artifact_id FROM part WHERE p_partkey % 2 <> 0 AND p_partkey % 5 <> 0",
-        "paragraphs": "WITH l AS (SELECT doc_id, line, i, sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 2 AS p0 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) SELECT doc_id, p0 AS "start", p0 + length(line) AS "end", sha256(line) AS text_sha256 FROM l WHERE trim(line) <> ''",
+        "paragraphs": "WITH l AS (SELECT doc_id, line, i, sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 2 AS p0 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) SELECT doc_id, p0 AS start_at, p0 + length(line) AS end_at, sha256(line) AS text_sha256 FROM l WHERE trim(line) <> ''",
         "finding_priority": "WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 AND p_partkey % 4 <> 0 THEN 'high' WHEN p_partkey % 4 <> 0 THEN 'medium' ELSE 'low' END AS priority FROM part) SELECT p_partkey, priority, CASE WHEN priority = 'high' AND p_partkey % 5 <> 0 THEN 'safe' WHEN p_partkey % 5 = 0 THEN 'risky' ELSE 'validate' END AS safety FROM p",
         "generic_high_degree": f"{g}, e2 AS (SELECT * FROM edges WHERE type = 'IN_NATION'), d AS (SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM e2 UNION ALL SELECT to_id FROM e2) GROUP BY id HAVING count(*) >= 3)\nSELECT n.id, n.label, degree FROM nodes n JOIN d ON d.id = n.id WHERE n.type IN ('Nation', 'Supplier') ORDER BY degree DESC, n.id LIMIT 10",
         "export_json": f"{g}\nSELECT 'node' AS kind, id FROM nodes WHERE type IN ('Nation', 'Region') UNION ALL SELECT 'edge', id FROM edges WHERE type = 'IN_REGION'",
