@@ -25,6 +25,7 @@ without an id have no component (null); repeated rows share theirs; an empty tab
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,10 @@ from skeinspark.llm.components import components
 CACHED_WORDS = 300_000
 SEEN = 200_000
 #: Blocks that a batch has HOT_LOCAL times are counted; those that add up to HOT_LEAST go to the broadcast list, HOT_MOST at most.
-HOT_LOCAL, HOT_LEAST, HOT_MOST, SALTS = 8, 32, 100_000, 64
+HOT_LOCAL, HOT_LEAST, HOT_MOST, SALTS = 4, 32, 100_000, 64
 FIXED_BITS = 1024
+#: Rows of a batch that are worked on at once; their blocks, hundreds each, are held in memory together.
+AT_ONCE = 1000
 FILTER_WORDS = 1 << 17
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -120,6 +123,12 @@ class Bands:
         return mix(value + mix(np.arange(n, dtype=np.uint64) * M1 + np.uint64(g + 1))).view(np.int64), count, offer
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
 class Hot:
     """Counts of the common blocks; 0 for others."""
 
@@ -139,7 +148,7 @@ def describe(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
 
     def run(batches):
         shingle = Shingler(size)
-        for batch in batches:
+        for batch in pieces(batches):
             n, sig, keys, fresh = [], [], [], set()
             for text in batch.column(1).to_pylist():
                 s = shingle(text)
@@ -165,7 +174,7 @@ def offered(docs: DataFrame, size: int, bands: Bands, hot: Hot) -> DataFrame:
 
     def run(batches):
         shingle, hot, seen = Shingler(size), shared.value, set()
-        for batch in batches:
+        for batch in pieces(batches):
             keys, salts, sigs = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle(text)
