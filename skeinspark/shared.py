@@ -19,9 +19,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: What this process has written; release() deletes it.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder as Parquet and reads it back: the lineage ends in files that outlive any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/skein-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that materialize() has written; results that still read them are no longer usable."""
+    conf, jvm, n = spark._jsc.hadoopConfiguration(), spark._jvm, len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n

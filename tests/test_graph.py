@@ -226,6 +226,15 @@ def test_overlay(spark):
     assert overlay.items(overlay.complete(new, task_id, NOW), status="done").count() == 1
 
 
+def test_release(spark):
+    from skeinspark.shared import materialize, release
+
+    kept = materialize(spark.range(3))
+    assert kept.count() == 3 and release(spark) >= 1
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST"):
+        spark.read.parquet(kept.inputFiles()[0]).count()
+
+
 def test_guarded_session(spark, tmp_path):
     s = GraphSession(spark, str(tmp_path / "g"), make(spark, [{"id": "a", "type": "T"}]), guarded=True)
     with pytest.raises(EvaluationProblem):
