@@ -26,6 +26,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -234,7 +236,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 def may_link(percent: int) -> Column:
     """Of na, sketcha, nb, sketchb: sizes and the Hamming distance of the fixed sketches allow the similarity."""
-    apart = F.aggregate(F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    # written out word by word, this is compiled into the join; a lambda would be interpreted for every pair
+    words = [F.bit_count(F.get("sketcha", F.lit(i)).bitwiseXOR(F.get("sketchb", F.lit(i)))) for i in range(FIXED_BITS // 64)]
+    apart = reduce(add, words)
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
     return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
 
