@@ -41,7 +41,21 @@ def fragments(documents: DataFrame) -> DataFrame:
     return lines.filter(F.trim("line") != "")
 
 
+#: Plans, not data, of the graphs that this process has bound last, by application and folder.
+_bound: dict[tuple[str, str], Graph] = {}
+
+
 def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
+    """The graph of the tables in a folder. Its plan is kept, as a catalog keeps a view's, so that later queries don't analyse it anew."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _bound:
+        if len(_bound) >= 8:
+            _bound.clear()
+        _bound[key] = _graph(spark, sf_dir)
+    return _bound[key]
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> Graph:
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")}
     c = F.col
     lines = fragments(t["documents"])
