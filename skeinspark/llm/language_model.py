@@ -115,11 +115,19 @@ class Model:
     head: int
 
     def context_ids(self) -> np.ndarray:
-        """The row of follow for what comes after each word; the last: after a word outside the vocabulary of `words`."""
+        """The row of follow for what comes after each word; the last stands for words outside the vocabulary of `words`, which follows() gives their own class."""
         near = [i if i < self.contexts else self.contexts + word_class(w) for i, w in enumerate(self.words)]
         return np.array([*near, self.contexts + word_class(b"")], np.int64)
 
 
+def follows(x: np.ndarray, words: list[bytes], outside: int, after: np.ndarray, contexts: int) -> np.ndarray:
+    """The row of follow for each token of a text: by the word before it, whose class comes from its own bytes if it is outside the vocabulary."""
+    prev = np.concatenate([[contexts + START], after[x[:-1]]])
+    for i in np.flatnonzero(x[:-1] == outside).tolist():
+        prev[i + 1] = contexts + word_class(words[i])
+    return prev
+
+
 def sample_follow(cells: np.ndarray, parents: np.ndarray, seed: int = 3) -> np.ndarray:
     """cells: counts of dishes after contexts, then after classes (the last rows); parents: each context's class. Averaged predictive log10 probabilities."""
     rng = np.random.default_rng(seed)
@@ -217,8 +225,9 @@ def count_follow(train: DataFrame, text_col: str, words: list[bytes], context_id
         for batch in batches:
             cells = []
             for text in batch.column(0).to_pylist():
-                x = np.array([ids.get(w, -1) for w in tokens(text)] + [0], np.int64)
-                prev = np.concatenate([[contexts + START], after[x[:-1]]])
+                words = tokens(text)
+                x = np.array([ids.get(w, -1) for w in words] + [0], np.int64)
+                prev = follows(x, words, -1, after, contexts)
                 cells.append(prev * width + np.where((x < 0) | (x >= head), head, x))
             if cells:
                 table += np.bincount(np.concatenate(cells), minlength=len(table))
@@ -281,7 +290,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = tokens(text)
                 x = np.array([ids.get(w, outside) for w in words] + [ids.get(END, outside)], np.int64)
-                prev = np.concatenate([[contexts + START], after[x[:-1]]])
+                prev = follows(x, words, outside, after, contexts)
                 value = follow[prev, np.minimum(x, head)].sum() + own[x].sum()
                 strange = x == outside
                 missing = Counter([*words, END][i] for i in np.flatnonzero(strange).tolist())

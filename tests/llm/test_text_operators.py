@@ -220,6 +220,17 @@ def test_language_model_probabilities_sum_to_one(spark, sf):
         assert math.isclose(r.base_score, small[r.doc_id].base_score, rel_tol=1e-9) and r.n_known == small[r.doc_id].n_known
 
 
+def test_class_of_a_context_does_not_depend_on_the_vocabulary(spark):
+    """Words outside the broadcast vocabulary back off to the class of their own bytes, in training and in scoring."""
+    rare = [f"x{i:02d}{'ab'[i % 2]}q" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join(f"{w} {'left' if w[3] == 'a' else 'right'}" for w in rare)) for i in range(4)], "doc_id bigint, text string")
+    scores = []
+    for vocabulary in (3, 400_000):
+        model, counts = language_model.fit(docs, vocabulary=vocabulary, head=3, contexts=1)
+        scores.append(sorted(r.score for r in language_model.score(docs, model, counts).collect()))
+    assert np.allclose(*scores, rtol=1e-9)
+
+
 def test_seating_follows_the_restaurant():
     rng = np.random.default_rng(0)
     for c, s, p, d in [(5, 1.0, 0.5, 0.5), (200, 2.0, 0.3, 0.7)]:
