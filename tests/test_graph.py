@@ -211,6 +211,14 @@ def test_findings(spark):
     assert [(r.directory, r.file_count) for r in findings.orphan_directories(files, links).collect()] == [("a", 2)]
 
 
+def test_unused_symbols_reads_every_edge(spark, sf):
+    from skeinspark.queries import QUERIES
+
+    used = {r.l_partkey for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey").distinct().collect()}
+    parts = {r.p_partkey for r in spark.read.parquet(f"{sf}/part.parquet").select("p_partkey").collect()}
+    assert {r.id for r in QUERIES["unused_symbols"](spark, sf).collect()} == {f"part:{k}" for k in parts - used}
+
+
 def test_overlay(spark):
     std = make(spark, [{"id": "f", "type": "Function", "label": "f"}, {"id": "file", "type": "File", "label": "x", "relative_path": "src/x.py"}, {"id": "t", "type": "Topic"}], [edge("file", "DEFINES", "f")], relative_path="string")
     mine = overlay.derive(std)
