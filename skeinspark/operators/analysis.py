@@ -2,7 +2,7 @@
 
 Communities: the label propagation sweeps nodes in the order of their ids, so a sweep depends on the one before; but components
 don't touch each other, and each is swept by itself in one pandas group. Components of more than `at_most` nodes would be an
-unbounded group: they are propagated level by level in joins instead (the documented other form for giant components).
+unbounded group: the same sweep is worked out in joins instead.
 """
 
 from __future__ import annotations
@@ -84,11 +84,37 @@ def propagate(adj: DataFrame, rounds: int = 12, at_most: int = 100_000) -> DataF
     giant = adj.filter(F.col("size") > at_most).select("node", "neighbour", "weight")
     if giant.isEmpty():
         return small
-    labels = materialize(giant.select("node").distinct().withColumn("label", F.col("node")))
+    return small.union(sweep_by_joins(giant, rounds))
+
+
+def sweep_by_joins(adj: DataFrame, rounds: int) -> DataFrame:
+    """node, label: the same as sweep(), for components of any size.
+
+    In a round a node sees this round's labels of smaller ids and the last round's of the others, itself among them. Starting
+    from the last round's labels, all nodes are set again until none changes: after i times those are right whose chains of
+    ever smaller neighbours are shorter than i, so the end is the sequential sweep's, in as many joins as the longest chain.
+    """
+    last = materialize(adj.select("node").distinct().withColumn("label", F.col("node")))
     for _ in range(rounds):
-        votes = giant.join(labels.withColumnsRenamed({"node": "neighbour"}), "neighbour").groupBy("node", "label").agg(F.sum("weight").alias("weight"))
-        labels = materialize(votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("weight"), "label")).alias("label")))
-    return small.union(labels)
+        now = last
+        while True:
+            seen = last.join(now.withColumnRenamed("label", "new"), "node").withColumnRenamed("node", "neighbour")
+            votes = adj.join(seen, "neighbour").select("node", F.when(F.col("neighbour") < F.col("node"), F.col("new")).otherwise(F.col("label")).alias("label"), "weight")
+            votes = votes.groupBy("node", "label").agg(F.sum("weight").alias("weight"))
+            after = materialize(votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("weight"), "label")).alias("label")))
+            settled = _same(now, after)
+            now = after
+            if settled:
+                break
+        moved = not _same(last, now)
+        last = now
+        if not moved:
+            break
+    return last
+
+
+def _same(a: DataFrame, b: DataFrame) -> bool:
+    return a.join(b.withColumnRenamed("label", "other"), "node").filter("label <> other").isEmpty()
 
 
 def communities(graph: Graph, nodes: DataFrame | None = None, rounds: int = 12, least: int = 2, limit: int | None = None) -> tuple[DataFrame, DataFrame]:

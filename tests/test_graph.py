@@ -125,6 +125,18 @@ def test_sweep_per_component_is_the_global_sweep(spark):
             assert got == analysis.sweep(table, 12)
 
 
+def test_giant_components_are_swept_like_small_ones(spark):
+    pairs = [(f"l{i}", f"r{j}", 1.0) for i in range(3) for j in range(3)] + [("l0", "a", 0.5), ("a", "z", 2.0), ("z", "r2", 0.5), ("a", "a", 1.0)]
+    adj = spark.createDataFrame([(a, b, w) for a, b, w in pairs] + [(b, a, w) for a, b, w in pairs if a != b], "node string, neighbour string, weight double")
+    table = {}
+    for r in adj.collect():
+        table.setdefault(r.node, {})[r.neighbour] = r.weight
+    want = analysis.sweep(table, 12)
+    assert len({want[n] for n in want if n[0] in "lr"}) == 1
+    for giant in (0, 100_000):
+        assert {r.node: r.label for r in analysis.propagate(adj, at_most=giant).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
