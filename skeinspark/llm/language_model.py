@@ -1,21 +1,23 @@
 """Language-model scoring by a hierarchical Pitman-Yor model over words.
 
-Restaurants. The dishes are the `head` most frequent training words and one dish for all rarer words. Each of the `contexts`
-most frequent words has a restaurant for what follows it; contexts of one class (by their last letters) share a parent
-restaurant, which also seats what follows the rarer words of its class; the classes share the unigram restaurant, whose base
-is uniform. What the rare dish stands for is drawn from a further restaurant over the rarer words, with a uniform base over
-them and one unknown word. So a text's probability is a product of two predictive probabilities for rare words and one for
-the others, and it sums to one over the vocabulary with the unknown word.
+Restaurants. Every word that is followed by another in training has a restaurant for what follows it, in which every word is a
+dish of its own. Contexts of one class (by their last letters) share a parent restaurant and the classes the unigram
+restaurant, whose base is uniform. In these parents the dishes are the `head` most frequent words and one dish for all rarer
+words; what that stands for is drawn from a further restaurant over the rarer words, with a uniform base over them and one
+unknown word. So a probability that falls back to the parents is a product of two for rare words, and all sum to one over the
+vocabulary with the unknown word.
 
 Seating. Which dish a customer eats is observed, so the state is how many tables serve each dish in each restaurant. A Gibbs
 sweep reseats, level by level, all customers of a dish in a restaurant as one block given the rest: some sequential seatings
 are drawn, each customer opening a table by the Pitman-Yor rule, and one of them is kept with the chance of its importance
-weight. Blocks of a level are redrawn together, given the sweep before. Discounts come from the counts of counts. The
-predictive probabilities are averaged over the sweeps after burn-in.
+weight. Blocks of a level are redrawn together, given the sweep before. A pair that occurs once has one table always.
+Discounts come from the counts of counts. Scores are of the tables and parents' probabilities averaged over the sweeps after
+burn-in.
 
-Size. Word counts and the lookup of words outside the `vocabulary` most frequent ones are shuffles that grow with the corpus.
-What reaches the driver or is broadcast is bounded: `vocabulary` words, (contexts + classes) x (head + 1) cells, and a row for
-each distinct word count (at most the square root of twice the tokens).
+Size. Pairs of words are counted and seated in buckets of whole restaurants, packed in rows, whose number grows with the corpus;
+texts ask the buckets for what their pairs add. The largest restaurant is one row. What reaches the driver or is broadcast is
+bounded: `vocabulary` words with the weights of `contexts` of them, classes x (head + 1) cells, and a row for each distinct
+word count (at most the square root of twice the tokens).
 
 Defined cases: a null or empty text is its end token; a row without an id isn't learned from and isn't held out; repeated rows
 are learned from and scored as often as they occur; without training rows every base score is 0.
@@ -23,6 +25,7 @@ are learned from and scored as often as they occur; without training rows every
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -30,17 +33,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinspark.llm.common import crc_mod, materialize, read
+from skeinspark.llm.common import crc_mod, discard, materialize, read
 
 END = b""
-VOCABULARY, HEAD, CONTEXTS, CLASSES = 400_000, 2048, 512, 64
+VOCABULARY, HEAD, CONTEXTS, CLASSES = 400_000, 2048, 400_000, 64
 FLUSH = 1_000_000
 BURN_IN, SWEEPS, DRAWS = 3, 5, 3
 STRENGTH = 1.0
+#: Training tokens to a bucket of contexts.
+SHARE = 1_000_000
+BITS = 24
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -100,9 +107,70 @@ def discount(c: np.ndarray) -> float:
     return float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
 
 
+def word_key(word: bytes) -> int:
+    """57 bits of a word's hash and its class; two of n words share them with a chance of about n squared / 2^58."""
+    return (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 7) << 6 | word_class(word)
+
+
+def keys_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(word_key, words), np.int64, len(words))
+
+
+#: Contexts and words go by codes: the place in the vocabulary, or -1 - key outside it. No word holds a blank, so these are no word's codes: the start of a text, and under what words outside the vocabulary are looked up.
+START_CODE, WORD_CODE = (-1 - (word_key(w) >> 6 << 6 | START) for w in (b" start", b" word"))
+
+
+def key_at(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return np.where(codes < 0, -1 - codes, keys[np.maximum(codes, 0)] if len(keys) else 0)
+
+
+def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((codes * np.int64(0x5851F42D4C957F2D)) >> 33 & 0x3FFFFFFF) % buckets
+
+
+def mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return (u * np.int64(0x5851F42D4C957F2D) ^ w) * np.int64(0x14057B7EF767814F)
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Eight-byte numbers, compressed byte by byte of their places."""
+    raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), 8).T).tobytes()
+    return len(a).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(raw, asbytes=True) if len(a) else b"")
+
+
+def unpack(b: bytes, kind: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    if not n:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(b[8:], 8 * n), np.uint8)
+    return np.ascontiguousarray(raw.reshape(8, n).T).view(kind).ravel()
+
+
+def parts(bucket: np.ndarray, *cols: np.ndarray):
+    """(bucket, columns) of each bucket that has rows."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, cols = bucket[order], [c[order] for c in cols]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+    for i, j in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
+        yield int(bucket[i]), [c[i:j] for c in cols]
+
+
+def one_by_one(batch: pa.RecordBatch):
+    """The rows of a batch of large values, of which one is copied at a time."""
+    for i in range(batch.num_rows):
+        yield [c[i].as_py() for c in batch.columns]
+
+
+def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
 @dataclass
 class Model:
-    """log10 probabilities: follow[context or class, dish], and rare[count] of a rarer word of that count, given that it is one."""
+    """log10 probabilities: follow[class, dish], rare[count] of a rarer word of that count, given that it is one; own[word] the weight with which a context word falls back to its class.
+
+    gains: by bucket of contexts, packed: for pairs seen in training what they add to the fall-back of their context, and the weights of all contexts.
+    """
 
     words: list[bytes]
     counts: np.ndarray
@@ -113,63 +181,268 @@ class Model:
     rare_logs: np.ndarray
     contexts: int
     head: int
+    own: np.ndarray | None = None
+    start: float = 0.0
+    gains: DataFrame | None = None
+    buckets: int = 1
 
-    def context_ids(self) -> np.ndarray:
-        """The row of follow for what comes after each word; the last stands for words outside the vocabulary of `words`, which follows() gives their own class."""
-        near = [i if i < self.contexts else self.contexts + word_class(w) for i, w in enumerate(self.words)]
-        return np.array([*near, self.contexts + word_class(b"")], np.int64)
 
+class Ids(dict):
+    """Numbers words in the order in which a task meets them."""
 
-def follows(x: np.ndarray, words: list[bytes], outside: int, after: np.ndarray, contexts: int) -> np.ndarray:
-    """The row of follow for each token of a text: by the word before it, whose class comes from its own bytes if it is outside the vocabulary."""
-    prev = np.concatenate([[contexts + START], after[x[:-1]]])
-    for i in np.flatnonzero(x[:-1] == outside).tolist():
-        prev[i + 1] = contexts + word_class(words[i])
-    return prev
+    def __init__(self):
+        self.words = []
 
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        self.words.append(word)
+        return i
 
-def sample_follow(cells: np.ndarray, parents: np.ndarray, seed: int = 3) -> np.ndarray:
-    """cells: counts of dishes after contexts, then after classes (the last rows); parents: each context's class. Averaged predictive log10 probabilities."""
-    rng = np.random.default_rng(seed)
-    k = len(cells) - len(parents)
-    own, direct = cells[: len(parents)], cells[len(parents) :]
-    dishes = cells.shape[1]
-    u, w = np.nonzero(own)
-    c2 = own[u, w]
-    t2 = np.minimum(c2, 1.0)
-    d2, d1, d0 = discount(c2), discount(direct[direct > 0]), 0.5
-    p0, p1 = np.full(dishes, 1 / dishes), np.full((k, dishes), 1 / dishes)
-    total2 = own.sum(1)
-    mean = np.zeros(cells.shape)
-    t1 = t0 = None
-    for sweep in range(BURN_IN + SWEEPS):
-        tables = np.bincount(u, t2, len(parents)) if len(u) else np.zeros(len(parents))
-        t2 = seat(c2, STRENGTH + d2 * (tables[u] - t2), p1[parents[u], w], d2, rng)
-        tables = np.bincount(u, t2, len(parents)) if len(u) else np.zeros(len(parents))
-        sent = np.zeros((k, dishes))
-        np.add.at(sent, (parents[u], w), t2)
-        c1 = direct + sent
+
+def count_pairs(train: DataFrame, text_col: str, words: list[bytes], buckets: int) -> DataFrame:
+    """b, u, w, c: how often each word follows each context word, for all of them, packed by bucket of the context. Counted over runs of bounded size first."""
+    shared = train.sparkSession.sparkContext.broadcast((b" ".join(words[1:]), bool(words)))
+
+    def run(batches):
+        blob, trained = shared.value
+        ids = {w: i for i, w in enumerate([END, *blob.split()])} if trained else {}
+        schema = pa.schema([("b", pa.int64()), ("u", pa.binary()), ("w", pa.binary()), ("c", pa.binary())])
+
+        def rows(seen: Ids, held: list[np.ndarray]):
+            pairs, c = np.unique(np.concatenate(held), return_counts=True)
+            codes = codes_of(seen.words, ids)
+            codes[0] = START_CODE
+            u, w = codes[pairs >> 32], codes[pairs & 0xFFFFFFFF]
+            order = np.lexsort((w, u))
+            u, w, c = u[order], w[order], c[order]
+            out = [(b, *map(pack, cols)) for b, cols in parts(bucket_of(u, buckets), u, w, c)]
+            yield from table_of(out, schema).to_batches()
+
+        seen, held, n = fresh_ids(), [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                x = np.array([0, *map(seen.__getitem__, tokens(text)), 1], np.int64)
+                held.append(x[:-1] << 32 | x[1:])
+                n += len(x) - 1
+                if n >= FLUSH:
+                    yield from rows(seen, held)
+                    seen, held, n = fresh_ids(), [], 0
+        if held:
+            yield from rows(seen, held)
+
+    return train.select(F.col(text_col).alias("text")).mapInArrow(run, "b bigint, u binary, w binary, c binary")
+
+
+def fresh_ids() -> Ids:
+    """The start of a text is 0 and its end 1."""
+    seen = Ids()
+    seen[b" start"], seen[END]
+    return seen
+
+
+def codes_of(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter((i if (i := ids.get(w, -1)) >= 0 else -1 - word_key(w) for w in words), np.int64, len(words))
+
+
+def merge_pairs(pairs: DataFrame, keys: np.ndarray) -> DataFrame:
+    """One row a bucket: its pairs, whole restaurants, in the order of their keys."""
+    shared = pairs.sparkSession.sparkContext.broadcast(keys)
+    schema = pa.schema([("b", pa.int64()), ("u", pa.binary()), ("w", pa.binary()), ("c", pa.binary())])
+
+    def merge(table: pa.Table) -> pa.Table:
+        u, w, c = (np.concatenate([unpack(x) for x in table.column(n).to_pylist()]) for n in "uwc")
+        order = np.lexsort((key_at(w, shared.value), key_at(u, shared.value)))
+        u, w, c = u[order], w[order], c[order]
+        new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
+        return table_of([(table.column("b")[0].as_py(), pack(u[new]), pack(w[new]), pack(np.add.reduceat(c, new)))], schema)
+
+    return pairs.groupBy("b").applyInArrow(merge, "b bigint, u binary, w binary, c binary")
+
+
+def with_tags(table: DataFrame, counts: DataFrame, keys: np.ndarray, head: int, at: np.ndarray, rare_counts: np.ndarray) -> DataFrame:
+    """Adds tags: class of the context, dish of the word and the row of its count, which a join finds for words outside the vocabulary."""
+    spark = counts.sparkSession
+    shared = spark.sparkContext.broadcast((keys, at))
+    schema = pa.schema([("id", pa.int64()), *[(n, pa.binary()) for n in ("u", "w", "c", "tag")]])
+
+    def strange(batches):
+        for batch in batches:
+            for b, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = np.unique(unpack(w))
+                w = w[w < 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), b)), pa.array(-1 - w)], names=["b", "key"])
+
+    def fill(table: pa.Table, found: pa.Table) -> pa.Table:
+        out, (keys, at) = [], shared.value
+        codes, place = (found.column(n).to_numpy() for n in ("key", "at"))
+        order = np.argsort(codes)
+        codes, place = codes[order], place[order]
+        for b, *cols in zip(*[table.column(n).to_pylist() for n in "buwc"], strict=True):
+            u, w = (unpack(x) for x in cols[:2])
+            inside = w >= 0
+            row = np.zeros(len(w), np.int64)
+            row[inside] = at[w[inside]]
+            if not inside.all():
+                row[~inside] = place[np.searchsorted(codes, -1 - w[~inside])]
+            dish = np.where(inside & (w < head), w, head)
+            out.append((b, *cols, pack((key_at(u, keys) & (CLASSES - 1)) << 40 | dish << BITS | row)))
+        return table_of(out, schema)
+
+    rows = spark.createDataFrame(pd.DataFrame({"c": rare_counts, "at": np.arange(len(rare_counts))}), "c bigint, at bigint")
+    found = table.select("b", "w").mapInArrow(strange, "b bigint, key bigint").join(counts.select("key", "c"), "key").join(rows, "c").select("b", "key", "at")
+    return table.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(fill, "id bigint, u binary, w binary, c binary, tag binary")
+
+
+SEATS = "id bigint, r binary, k binary, x binary, at binary, c binary, ones binary, t binary, t_sum binary, own_sum binary, sent binary"
+
+
+def split_tag(tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of the context, dish and row of the count."""
+    return tag >> 40, tag >> BITS & 0xFFFF, tag & ((1 << BITS) - 1)
+
+
+def sent_up(k: np.ndarray, x: np.ndarray, t: np.ndarray, width: int) -> bytes:
+    """Tables by class and dish: the cells that have some, then their tables."""
+    cells, at = np.unique(k * width + x, return_inverse=True)
+    return np.concatenate([cells, np.bincount(at, t, len(cells)).astype(np.int64)]).tobytes() if len(cells) else b""
+
+
+def begin(table: DataFrame, width: int) -> DataFrame:
+    """The state of the seating before the first sweep: of each block the pairs that occur twice or more, and the others as a number of tables by restaurant. Sent up is what stays: the tables of the pairs that occur once."""
+
+    def run(batches):
+        for batch in batches:
+            for i, *cols in one_by_one(batch):
+                u, c, tag = map(unpack, cols)
+                _, r = np.unique(u, return_inverse=True)
+                k, x, at = split_tag(tag)
+                by_r = np.zeros(r.max() + 1, np.int64)
+                by_r[r] = k
+                many = c > 1
+                ones = np.bincount(r[~many], minlength=len(by_r))
+                arrays = [r[many].astype(np.int32), by_r, x[many].astype(np.int32), at[many].astype(np.int32), c[many], ones, np.ones(many.sum()), np.zeros(many.sum()), np.zeros(len(by_r))]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *[pa.array([a.tobytes()], pa.binary()) for a in arrays], pa.array([sent_up(k[~many], x[~many], np.ones(len(many) - many.sum()), width)], pa.binary())], names=names)
+
+    names = [f.split()[0] for f in SEATS.split(", ")]
+    return table.select("id", "u", "c", "tag").mapInArrow(run, SEATS)
+
+
+def reseat(state: DataFrame, p1: np.ndarray, rare: np.ndarray, d: float, sweep: int) -> DataFrame:
+    """One sweep over the restaurants of all context words. Pairs that occur once have one table always and aren't in the state but by number."""
+    shared = state.sparkSession.sparkContext.broadcast((p1, rare))
+    keep = sweep >= BURN_IN
+    names = [f.split()[0] for f in SEATS.split(", ")]
+    kinds = [np.int32, np.int64, np.int32, np.int32, np.int64, np.int64, float, float, float]
+
+    def run(batches):
+        p1, rare = shared.value
+        for batch in batches:
+            for i, *cols in one_by_one(batch):
+                r, k, x, at, c, ones, t, t_sum, own_sum = (np.frombuffer(b, kind) for b, kind in zip(cols, kinds, strict=True))
+                rng = np.random.default_rng([abs(i), sweep])
+                tables = ones + np.bincount(r, t, len(k))
+                base = p1[k[r], x] * np.where(x == p1.shape[1] - 1, rare[at], 1)
+                t = seat(c, STRENGTH + d * (tables[r] - t), base, d, rng)
+                if keep:
+                    t_sum, own_sum = t_sum + t, own_sum + ones + np.bincount(r, t, len(k))
+                arrays = [*cols[:6], t.tobytes(), t_sum.tobytes(), own_sum.tobytes(), sent_up(k[r], x, t, p1.shape[1])]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *[pa.array([a], pa.binary()) for a in arrays]], names=names)
+
+    return state.drop("sent").mapInArrow(run, SEATS)
+
+
+def gather_sent(state: DataFrame, width: int) -> np.ndarray:
+    """What the blocks have sent up, summed: classes by dishes."""
+
+    def run(batches):
+        table = np.zeros(CLASSES * width, np.int64)
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                cells, n = np.frombuffer(b, np.int64).reshape(2, -1)
+                table[cells] += n
+        has = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(table[has])], names=["cell", "n"])
+
+    got = state.select("sent").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(CLASSES * width)
+    table[got["cell"].to_numpy(int)] = got["n"].to_numpy(float)
+    return table.reshape(CLASSES, width)
+
+
+class Parents:
+    """The class restaurants and the unigram restaurant, which seat the tables of the restaurants below."""
+
+    def __init__(self, dishes: int, seed: int = 3):
+        self.rng, self.dishes, self.d1, self.d0 = np.random.default_rng(seed), dishes, None, 0.5
+        self.t1, self.t0 = np.zeros((CLASSES, dishes)), np.zeros(dishes)
+        self.p0 = np.full(dishes, 1 / dishes)
+
+    def reseat(self, c1: np.ndarray) -> np.ndarray:
+        """c1: customers by class and dish. The classes' predictive probabilities."""
+        d0, self.d1 = self.d0, self.d1 or discount(c1[c1 > 0])
         a, b = np.nonzero(c1)
-        t1 = np.ones(len(a)) if t1 is None or len(t1) != len(a) else t1
-        tables1 = np.bincount(a, t1, k) if len(a) else np.zeros(k)
-        t1 = seat(c1[a, b], STRENGTH + d1 * (tables1[a] - t1), p0[b], d1, rng)
-        tables1 = np.bincount(a, t1, k) if len(a) else np.zeros(k)
-        c0 = np.bincount(b, t1, dishes) if len(b) else np.zeros(dishes)
+        t = np.maximum(self.t1[a, b], 1)
+        tables = np.bincount(a, t, CLASSES)
+        t = seat(c1[a, b], STRENGTH + self.d1 * (tables[a] - t), self.p0[b], self.d1, self.rng)
+        self.t1 = np.zeros(c1.shape)
+        self.t1[a, b] = t
+        tables, c0 = self.t1.sum(1), self.t1.sum(0)
         has = np.flatnonzero(c0)
-        t0 = np.ones(len(has)) if t0 is None or len(t0) != len(has) else t0
-        t0 = seat(c0[has], STRENGTH + d0 * (t0.sum() - t0), np.full(len(has), 1 / dishes), d0, rng)
-        full0 = np.zeros(dishes)
-        full0[has] = t0
-        p0 = (c0 - d0 * full0 + (STRENGTH + d0 * t0.sum()) / dishes) / (STRENGTH + c0.sum())
-        full1 = np.zeros((k, dishes))
-        full1[a, b] = t1
-        p1 = (c1 - d1 * full1 + (STRENGTH + d1 * tables1)[:, None] * p0) / (STRENGTH + c1.sum(1))[:, None]
+        t0 = np.maximum(self.t0[has], 1)
+        t0 = seat(c0[has], STRENGTH + d0 * (t0.sum() - t0), np.full(len(has), 1 / self.dishes), d0, self.rng)
+        self.t0 = np.zeros(self.dishes)
+        self.t0[has] = t0
+        self.p0 = (c0 - d0 * self.t0 + (STRENGTH + d0 * t0.sum()) / self.dishes) / (STRENGTH + c0.sum())
+        return (c1 - self.d1 * self.t1 + (STRENGTH + self.d1 * tables)[:, None] * self.p0) / (STRENGTH + c1.sum(1))[:, None]
+
+
+def sample_pairs(table: DataFrame, dishes: int, rare: np.ndarray) -> tuple[np.ndarray, float, DataFrame]:
+    """Averaged probabilities of dishes after classes, the discount of the restaurants below and their last state."""
+    few = table.select("c").mapInArrow(once_or_twice, "one bigint, two bigint").agg(F.sum("one").alias("one"), F.sum("two").alias("two")).first()
+    one, two = few.one or 0, few.two or 0
+    d = float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
+    state = materialize(begin(table, dishes))
+    singles = gather_sent(state, dishes)
+    parents, mean = Parents(dishes), np.zeros((CLASSES, dishes))
+    p1 = np.full((CLASSES, dishes), 1 / dishes)
+    for sweep in range(BURN_IN + SWEEPS):
+        before, state = state, materialize(reseat(state, p1, rare, d, sweep))
+        discard(before)
+        p1 = parents.reseat(singles + gather_sent(state, dishes))
         if sweep >= BURN_IN:
-            full2 = np.zeros(own.shape)
-            full2[u, w] = t2
-            mean[: len(parents)] += (own - d2 * full2 + (STRENGTH + d2 * tables)[:, None] * p1[parents]) / (STRENGTH + total2)[:, None]
-            mean[len(parents) :] += p1
-    return np.log10(mean / SWEEPS)
+            mean += p1
+    return mean / SWEEPS, d, state
+
+
+def once_or_twice(batches):
+    for batch in batches:
+        for b in batch.column(0).to_pylist():
+            c = unpack(b)
+            yield pa.RecordBatch.from_arrays([pa.array([int((c == i).sum())]) for i in (1, 2)], names=["one", "two"])
+
+
+def gains_of(table: DataFrame, state: DataFrame, p1: np.ndarray, rare: np.ndarray, d: float) -> DataFrame:
+    """b, u, w, v, us, own: v, log10 of a pair's probability over its fall-back; own, log10 of the weight of its class for each context of us. Probabilities are of the averaged tables."""
+    shared = table.sparkSession.sparkContext.broadcast((p1, rare))
+
+    def run(batches):
+        p1, rare = shared.value
+        for batch in batches:
+            for i, *cols in one_by_one(batch):
+                u, w, c, tag = map(unpack, cols[:4])
+                t_sum, own_sum = (np.frombuffer(b) for b in cols[4:])
+                us, r = np.unique(u, return_inverse=True)
+                k, x, at = split_tag(tag)
+                t = np.ones(len(u))
+                t[c > 1] = t_sum / SWEEPS
+                new = STRENGTH + d * own_sum / SWEEPS
+                base = p1[k, x] * np.where(x == p1.shape[1] - 1, rare[at], 1)
+                gain = np.log10(1 + (c - d * t) / (new[r] * base))
+                own = np.log10(new / (STRENGTH + np.bincount(r, c, len(us))))
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *[pa.array([pack(z)], pa.binary()) for z in (u, w, gain, us, own)]], names=["b", "u", "w", "v", "us", "own"])
+
+    both = table.join(state.select("id", "t_sum", "own_sum"), "id")
+    return both.select("id", "u", "w", "c", "tag", "t_sum", "own_sum").mapInArrow(run, "b bigint, u binary, w binary, v binary, us binary, own binary")
 
 
 def sample_rare(counts: np.ndarray, types: np.ndarray, seed: int = 5, copies: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -192,54 +465,24 @@ def sample_rare(counts: np.ndarray, types: np.ndarray, seed: int = 5, copies: in
 
 
 def count_words(train: DataFrame, text_col: str) -> DataFrame:
-    """word binary, c: how often each word occurs in the texts; the empty word is the end token. Counted in each task first, in a table of bounded size."""
+    """word binary, key, c: how often each word occurs in the texts; the empty word is the end token. Counted in each task first, in a table of bounded size."""
 
     def run(batches):
         def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(keys_of(list(seen))), pa.array(list(seen.values()), pa.int64())], names=["word", "key", "c"])
 
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 seen.update(tokens(text))
                 seen[END] += 1
-                if len(seen) > FLUSH:
+                if len(seen) > FLUSH // 4:
                     yield rows()
                     seen.clear()
         if seen:
             yield rows()
 
-    return train.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def count_follow(train: DataFrame, text_col: str, words: list[bytes], context_ids: np.ndarray, head: int, contexts: int) -> np.ndarray:
-    """Counts of each dish after each context or class: one dense table a task, summed over the tasks by cell."""
-    blob = b" ".join(words[1:]) if words else b""
-    shared = train.sparkSession.sparkContext.broadcast((blob, context_ids))
-    n_rows, width = contexts + CLASSES, head + 1
-
-    def run(batches):
-        blob, after = shared.value
-        ids = {w: i for i, w in enumerate([END, *blob.split()])}
-        table = np.zeros(n_rows * width, np.int64)
-        for batch in batches:
-            cells = []
-            for text in batch.column(0).to_pylist():
-                words = tokens(text)
-                x = np.array([ids.get(w, -1) for w in words] + [0], np.int64)
-                prev = follows(x, words, -1, after, contexts)
-                cells.append(prev * width + np.where((x < 0) | (x >= head), head, x))
-            if cells:
-                table += np.bincount(np.concatenate(cells), minlength=len(table))
-        has = np.flatnonzero(table)
-        for at in range(0, len(has), 100_000):
-            part = has[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part])], names=["cell", "n"])
-
-    got = train.select(F.col(text_col).alias("text")).mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(n_rows * width)
-    table[got["cell"].to_numpy(int)] = got["n"].to_numpy(float)
-    return table.reshape(n_rows, width)
+    return train.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, key bigint, c bigint").groupBy("word", "key").agg(F.sum("c").alias("c"))
 
 
 def fit(train: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, head: int = HEAD, contexts: int = CONTEXTS) -> tuple[Model, DataFrame]:
@@ -256,66 +499,192 @@ def fit(train: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY,
     words, c = [bytes(top["word"].iat[i]) for i in order], top["c"].to_numpy(np.int64)[order]
     del top, order
     head, contexts = max(1, min(head, len(words))), min(contexts, len(words))
-    model = Model(words, c, n_tokens, n_types, np.zeros((0, 0)), c[:0], np.zeros(0), contexts, head)
-    cells = count_follow(train, text_col, words, model.context_ids(), head, contexts)
-    model.follow = sample_follow(cells, np.array([word_class(w) for w in words[:contexts]], np.int64))
     types = Counter(dict(zip(hist["c"].tolist(), hist["n"].tolist(), strict=True)))
     types.subtract(c[:head].tolist())
-    pairs = sorted((k, n) for k, n in types.items() if n > 0)
-    model.rare_counts, model.rare_logs = sample_rare(np.array([k for k, _ in pairs], float), np.array([n for _, n in pairs], float))
+    rest = sorted((k, n) for k, n in types.items() if n > 0)
+    rare_counts, rare_logs = sample_rare(np.array([k for k, _ in rest], float), np.array([n for _, n in rest], float))
+    model = Model(words, c, n_tokens, n_types, np.zeros((0, 0)), rare_counts, rare_logs, contexts, head)
+    at = np.searchsorted(rare_counts, c).clip(0, len(rare_counts) - 1)
+    model.buckets = max(1, n_tokens // SHARE)
+    keys = keys_of(words)
+    merged = materialize(merge_pairs(count_pairs(train, text_col, words, model.buckets), keys))
+    table = materialize(with_tags(merged, counts, keys, head, at, rare_counts))
+    discard(merged)
+    p1, d, state = sample_pairs(table, head + 1, 10**rare_logs)
+    model.follow, model.gains = np.log10(p1), materialize(gains_of(table, state, p1, 10**rare_logs, d))
+    discard(table)
+    discard(state)
+    fetch(model)
     return model, counts
 
 
+def fetch(model: Model) -> None:
+    """Brings the weights of the `contexts` most frequent words and of the start to the driver; others are looked up."""
+    most = model.contexts
+
+    def run(batches):
+        for batch in batches:
+            for us, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                us, own = unpack(us), unpack(own, float)
+                keep = (us >= 0) & (us < most) | (us == START_CODE)
+                yield pa.RecordBatch.from_arrays([pa.array(us[keep]), pa.array(own[keep])], names=["u", "own"])
+
+    got = model.gains.select("us", "own").mapInArrow(run, "u bigint, own double").toPandas()
+    u, own = got["u"].to_numpy(np.int64), got["own"].to_numpy(float)
+    model.own = np.zeros(most)
+    model.own[u[u >= 0]] = own[u >= 0]
+    model.start = float(own[u < 0].sum())
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score: one row per row of docs."""
+    """doc_id, n_tokens, n_known, base_score, score: one row per row of docs.
+
+    A text's score is a sum. What isn't at hand in a task is asked for, packed by bucket, and added: the gains of its pairs, the
+    weights of contexts and the counts of words outside the vocabulary. The answers go back packed by run of texts.
+    """
     spark = docs.sparkSession
     floor = 0.5 * (model.n_types + 1) + model.n_tokens
-    base_log = np.log10((np.array([*model.counts, 0]) + 0.5) / floor)
-    rare_log = model.rare_logs[np.searchsorted(model.rare_counts, model.counts).clip(0, len(model.rare_logs) - 1)]
-    own_log = np.array([*np.where(np.arange(len(model.words)) < model.head, 0, rare_log), 0.0])
-    # words outside the vocabulary are looked up by a join, which adds what is left out here
-    base_log[-1] = 0
-    shared = spark.sparkContext.broadcast((b" ".join(model.words[1:]), base_log, own_log, model.context_ids(), model.follow))
-    head, contexts, trained = model.head, model.contexts, bool(model.words)
-    kind = docs.schema[id_col].dataType
-    fields = ["doc_id", "row", "word", "n", "n_tokens", "n_known", "base", "score"]
-
-    def run(batches):
-        blob, base, own, after, follow = shared.value
+    unknown, unseen = float(model.rare_logs[0]), float(np.log10(0.5 / floor))
+    at = np.searchsorted(model.rare_counts, model.counts).clip(0, len(model.rare_logs) - 1)
+    shared = spark.sparkContext.broadcast((b" ".join(model.words[1:]), np.log10((model.counts + 0.5) / floor), model.rare_logs[at], model.own, model.start, model.follow))
+    rare = spark.sparkContext.broadcast((model.rare_counts, model.rare_logs))
+    head, trained, buckets = model.head, bool(model.words), model.buckets
+    kind = docs.schema[id_col].dataType.simpleString()
+    fields = ["b", "run", "d", "u", "w", "n", "doc_id", "n_tokens", "n_known", "base", "score"]
+
+    def ask(batches):
+        blob, base, rare, own, start, follow = shared.value
         ids = {w: i for i, w in enumerate([END, *blob.split()] if trained else [])}
-        outside = len(base) - 1
-        row = TaskContext.get().partitionId() << 33
+
+        def known(words: list[bytes]) -> list[np.ndarray]:
+            """Code, class, dish, base score, score beside the dish's, weight as a context, and whether that is known; for each word."""
+            codes = codes_of(words, ids)
+            inside = codes >= 0
+            dish = np.where(inside & (codes < head), codes, head)
+            more, first, mine = np.full(len(words), unknown), np.full(len(words), unseen), np.zeros(len(words))
+            more[inside], first[inside] = rare[codes[inside]], base[codes[inside]]
+            has = inside & (codes < len(own))
+            mine[has] = own[codes[has]]
+            return [codes, np.fromiter(map(word_class, words), np.int64, len(words)), dish, first, np.where(dish < head, 0, more), mine, has]
+
+        def begin() -> tuple[Ids, list[np.ndarray]]:
+            seen = fresh_ids()
+            of = known(seen.words)
+            of[0][0], of[1][0], of[5][0], of[6][0] = START_CODE, START, start, True
+            return seen, of
+
+        no = TaskContext.get().partitionId() << 33
+        seen, of = begin()
+        for batch in batches:
+            texts, at = batch.column(1).to_pylist(), 0
+            while at < len(texts):
+                if len(seen) > FLUSH // 4:
+                    seen, of = begin()
+                held, n, first = [], 0, at
+                while at < len(texts) and n < FLUSH // 2 and at - first < 4096:
+                    held.append(np.array([0, *map(seen.__getitem__, tokens(texts[at])), 1], np.int64))
+                    n += len(held[-1])
+                    at += 1
+                of = [np.concatenate(z) for z in zip(of, known(seen.words[len(of[0]) :]), strict=True)]
+                codes, classes, dish, first_log, more, mine, has = of
+                size = np.array([len(x) - 1 for x in held])
+                doc = np.repeat(np.arange(len(held)), size)
+                u, w = np.concatenate([x[:-1] for x in held]), np.concatenate([x[1:] for x in held])
+                k = len(held)
+                here = np.bincount(doc, follow[classes[u], dish[w]] + more[w] + mine[u], k)
+                known_here, base_here = np.bincount(doc, codes[w] >= 0, k).astype(np.int64), np.bincount(doc, first_log[w], k)
+                pairs, times = np.unique(doc << 48 | u << 24 | w, return_counts=True)
+                asked = [(pairs >> 48, codes[pairs >> 24 & 0xFFFFFF], codes[pairs & 0xFFFFFF], times)]
+                # a context whose weight isn't at hand asks as a pair with the start, which follows nothing
+                for what, left in ((doc << 32 | u, ~has[u]), (doc << 32 | w, codes[w] < 0)):
+                    found, many = np.unique(what[left], return_counts=True)
+                    ks = codes[found & 0xFFFFFFFF]
+                    asked.append((found >> 32, ks, np.full(len(ks), START_CODE), many) if len(asked) == 1 else (found >> 32, np.full(len(ks), WORD_CODE), ks, many))
+                d, ku, kw, many = (np.concatenate(z) for z in zip(*asked, strict=True))
+                where = bucket_of(np.where(ku == WORD_CODE, kw, ku), buckets)
+                order = np.lexsort((kw, ku))
+                d, ku, kw, many, where = (x[order] for x in (d, ku, kw, many, where))
+                no += 1
+                rows = [(b, no, *map(pack, cols)) for b, cols in parts(where, d, ku, kw, many)]
+                m = len(rows)
+                out = [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 2 + [pa.binary()] * 4)]
+                yield pa.RecordBatch.from_arrays([*out, pa.nulls(m, batch.schema.field(0).type), *[pa.nulls(m, pa.binary())] * 4], names=fields[:6] + ["doc_id"] + fields[7:])
+                # the texts themselves go with one of the buckets
+                many_ids = batch.column(0).slice(first, k)
+                main = [pa.array(np.full(k, no % buckets)), pa.array(np.full(k, no)), *[pa.array([pack(np.array([i]))  for i in range(k)], pa.binary()), *[pa.nulls(k, pa.binary())] * 3], many_ids]
+                packed = [pa.array([int(v).to_bytes(8, "little") for v in x], pa.binary()) for x in (size, known_here)] + [pa.array([np.float64(v).tobytes() for v in x], pa.binary()) for x in (base_here, here)]
+                yield pa.RecordBatch.from_arrays([*main, *packed], names=fields)
+
+    middle = f"b bigint, run bigint, d binary, u binary, w binary, n binary, doc_id {kind}, n_tokens binary, n_known binary, base binary, score binary"
+
+    def answer(asked: pa.Table, found: pa.Table) -> pa.Table:
+        """Texts pass; what was asked for becomes sums by text: known words, base and score."""
+        texts = asked.filter(pa.compute.is_valid(asked.column("score")))
+        asks = asked.filter(pa.compute.is_null(asked.column("score")))
+        if not asks.num_rows:
+            return asked
+        counts_, logs = rare.value
+        us, ws, vs = [], [], []
+        for u, w, v, own_u, own in zip(*[found.column(n).to_pylist() for n in ("u", "w", "v", "us", "own")], strict=True):
+            u, w = unpack(u), unpack(w)
+            if own_u is not None:
+                own_u = unpack(own_u)
+                us += [u, own_u]
+                ws += [w, np.full(len(own_u), START_CODE)]
+                vs += [unpack(v, float), unpack(own, float)]
+            else:
+                us, ws, vs = [*us, u], [*ws, w], [*vs, unpack(v, float)]
+        u, w, v = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((us, np.int64), (ws, np.int64), (vs, float)))
+        mix = mixed(u, w)
+        order = np.argsort(mix)
+        mix, u, w, v = mix[order], u[order], w[order], v[order]
+        out = []
+        for b, no, *cols in zip(*[asks.column(n).to_pylist() for n in fields[:6]], strict=True):
+            d, ku, kw, n = map(unpack, cols)
+            if not len(mix):
+                continue
+            spot = np.searchsorted(mix, mixed(ku, kw)).clip(0, len(mix) - 1)
+            hit = (u[spot] == ku) & (w[spot] == kw)
+            d, word, n, v_ = d[hit], ku[hit] == WORD_CODE, n[hit], v[spot[hit]]
+            c = np.where(word, v_, 0)
+            gain = np.where(word, logs[np.searchsorted(counts_, c).clip(0, len(logs) - 1)] - unknown, v_) * n
+            texts_, place = np.unique(d, return_inverse=True)
+            sums = [np.bincount(place, x, len(texts_)) for x in (word * n, np.where(word, np.log10((c + 0.5) / floor) - unseen, 0) * n, gain)]
+            out.append((no, pack(texts_), pack(sums[0].astype(np.int64)), pack(sums[1]), pack(sums[2])))
+        m = len(out)
+        got = {"run": [r[0] for r in out], "d": [r[1] for r in out], "n_known": [r[2] for r in out], "base": [r[3] for r in out], "score": [r[4] for r in out]}
+        added = pa.table([pa.array(got[f.name], f.type) if f.name in got else pa.nulls(m, f.type) for f in asked.schema], schema=asked.schema)
+        return pa.concat_tables([texts, added])
+
+    def total(table: pa.Table) -> pa.Table:
+        text = pa.compute.is_valid(table.column("n_tokens"))
+        texts, more = table.filter(text), table.filter(pa.compute.invert(text))
+        d = np.array([unpack(x)[0] for x in texts.column("d").to_pylist()], np.int64)
+        raw = lambda n, t: np.frombuffer(b"".join(texts.column(n).to_pylist()), t).copy()
+        size, known, base, value = raw("n_tokens", np.int64), raw("n_known", np.int64), raw("base", float), raw("score", float)
+        at = np.argsort(d)
+        for x, *cols in zip(*[more.column(n).to_pylist() for n in ("d", "n_known", "base", "score")], strict=True):
+            x = at[unpack(x)]
+            known[x] += unpack(cols[0])
+            base[x] += unpack(cols[1], float)
+            value[x] += unpack(cols[2], float)
+        return pa.table([texts.column("doc_id"), pa.array(size), pa.array(known), pa.array(base), pa.array(value)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    def words(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in fields]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = tokens(text)
-                x = np.array([ids.get(w, outside) for w in words] + [ids.get(END, outside)], np.int64)
-                prev = follows(x, words, outside, after, contexts)
-                value = follow[prev, np.minimum(x, head)].sum() + own[x].sum()
-                strange = x == outside
-                missing = Counter([*words, END][i] for i in np.flatnonzero(strange).tolist())
-                row += 1
-                # no word holds a blank, so these keys meet nothing and spread evenly
-                for a, v in zip(out, (doc, row, b" %d" % row, 0, len(x), int(len(x) - strange.sum()), float(base[x].sum()), float(value)), strict=True):
-                    a.append(v)
-                for w, n in missing.items():
-                    for a, v in zip(out, (doc, row, w, n, 0, 0, 0.0, 0.0), strict=True):
-                        a.append(v)
-            types = [batch.schema.field(0).type, pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(out, types, strict=True)], names=fields)
-
-    schema = f"doc_id {kind.simpleString()}, row bigint, word binary, n bigint, n_tokens bigint, n_known bigint, base double, score double"
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-    logs = spark.createDataFrame(pd.DataFrame({"c": model.rare_counts, "rare": model.rare_logs}))
-    unknown = float(model.rare_logs[0])
-    known = counts.join(logs, "c").select("word", "c", "rare")
-    at = F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.5)) / F.lit(floor))
-    rows = rows.join(known, "word", "left").select(
-        "doc_id", "row", "n_tokens", (F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        (F.col("base") + F.col("n") * at).alias("base"), (F.col("score") + F.col("n") * F.coalesce("rare", F.lit(unknown))).alias("score"),
-    )
-    sums = [F.sum(c).alias(name) for c, name in (("n_tokens", "n_tokens"), ("n_known", "n_known"), ("base", "base_score"), ("score", "score"))]
-    return rows.groupBy("doc_id", "row").agg(*sums).drop("row")
+            keys, c = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float)
+            for b, (w, v) in parts(bucket_of(-1 - keys, buckets), -1 - keys, c):
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *[pa.array([pack(x)], pa.binary()) for x in (np.full(len(w), WORD_CODE), w, v)], *[pa.nulls(1, pa.binary())] * 2], names=["b", "u", "w", "v", "us", "own"])
+
+    strange = counts.filter(F.col("word") != END)
+    if len(model.counts) > 1:
+        strange = strange.filter(F.col("c") < int(model.counts[1:].min()))
+    # dealt by bucket before packing, so that a bucket's words are few rows
+    strange = strange.select("key", F.col("c").cast("long").alias("c"))
+    found = model.gains.union(strange.mapInArrow(words, "b bigint, u binary, w binary, v binary, us binary, own binary"))
+    asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(ask, middle)
+    answered = asked.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(answer, middle)
+    return answered.groupBy("run").applyInArrow(total, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
 def held_out(c: Column) -> Column:

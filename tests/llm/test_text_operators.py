@@ -220,6 +220,29 @@ def test_language_model_probabilities_sum_to_one(spark, sf):
         assert math.isclose(r.base_score, small[r.doc_id].base_score, rel_tol=1e-9) and r.n_known == small[r.doc_id].n_known
 
 
+def test_every_pair_of_words_is_evidence(spark):
+    """Words that are neither frequent dishes nor frequent contexts predict each other, and each context's probabilities sum to one."""
+    lines = [f"x{i} y{i}" for i in range(60) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    model, counts = language_model.fit(docs, vocabulary=20, head=3, contexts=1)
+    asked = spark.createDataFrame([(2 * i + j, f"x{i} y{(i + j) % 60}") for i in range(60) for j in (0, 1)], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in language_model.score(asked, model, counts).collect()}
+    assert all(got[2 * i] > got[2 * i + 1] + 0.5 for i in range(60))
+    words = {model.words.index(bytes(r.word)) if bytes(r.word) in model.words else -1 - r.key: (bytes(r.word), r.c) for r in counts.collect()}
+    rare = dict(zip(model.rare_counts.tolist(), 10**model.rare_logs, strict=True))
+    gains, own = {}, {}
+    for r in model.gains.collect():
+        own |= zip(language_model.unpack(r.us).tolist(), 10 ** language_model.unpack(r.own, float), strict=True)
+        for u, w, v in zip(language_model.unpack(r.u).tolist(), language_model.unpack(r.w).tolist(), 10 ** language_model.unpack(r.v, float), strict=True):
+            gains.setdefault(u, {})[w] = v
+    assert len(own) == len(gains) == 121 and sum(map(len, gains.values())) == 60 + 60 + 60
+    for u, g in gains.items():
+        p = 10 ** model.follow[language_model.word_class(words[u][0]) if u in words else language_model.START]
+        base = {w: p[w] if 0 <= w < model.head else p[-1] * rare[c] for w, (_, c) in words.items()}
+        total = own[u] * (sum(b * g.get(w, 1) for w, b in base.items()) + p[-1] * rare[0])
+        assert abs(total - 1) < 0.01
+
+
 def test_class_of_a_context_does_not_depend_on_the_vocabulary(spark):
     """Words outside the broadcast vocabulary back off to the class of their own bytes, in training and in scoring."""
     rare = [f"x{i:02d}{'ab'[i % 2]}q" for i in range(40)]
