@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinspark.shared import materialize as materialize
+from skeinspark.shared import shared_dir as shared_dir
+
 #: ASCII white space, as in `[\x20\x09-\x0D]`.
 SPACES = " \t\n\x0b\f\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -24,24 +26,50 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in local tests one that is set here."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        where = "/tmp/checkpoints"
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+def row_key(text: Column) -> Column:
+    """Tells rows of one id apart: a hash of the text, null counting as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder as Parquet and reads it back: the lineage ends in files that outlive any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/skein-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def drop_rows(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows in gone (doc_id, rk); ids are compared null-safe."""
+    i, k = free_name(docs, "gone_id"), free_name(docs, "gone_rk")
+    marks = gone.select(F.col("doc_id").alias(i), F.col("rk").alias(k))
+    return docs.join(marks, docs[id_col].eqNullSafe(F.col(i)) & (row_key(docs[text_col]) == F.col(k)), "left_anti")
+
+
+def keep_once(docs: DataFrame, repeated: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row only of each id and text in repeated (doc_id, rk, no nulls). Only those rows are moved."""
+    if repeated.isEmpty():
+        return docs
+    i, k = free_name(docs, "once_id"), free_name(docs, "once_rk")
+    marks = repeated.select(F.col("doc_id").alias(i), F.col("rk").alias(k))
+    both = docs.join(marks, (docs[id_col] == F.col(i)) & (row_key(docs[text_col]) == F.col(k)), "left_semi").withColumn(k, row_key(F.col(text_col)))
+    return drop_rows(docs, repeated, id_col, text_col).unionByName(both.dropDuplicates([id_col, k]).drop(k))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it if df has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key is hot if it holds one row in HOT_SHARE; so there are HOT_SHARE hot keys at most, whatever the size of the table.
+HOT_SHARE, HOT_LEAST = 1000, 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, key: str, total: int, count: str = "rows", how: str = "inner") -> DataFrame:
+    """rows joined with a table of one row a key, whose column `count` has the key's rows (it is dropped).
+
+    The rows of hot keys meet their table row by broadcast, which HOT_SHARE bounds, and are never dealt by key; the others by
+    whatever join suits. total: the number of rows. Both sides are read twice, so they should be written tables.
+    """
+    hot = (F.col(count) >= HOT_LEAST) & (F.col(count) * HOT_SHARE >= total)
+    few = F.broadcast(table.filter(hot).drop(count))
+    rest = rows.join(few.select(key), key, "left_anti").join(table.filter(~hot).drop(count), key, how)
+    return rows.join(few, key).unionByName(rest)
 
 
 def discard(df: DataFrame) -> None:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinspark.llm.common import ascii_lower, read
+from skeinspark.llm.common import ascii_lower, read, row_key
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_WINDOWS = 100_000
@@ -46,7 +46,7 @@ def anchors(windows: DataFrame, word_rows: DataFrame, small: bool) -> DataFrame:
 def window_hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, rk, start, win: every occurrence of a window. rk tells rows of one id apart."""
     small = windows.count() <= broadcast_windows
-    rows = docs.select(F.col(id_col).alias("doc_id"), _row_key(F.col(text_col)).alias("rk"), words(F.col(text_col)).alias("w"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("rk"), words(F.col(text_col)).alias("w"))
     rare = anchors(windows, rows.select(F.explode("w").alias("word")), small)
     start = F.col("pos") - F.col("at")
     fits = (start >= 0) & (start + F.size("win") <= F.col("n"))
@@ -62,10 +62,6 @@ def window_hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", tex
     return found.filter(same).select("doc_id", "rk", "start", "win")
 
 
-def _row_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """doc_id, rk, n_words, n_hit, items (sorted ids as text), spans (start and length in words, ascending): one row per row of docs."""
     windows = item_windows(benchmark, size)
@@ -75,7 +71,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, id_col:
         hits.select("doc_id", "rk", "win").distinct().join(windows, "win").select("doc_id", "rk", F.col("item_id").cast("string").alias("item"))
         .groupBy("doc_id", "rk").agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
-    rows = docs.select(F.col(id_col).alias("d"), _row_key(F.col(text_col)).alias("k"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    rows = docs.select(F.col(id_col).alias("d"), row_key(F.col(text_col)).alias("k"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
     for side in (spans, items):
         names = [c for c in side.columns if c not in ("doc_id", "rk")]
         rows = rows.join(side, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("rk")), "left").select(*[c for c in rows.columns], *names)

@@ -6,9 +6,8 @@ Sketch. In a band of set sizes every shingle flips one bit of a wide sketch; the
 bits are kept as one XOR-hash. Flipped bits can only cancel, so the Hamming distance of two sketches is at most the size of
 the symmetric difference. If two sets are similar enough and the smaller one has at most `a` shingles, they differ in
 d = (1 - t) / t * a shingles at most, so of n blocks n - d agree. With n = d + 1 + spare, two documents that each offer d + 1
-blocks, first in one common order, share one they both offer. That order puts blocks that are common in the corpus last (the
-most frequent ones are counted over all documents; a bounded list of them is broadcast) and blocks of few bits behind those of
-many, so common lines and passages, and empty blocks, seldom make candidates. A document is offered to its own band, and to
+blocks, first in one common order, share one they both offer. That order puts blocks that are common in the corpus last (all blocks of
+all documents are counted in a table of fixed size, by hash) and blocks of few bits behind those of many, so common lines and passages, and empty blocks, seldom make candidates. A document is offered to its own band, and to
 the next lower one if a partner there can be similar enough.
 
 Candidates. Documents that offer the same block are not paired with each other but, first, with one of them: the one that
@@ -19,68 +18,64 @@ verified in the same way, and components are final: every two documents that sha
 connected, so no component misses a link.
 
 Defined cases: null, empty and wordless texts have no shingles and no links; texts of fewer words than a shingle have one; rows
-without an id have no component (null); repeated rows share theirs; an empty table gives an empty result.
+without an id link nothing and have no component (null); repeated rows share theirs, rows of one id and different texts are
+judged by their own texts; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from functools import reduce
 from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from skeinspark.llm.common import materialize, read
-from skeinspark.llm.components import components
+from skeinspark.llm.common import join_hot, materialize, read, row_key
+from skeinspark.llm.tokens import M1, WordHasher, mix, pieces
+from skeinspark.operators.components import components
 
-CACHED_WORDS = 300_000
 SEEN = 200_000
-#: Blocks that a batch has HOT_LOCAL times are counted; those that add up to HOT_LEAST go to the broadcast list, HOT_MOST at most.
-HOT_LOCAL, HOT_LEAST, HOT_MOST, SALTS = 4, 32, 100_000, 64
+SALTS = 64
+#: Cells of the table that counts blocks, and the slices in which its parts are added up.
+CELLS, SLICES = 1 << 20, 64
 FIXED_BITS = 1024
+#: Words of 64 bits of the filter of wanted documents: the least and the most.
+FILTER_WORDS = 1 << 17, 1 << 20
 #: Rows of a batch that are worked on at once; their blocks, hundreds each, are held in memory together.
 AT_ONCE = 1000
-FILTER_WORDS = 1 << 17
-
-M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * M2
-    x = (x ^ (x >> np.uint64(27))) * M3
-    return x ^ (x >> np.uint64(31))
 
 
 class Shingler:
+    """The shingles of many texts: for each the sorted hashes of the distinct ones."""
+
     def __init__(self, size: int) -> None:
-        self.size, self.known = size, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Sorted hashes of the distinct shingles."""
-        words = (text or "").encode().lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        try:
-            h = [known[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            h = [known[w] for w in words]
-        w = np.array(h, np.uint64)
-        k = min(self.size, len(w))
-        acc = np.full(len(w) - k + 1, k, np.uint64)
+        self.size, self.words = size, WordHasher()
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        words, counts = self.words(texts)
+        ends = np.cumsum(counts)
+        whole = self._runs(words, self.size)
+        out = []
+        for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
+            if n >= self.size:
+                out.append(np.unique(whole[end - n : end - self.size + 1]))
+            else:
+                out.append(self._runs(words[end - n : end], n) if n else np.zeros(0, np.uint64))
+        return out
+
+    @staticmethod
+    def _runs(words: np.ndarray, k: int) -> np.ndarray:
+        n = max(0, len(words) - k + 1)
+        acc = np.full(n, k, np.uint64)
         for j in range(k):
-            acc = mix(acc * M1 + w[j : len(w) - k + 1 + j])
-        return np.unique(acc)
+            acc = mix(acc * M1 + words[j : n + j])
+        return acc
 
 
 def signature(s: np.ndarray) -> int:
@@ -125,61 +120,74 @@ class Bands:
         return mix(value + mix(np.arange(n, dtype=np.uint64) * M1 + np.uint64(g + 1))).view(np.int64), count, offer
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, AT_ONCE):
-            yield batch.slice(at, AT_ONCE)
-
+class Common:
+    """How common a block is: its cell in a table of counts, or 0 below a few times the mean cell. Blocks that share a cell count together; the order of blocks needs no more."""
 
-class Hot:
-    """Counts of the common blocks; 0 for others."""
+    def __init__(self, cells: np.ndarray) -> None:
+        low = 4 * cells.mean() + 32
+        self.cells = np.where(cells >= low, cells, 0)
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.counts = keys[order], counts[order]
+    @staticmethod
+    def cell(keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64)
-        at = np.searchsorted(self.keys, keys).clip(0, len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0)
+        return self.cells[self.cell(keys)]
 
 
 def describe(docs: DataFrame, size: int, bands: Bands) -> DataFrame:
-    """doc_id, n, sig of every row (sig is null for empty sets), and rows of key and n for blocks that are common in a batch."""
+    """doc_id, rk, n, sig of every row (sig is null for empty sets), and for each task the slices of its table of blocks: n is the slice, cells its counts."""
 
     def run(batches):
-        shingle = Shingler(size)
-        for batch in pieces(batches):
-            n, sig, keys, fresh = [], [], [], set()
-            for text in batch.column(1).to_pylist():
-                s = shingle(text)
+        shingle, cells, seen = Shingler(size), np.zeros(CELLS, np.int32), set()
+        for batch in pieces(batches, 2, AT_ONCE):
+            n, sig, keys = [], [], []
+            for s in shingle(batch.column(2)):
                 n.append(len(s))
                 sig.append(signature(s) if len(s) else None)
-                if len(s) and sig[-1] not in fresh:
-                    fresh.add(sig[-1])
+                if len(s) and sig[-1] not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(sig[-1])
                     keys += [bands.blocks(s, g)[0] for g in bands.of(len(s))]
-            k, c = np.unique(np.concatenate(keys), return_counts=True) if keys else (np.zeros(0, np.int64),) * 2
-            k, c = k[c >= HOT_LOCAL], c[c >= HOT_LOCAL]
-            nothing = pa.nulls(len(k), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(k), batch.schema.field(0).type), pa.array(c, pa.int64()), nothing, pa.array(k, pa.int64())], names=names)
-
-    names = ["doc_id", "n", "sig", "key"]
+            if keys:
+                cells += np.bincount(Common.cell(np.concatenate(keys)), minlength=CELLS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.nulls(len(n), pa.binary())], names=names)
+        if cells.any():
+            empty = [pa.nulls(SLICES, kind_of[0]), pa.nulls(SLICES, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SLICES), pa.int64()), pa.nulls(SLICES, pa.int64()), pa.array([x.tobytes() for x in cells.reshape(SLICES, -1)], pa.binary())], names=names)
+
+    names = ["doc_id", "rk", "n", "sig", "cells"]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n bigint, sig bigint, key bigint")
+    kind_of = [to_arrow_type(docs.schema["doc_id"].dataType)]
+    return docs.select("doc_id", row_key(F.col("text")).alias("rk"), "text").mapInArrow(run, f"doc_id {kind}, rk bigint, n bigint, sig bigint, cells binary")
+
+
+def count_blocks(seen: DataFrame) -> np.ndarray:
+    """The tables of all tasks, added up slice by slice."""
+
+    def add_up(table: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS // SLICES, np.int64)
+        for blob in table.column("cells"):
+            total += np.frombuffer(blob.as_buffer(), np.int32)
+        return pa.table([pa.array([table.column("n")[0].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["n", "cells"])
+
+    got = seen.filter("cells IS NOT NULL").select("n", "cells").groupBy("n").applyInArrow(add_up, "n bigint, cells binary").toPandas()
+    cells = np.zeros((SLICES, CELLS // SLICES), np.int64)
+    for n, blob in zip(got["n"], got["cells"], strict=True):
+        cells[n] = np.frombuffer(blob, np.int64)
+    return cells.ravel()
 
 
-def offered(docs: DataFrame, size: int, bands: Bands, hot: Hot) -> DataFrame:
+def offered(docs: DataFrame, size: int, bands: Bands, common: Common) -> DataFrame:
     """key, salt, sig: the blocks that each set offers; a set that a task meets again isn't repeated. Only common blocks have a salt, from 1 on."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        shingle, hot, seen = Shingler(size), shared.value, set()
-        for batch in pieces(batches):
+        shingle, common, seen = Shingler(size), shared.value, set()
+        for batch in pieces(batches, 0, AT_ONCE):
             keys, salts, sigs = [], [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle(text)
+            for s in shingle(batch.column(0)):
                 if not len(s) or (sig := signature(s)) in seen:
                     continue
                 if len(seen) >= SEEN:
@@ -187,19 +195,19 @@ def offered(docs: DataFrame, size: int, bands: Bands, hot: Hot) -> DataFrame:
                 seen.add(sig)
                 for g in bands.of(len(s)):
                     key, bits, offer = bands.blocks(s, g)
-                    common = hot(key)
-                    pick = np.lexsort((key, -bits, common))[:offer]
+                    often = common(key)
+                    pick = np.lexsort((key, -bits, often))[:offer]
                     keys.append(key[pick])
-                    salts.append(np.where(common[pick] > 0, 1 + sig % SALTS, 0))
+                    salts.append(np.where(often[pick] > 0, 1 + sig % SALTS, 0))
                     sigs.append(np.full(offer, sig, np.int64))
             parts = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, salts, sigs)]
             yield pa.RecordBatch.from_arrays([pa.array(parts[0]), pa.array(parts[1].astype(np.int32)), pa.array(parts[2])], names=["key", "salt", "sig"])
 
-    return docs.filter("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, "key bigint, salt int, sig bigint")
+    return docs.filter("doc_id IS NOT NULL").select("text").mapInArrow(run, "key bigint, salt int, sig bigint")
 
 
 def sharers(rows: DataFrame) -> DataFrame:
-    """key, sig, leader: documents that share a block, each with the smallest of its salt; those, if salted, with the smallest of all."""
+    """key, sig, leader: sets that share a block, each with the smallest of its salt; those, if salted, with the smallest of all."""
     order = Window.partitionBy("key", "salt").orderBy("sig")
     led = rows.select("key", "salt", "sig", F.first("sig").over(order).alias("leader"), F.lag("sig").over(order).alias("before"))
     led = led.filter((F.col("sig") != F.col("leader")) & (F.col("sig") != F.col("before")) | (F.col("salt") > 0) & F.col("before").isNull())
@@ -211,27 +219,35 @@ def sharers(rows: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, n, sketch, shingles of the documents in wanted (node). A bit filter of fixed size keeps most others from being shuffled."""
-    h = F.xxhash64("node")
-    word = F.shiftright(h, 6).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int")
-    got = wanted.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(xxhash64(node) & 63 as int))")).alias("bits")).toPandas()
-    table = np.zeros(FILTER_WORDS, np.int64)
+    """node, n, sketch, shingles of the sets in wanted (node, h: the hash of one row that has it). A bit filter keeps most other rows from being read again."""
+    least, most = FILTER_WORDS
+    words, n = least, wanted.count()
+    while words < most and 4 * words < n:
+        words *= 2
+    word = F.shiftright("h", 6).bitwiseAND(F.lit(words - 1)).cast("int")
+    got = wanted.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toPandas()
+    table = np.zeros(words, np.int64)
     table[got["w"].to_numpy(int)] = got["bits"].to_numpy(np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
         shingle, table = Shingler(size), shared.value
         for batch in batches:
-            h = batch.column(2).to_numpy()
-            hit = np.flatnonzero((table[(h >> 6) & (FILTER_WORDS - 1)] >> (h & 63)) & 1)
-            found = [shingle(x) for x in batch.column(1).take(pa.array(hit)).to_pylist()]
-            fixed = [np.packbits(np.bincount((s & np.uint64(FIXED_BITS - 1)).astype(np.int64), minlength=FIXED_BITS) & 1).view(np.int64) for s in found]
-            lists = [pa.array([x.view(np.int64) for x in part], pa.list_(pa.int64())) for part in (fixed, found)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array([len(s) for s in found], pa.int64()), *lists], names=["node", "n", "sketch", "shingles"])
+            h = batch.column(1).to_numpy()
+            hit = pa.array(((table[(h >> 6) & (len(table) - 1)] >> (h & 63)) & 1).astype(bool))
+            for part in pieces([batch.filter(hit)], 0, AT_ONCE):
+                found = [s for s in shingle(part.column(0)) if len(s)]
+                fixed = [np.packbits(np.bincount((s & np.uint64(FIXED_BITS - 1)).astype(np.int64), minlength=FIXED_BITS) & 1).view(np.int64) for s in found]
+                lists = [pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64())) for xs in (fixed, found)]
+                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), *lists], names=["node", "n", "sketch", "shingles"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, f"node {kind}, n bigint, sketch array<bigint>, shingles array<bigint>")
-    return rows.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    rows = docs.filter("doc_id IS NOT NULL").select("text", row_hash(F.col("doc_id"), row_key(F.col("text"))).alias("h"))
+    rows = rows.mapInArrow(run, "node bigint, n bigint, sketch array<bigint>, shingles array<bigint>")
+    return rows.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def row_hash(doc_id: Column, rk: Column) -> Column:
+    return F.xxhash64(doc_id, rk)
 
 
 def may_link(percent: int) -> Column:
@@ -253,27 +269,20 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return checked.filter(100 * F.col("both") >= percent * F.col("all")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id that links reach): one row per row of docs."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def clusters(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, text. Two written tables: doc_id, rk, n, sig of every row; and sig, rows, one, root of every set that a row with an id has: how many rows have it, the first of them (doc_id, rk), and the smallest sig that links reach."""
     bands = Bands(percent)
     seen = materialize(describe(docs, size, bands))
-    common = seen.filter("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_LEAST)
-    common = common.orderBy(F.col("n").desc(), "key").limit(HOT_MOST).toPandas()
-    hot = Hot(common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64))
-
-    rows = seen.filter("key IS NULL").select("doc_id", "n", "sig")
-    nodes = rows.filter("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("node"))
-    shares = sharers(offered(docs, size, bands, hot))
-    member = shares.join(nodes, "sig").join(nodes.select(F.col("sig").alias("leader"), F.col("node").alias("head")), "leader")
-    member = materialize(member.select("key", "node", "head"))
+    rows = seen.filter("cells IS NULL").select("doc_id", "rk", "n", "sig")
+    nodes = rows.filter("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "rk")).alias("one"))
+    nodes = materialize(nodes.select(F.col("sig").alias("node"), "rows", "one", row_hash(F.col("one.doc_id"), F.col("one.rk")).alias("h")))
+    member = materialize(sharers(offered(docs, size, bands, Common(count_blocks(seen)))))
     # who shares a block: the original of many copies shares most, with most, and so leads its blocks
-    holds = materialize(member.select("key", "node").union(member.select("key", "head")).distinct())
+    holds = materialize(member.select("key", F.col("sig").alias("node")).union(member.select("key", "leader")).distinct())
     crowd = holds.join(holds.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
     weight = crowd.groupBy("node").agg(F.sum("size").alias("weight"))
     lead = holds.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("head"))
-    sets = materialize(sets_of(docs, holds.select("node").distinct(), size))
+    sets = materialize(sets_of(docs, materialize(nodes.join(holds.select("node").distinct(), "node", "left_semi").select("node", "h")), size))
 
     pairs = holds.join(lead, "key").filter("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     pairs = materialize(pairs)
@@ -290,12 +299,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     more = materialize(verified(other.join(pairs, ["a", "b"], "left_anti"), sets, percent))
     if not more.isEmpty():
         roots = components(links.union(more))
+    return rows, materialize(nodes.join(roots, "node", "left").select(F.col("node").alias("sig"), "rows", "one", F.coalesce("root", "node").alias("root")))
 
-    by_set = nodes.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("component"))
-    out = rows.join(by_set, "sig", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component)
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, rk, n_shingles, component_id (the smallest id that links reach), first_rk: one row per row of docs.
+
+    rk, a hash of the text, tells rows of one id apart; component_id and first_rk name the first row of the component. A row belongs to the component of its own text: rows of one id and different texts can be in different ones.
+    """
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows, groups = clusters(docs, size, percent)
+    by_root = materialize(groups.groupBy("root").agg(F.count(F.lit(1)).alias("sets"), F.min("one").alias("first")))
+    by_sig = materialize(join_hot(groups.select("sig", "rows", "root"), by_root, "root", groups.count(), "sets"))
+    with_id = rows.filter("sig IS NOT NULL AND doc_id IS NOT NULL")
+    out = join_hot(with_id, by_sig.select("sig", "rows", F.col("first.doc_id").alias("component"), F.col("first.rk").alias("first_rk")), "sig", rows.count())
+    alone = rows.filter("sig IS NULL OR doc_id IS NULL").withColumn("component", F.col("doc_id")).withColumn("first_rk", F.col("rk"))
+    out = out.unionByName(alone)
+    return out.select("doc_id", "rk", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "first_rk")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=90)
+    return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=90).drop("rk", "first_rk")
