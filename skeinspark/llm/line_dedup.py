@@ -3,8 +3,8 @@
 The occurrences of long enough lines (hash, document, position) are range-partitioned by hash and a slice of the documents,
 and sorted by document and position within a hash; a lag over that order streams the first occurrence of a line in each
 document. The slice lets a line that a third of all documents hold cross several partitions; the counts of its slices are
-combined map-side before they meet. Lines found in enough documents go back to their occurrences, and what has to go is
-returned as a bitmap per document: 64 lines a word, words after the last dropped line elided.
+combined map-side before they meet. Lines found in enough documents go back to their occurrences (those that hold a thousandth
+of all occurrences or more, a thousand lines at most, by broadcast), and what has to go is returned as a bitmap per document: 64 lines a word, words after the last dropped line elided.
 
 Defined cases: a null or empty text is one empty line; repeated rows (same id and text) count as one document and share a
 bitmap; rows with a null id keep all lines and count for no line; an empty table gives an empty result.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeinspark.llm.common import SPACES, ascii_lower, materialize, read
+from skeinspark.llm.common import SPACES, ascii_lower, free_name, join_hot, materialize, read, row_key
 
 WORD = 64
 
@@ -24,14 +24,10 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _row_key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def line_occurrences(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """h, doc_id, rk, pos: lines whose key has min_chars code points at least. rk tells rows of one id apart."""
     rows = docs.filter(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), _row_key(F.col(text_col)).alias("rk"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line")
+        F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("rk"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line")
     )
     rows = rows.filter(F.char_length("line") >= min_chars).withColumn("line", F.btrim("line", F.lit(SPACES))).filter(F.char_length("line") >= min_chars)
     return rows.select(F.unhex(F.substring(F.sha2(ascii_lower(F.col("line")), 256), 1, 32)).alias("h"), "doc_id", "rk", "pos")
@@ -44,9 +40,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ranged = found.repartitionByRange("h", "slice")
     order = Window.partitionBy("h", "slice").orderBy(F.col("doc_id").desc(), "rk", "pos")
     before = F.lag("doc_id").over(order)
-    firsts = ranged.select("h", "doc_id", (before.isNull() | (before != F.col("doc_id"))).alias("first")).filter("first")
-    repeated = firsts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).filter(F.col("n") >= min_docs)
-    gone = found.join(repeated.select("h", "keeper"), "h").filter(F.col("doc_id") != F.col("keeper"))
+    firsts = ranged.select("h", "doc_id", (before.isNull() | (before != F.col("doc_id"))).alias("first"))
+    repeated = firsts.groupBy("h").agg(F.count_if("first").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("doc_id").alias("keeper"))
+    repeated = materialize(repeated.filter(F.col("n") >= min_docs).select("h", "rows", "keeper"))
+    gone = join_hot(found.select("h", "doc_id", "rk", "pos"), repeated, "h", found.count()).filter(F.col("doc_id") != F.col("keeper"))
     words = gone.groupBy("doc_id", "rk", F.floor(F.col("pos") / WORD).cast("int").alias("no")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")).alias("drop")
     )
@@ -57,23 +54,24 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with __kept (the text of the lines that stay) and __dropped added."""
-    marks = bitmaps.select(F.col("doc_id").alias("__id"), F.col("rk").alias("__rk"), F.col("keep").alias("__keep"), F.col("n_dropped").alias("__dropped"))
-    rows = docs.withColumn("__key", _row_key(F.col(text_col)))
-    rows = rows.join(marks, (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col("__rk")), "left")
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: str = "kept", dropped: str = "dropped") -> DataFrame:
+    """docs with two columns added, whose names must be free: the text of the lines that stay, and how many don't."""
+    names = [free_name(docs, n) for n in ("mark_id", "mark_rk", "mark_keep", "mark_dropped")]
+    i, k, keep, n = names
+    marks = bitmaps.select(*[F.col(c).alias(name) for c, name in zip(("doc_id", "rk", "keep", "n_dropped"), names, strict=True)])
+    rows = docs.join(marks, (docs[id_col] == F.col(i)) & (row_key(docs[text_col]) == F.col(k)), "left")
     stays = F.filter(
         _lines(F.col(text_col)),
-        lambda line, i: (F.floor(i / WORD) >= F.size("__keep")) | (F.getbit(F.get("__keep", F.floor(i / WORD).cast("int")), F.pmod(i, F.lit(WORD))) == 1),
+        lambda line, j: (F.floor(j / WORD) >= F.size(keep)) | (F.getbit(F.get(keep, F.floor(j / WORD).cast("int")), F.pmod(j, F.lit(WORD))) == 1),
     )
-    kept = F.when(F.col("__keep").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(stays, "\n"))
-    return rows.withColumn("__kept", kept).withColumn("__dropped", F.coalesce("__dropped", F.lit(0).cast("long"))).drop("__id", "__rk", "__key", "__keep")
+    text = F.when(F.col(keep).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(stays, "\n"))
+    return rows.withColumn(kept, text).withColumn(dropped, F.coalesce(n, F.lit(0).cast("long"))).drop(*names)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = apply_bitmaps(docs, keep_bitmaps(docs))
-    return out.select("doc_id", F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), F.col("__dropped").alias("n_dropped"), F.sha2("__kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", F.size(_lines(F.col("text"))).cast("long").alias("n_lines"), F.col("dropped").alias("n_dropped"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 OP7_SQL = r"""
