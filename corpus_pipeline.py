@@ -10,39 +10,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinspark.llm import bpe, decontaminate, line_dedup, near_dup, quality
-from skeinspark.llm.common import materialize, read
+from skeinspark.llm.common import drop_rows, free_name, keep_once, materialize, read
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from the labels that op5 may learn from."""
+    """Rows that the classifier rejects go, each judged by its own text; a null text counts as empty. It learns from the labels that op5 may learn from."""
     return quality.keep_good(docs, quality.fit(docs, quality.learnable(read(spark, sf_dir, "labels"))))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that three or more documents share stay in the last of them only; n_chars follows the text. Documents all stay."""
-    out = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    text = F.when(F.col("__dropped") > 0, F.col("__kept")).otherwise(F.col("text"))
-    chars = F.when(F.col("__dropped") > 0, F.char_length("__kept").cast("long")).otherwise(F.col("n_chars"))
+    """Lines that three or more documents share stay in the last of them only; n_chars follows the text. Rows all stay.
+
+    A row without an id keeps all its lines and counts for none.
+    """
+    kept, dropped = free_name(docs, "kept"), free_name(docs, "dropped")
+    out = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs), kept=kept, dropped=dropped)
+    text = F.when(F.col(dropped) > 0, F.col(kept)).otherwise(F.col("text"))
+    chars = F.when(F.col(dropped) > 0, F.char_length(kept).cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).withColumn("text", text).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of the smallest id stays."""
-    found = near_dup.near_duplicates(docs)
-    extra = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(extra, F.col("doc_id") == F.col("__id"), "left_anti")
+    """Of each group of near duplicates (five-word shingles, similarity 0.8) one row stays: that of the smallest id and, of one id, of the smallest text hash.
+
+    Of rows that repeat both, one stays. Rows without words or without an id are in no group and stay; rows of one id and different
+    texts are judged each by its own text.
+    """
+    found = materialize(near_dup.near_duplicates(docs))
+    grouped = found.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    extra = grouped.filter("component_id <> doc_id OR first_rk <> rk").select("doc_id", "rk").distinct()
+    firsts = grouped.filter("component_id = doc_id AND first_rk = rk").groupBy("doc_id", "rk").agg(F.count(F.lit(1)).alias("n"))
+    return keep_once(drop_rows(docs, extra), materialize(firsts.filter("n > 1").select("doc_id", "rk")))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of any benchmark item go."""
+    """Rows whose text holds a window of any benchmark item go; null texts hold none, and rows of one id, or of none, are judged each by its own text."""
     windows = decontaminate.item_windows(read(spark, sf_dir, "benchmark"), 8)
     hits = decontaminate.window_hits(docs, windows)
-    dirty = hits.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dirty, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return drop_rows(docs, hits.select("doc_id", "rk").distinct())
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of every document that is left."""
+    """The token ids of every row that is left; a null text has none."""
     return bpe.encode(docs, bpe.vocabulary())
 
 
