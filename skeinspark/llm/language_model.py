@@ -1,37 +1,37 @@
 """Language-model scoring by a hierarchical Pitman-Yor model over words.
 
-Restaurants. Every word that is followed by another in training has a restaurant for what follows it, in which every word is a
-dish of its own. Contexts of one class (by their last letters) share a parent restaurant and the classes the unigram
-restaurant, whose base is uniform. In these parents the dishes are the `head` most frequent words and one dish for all rarer
-words; what that stands for is drawn from a further restaurant over the rarer words, with a uniform base over them and one
-unknown word. So a probability that falls back to the parents is a product of two for rare words, and all sum to one over the
-vocabulary with the unknown word.
-
-Seating. Which dish a customer eats is observed, so the state is how many tables serve each dish in each restaurant. A Gibbs
-sweep reseats, level by level, all customers of a dish in a restaurant as one block given the rest: some sequential seatings
-are drawn, each customer opening a table by the Pitman-Yor rule, and one of them is kept with the chance of its importance
-weight. Blocks of a level are redrawn together, given the sweep before. A pair that occurs once has one table always.
-Discounts come from the counts of counts. Scores are of the tables and parents' probabilities averaged over the sweeps after
-burn-in.
-
-Size. Pairs of words are counted and seated in buckets of whole restaurants, packed in rows, whose number grows with the corpus;
-texts ask the buckets for what their pairs add. The largest restaurant is one row. What reaches the driver or is broadcast is
-bounded: `vocabulary` words with the weights of `contexts` of them, classes x (head + 1) cells, and a row for each distinct
-word count (at most the square root of twice the tokens).
+Restaurants. Every word that another follows in training, and the start of texts, has a restaurant in which what follows is
+served: a customer for each time, so a dish's customers are the count of the pair. All context restaurants share one parent, to
+which each table is sent as a customer; the parent's discount is 0 and its base is uniform over the words of training and one
+unknown word.
+
+Seating is sampled by Gibbs. Which dish a customer eats is observed, so the state is the number of tables t of each pair. Given
+the parent's probabilities G and, for each context, a gamma variable X that stands for the product of its factors (strength +
+discount * tables), the tables of all pairs are independent: the chance of t is in proportion to S(c, t) * (discount * X * G)^t,
+with the generalised Stirling numbers S. So a sweep draws G (gamma variables by word), X (by context), then all t at once, each
+from its exact conditional distribution; no block is drawn from stale neighbours, and the parts of a sweep need no order. For
+counts above `exact`, where S comes from an integral or its saddle point, t makes Metropolis moves on that distribution instead. A pair that
+occurs once has one table always, so only the others are redrawn.
+
+Scores come from the predictive rule with the tables, the parent's customers and the contexts' tables averaged over the sweeps
+after burn-in; each context's probabilities sum to one over the vocabulary with the unknown word. The discount comes from the
+counts of counts.
+
+Size. Nothing is capped: all contexts, words and pairs are counted, seated and looked up, in buckets whose number grows with the
+corpus. A bucket has whole contexts, but for those of a thousandth of all tokens or more (a thousand at most), whose pairs are
+spread over all buckets. What reaches the driver or is broadcast is bounded: those contexts, sums, and the `cached` most frequent
+words and pairs, which spare look-ups; their scores are those of the tables. Words are told apart by 64 bits of hash.
 
 Defined cases: a null or empty text is its end token; a row without an id isn't learned from and isn't held out; repeated rows
-are learned from and scored as often as they occur; without training rows every base score is 0.
+are learned from and scored as often as they occur; without training rows every score is 0; other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-from collections import Counter
+import gc
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
@@ -39,660 +39,822 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinspark.llm.common import crc_mod, discard, materialize, read
+from skeinspark.llm.tokens import WordHasher, pieces
 
-END = b""
-VOCABULARY, HEAD, CONTEXTS, CLASSES = 400_000, 2048, 400_000, 64
-FLUSH = 1_000_000
-BURN_IN, SWEEPS, DRAWS = 3, 5, 3
-STRENGTH = 1.0
-#: Training tokens to a bucket of contexts.
-SHARE = 1_000_000
-BITS = 24
+#: Keys that are no word's hash but by a chance of 2^-64: the end of a text, and its start as a context.
+END, START = np.int64(1), np.int64(2)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text, cut at ASCII white space; bytes are lower-cased in A-Z only."""
-    return (text or "").encode().lower().split()
+@dataclass(frozen=True)
+class Settings:
+    """strength: of a context; root: the root's strength for each word of its base; exact: customers of a dish up to which Stirling numbers are tabled.
 
+    share: bytes of text to a bucket; flush: tokens that a task holds at once; hot_share: a context of one token in so many is spread; cached: words and pairs.
+    """
 
-def word_class(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % (CLASSES - 1)
-
-
-#: The class in which texts start.
-START = CLASSES - 1
-
+    burn_in: int = 3
+    sweeps: int = 5
+    moves: int = 4
+    strength: float = 1.0
+    root: float = 0.5
+    exact: int = 256
+    share: int = 16 << 20
+    flush: int = 1 << 21
+    hot_share: int = 1000
+    cached: int = 1 << 18
 
-def seat(c: np.ndarray, strength: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator, draws: int = DRAWS, at_once: int = 100_000) -> np.ndarray:
-    """Tables for blocks of c customers each. strength: concentration plus discount times the restaurant's other tables.
 
-    Customers come one by one at first and then in runs of a sixteenth of those seated, for which the chance of a new table is
-    held at the middle of the run; so a block takes steps in proportion to the logarithm of its customers.
-    """
-    c, strength, base = (np.asarray(x, float) for x in (c, strength, base))
-    out = np.minimum(c, 1.0)
-    many = np.flatnonzero(c > 1)
-    for first in range(0, len(many), at_once):
-        part = many[first : first + at_once]
-        out[part] = _seat(c[part], strength[part], base[part], d, rng, draws)
-    return out
+DEFAULT = Settings()
 
 
-def _seat(c: np.ndarray, strength: np.ndarray, base: np.ndarray, d: float, rng: np.random.Generator, draws: int) -> np.ndarray:
-    n = len(c)
-    c, s, p = (np.tile(x, draws) for x in (c, strength, base))
-    t, i, weight = np.ones(len(c)), np.ones(len(c)), np.zeros(len(c))
-    on = np.arange(len(c))
-    while len(on):
-        seated, tables = i[on], t[on]
-        run = np.minimum(np.maximum(1, np.floor(seated / 16)), c[on] - seated)
-        fresh = (s[on] + d * tables) * p[on]
-        all_ = seated + (run - 1) / 2 - d * tables + fresh
-        chance = np.clip(fresh / all_, 0, 1)
-        opened = np.where(run == 1, rng.random(len(on)) < chance, 0)
-        long = np.flatnonzero(run > 1)
-        opened[long] = rng.binomial(run[long].astype(np.int64), chance[long])
-        weight[on] += run * np.log(all_)
-        t[on] += opened
-        i[on] += run
-        on = on[i[on] < c[on]]
-    w = weight.reshape(draws, n)
-    w = np.exp(w - w.max(0)).cumsum(0)
-    pick = (rng.random(n) * w[-1] > w).sum(0)
-    return t.reshape(draws, n)[pick, np.arange(n)]
+# -- packed columns ------------------------------------------------------------------
+def pack(a: np.ndarray) -> bytes:
+    """Numbers of one kind, compressed byte by byte of their places."""
+    a = np.ascontiguousarray(a)
+    raw = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+    return len(a).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(raw, asbytes=True) if len(a) else b"")
 
 
-def discount(c: np.ndarray) -> float:
-    one, two = int((c == 1).sum()), int((c == 2).sum())
-    return float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
+def unpack(b: bytes, kind: type = np.int64) -> np.ndarray:
+    n, wide = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(pa.Codec("zstd").decompress(b[8:], wide * n), np.uint8)
+    return np.ascontiguousarray(raw.reshape(wide, n).T).view(kind).ravel()
 
 
-def word_key(word: bytes) -> int:
-    """57 bits of a word's hash and its class; two of n words share them with a chance of about n squared / 2^58."""
-    return (int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") >> 7) << 6 | word_class(word)
+def join_packed(table: pa.Table, name: str, kind: type = np.int64) -> np.ndarray:
+    found = [unpack(x.as_py(), kind) for x in table.column(name) if x.is_valid]
+    return np.concatenate(found) if found else np.zeros(0, kind)
 
 
-def keys_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(word_key, words), np.int64, len(words))
+def rows_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-#: Contexts and words go by codes: the place in the vocabulary, or -1 - key outside it. No word holds a blank, so these are no word's codes: the start of a text, and under what words outside the vocabulary are looked up.
-START_CODE, WORD_CODE = (-1 - (word_key(w) >> 6 << 6 | START) for w in (b" start", b" word"))
+def spark_schema(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {({'int64': 'bigint', 'binary': 'binary', 'double': 'double'}[str(f.type)])}" for f in schema)
 
 
-def key_at(codes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return np.where(codes < 0, -1 - codes, keys[np.maximum(codes, 0)] if len(keys) else 0)
+def schema_of(text: str) -> pa.Schema:
+    """b:i means a bigint column b, :p packed numbers, :d a double."""
+    kinds = {"i": pa.int64(), "p": pa.binary(), "d": pa.float64()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split(":") for x in text.split())])
 
 
-def bucket_of(codes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((codes * np.int64(0x5851F42D4C957F2D)) >> 33 & 0x3FFFFFFF) % buckets
+def mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = (u * np.int64(0x5851F42D4C957F2D) ^ w) * np.int64(0x14057B7EF767814F)
+    return x ^ (x >> 29)
 
 
-def mixed(u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return (u * np.int64(0x5851F42D4C957F2D) ^ w) * np.int64(0x14057B7EF767814F)
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (keys >> 33 & 0x3FFFFFFF) % buckets
 
 
-def pack(a: np.ndarray) -> bytes:
-    """Eight-byte numbers, compressed byte by byte of their places."""
-    raw = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), 8).T).tobytes()
-    return len(a).to_bytes(8, "little") + (pa.Codec("zstd", 1).compress(raw, asbytes=True) if len(a) else b"")
+def is_hot(u: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """hot: sorted keys; the place of each of u among them, or -1."""
+    if not len(hot):
+        return np.full(len(u), -1)
+    at = np.searchsorted(hot, u).clip(0, len(hot) - 1)
+    return np.where(hot[at] == u, at, -1)
 
 
-def unpack(b: bytes, kind: type = np.int64) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    if not n:
-        return np.zeros(0, kind)
-    raw = np.frombuffer(pa.Codec("zstd").decompress(b[8:], 8 * n), np.uint8)
-    return np.ascontiguousarray(raw.reshape(8, n).T).view(kind).ravel()
+def bucket_of_pairs(u: np.ndarray, pair: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
+    return bucket_of(np.where(is_hot(u, hot) >= 0, pair, u), buckets)
 
 
 def parts(bucket: np.ndarray, *cols: np.ndarray):
     """(bucket, columns) of each bucket that has rows."""
+    if not len(bucket):
+        return
+    bucket = bucket.astype(np.int16 if bucket.max() < 1 << 15 else np.int64)
     order = np.argsort(bucket, kind="stable")
     bucket, cols = bucket[order], [c[order] for c in cols]
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for i, j in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
         yield int(bucket[i]), [c[i:j] for c in cols]
 
 
-def one_by_one(batch: pa.RecordBatch):
-    """The rows of a batch of large values, of which one is copied at a time."""
-    for i in range(batch.num_rows):
-        yield [c[i].as_py() for c in batch.columns]
-
-
-def table_of(rows: list[tuple], schema: pa.Schema) -> pa.Table:
-    return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+def summed(keys: np.ndarray, *cols: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys, ascending, and the sums of the columns."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return [keys[new], *[np.add.reduceat(c[order], new) if len(new) else c for c in cols]]
+
+
+# -- tokens --------------------------------------------------------------------------
+def runs_of(batches, column: int, flush: int):
+    """Keys of the words of runs of texts of `flush` tokens or so, the words of each text, and the slices of the batches that hold them."""
+    words = WordHasher()
+    keys, counts, held, n = [], [], [], 0
+    for batch in pieces(batches, column):
+        h, c = words(batch.column(column))
+        keys.append(h.view(np.int64))
+        counts.append(c)
+        held.append(batch)
+        n += len(h) + len(c)
+        if n >= flush:
+            yield np.concatenate(keys), np.concatenate(counts), held
+            keys, counts, held, n = [], [], [], 0
+    if held:
+        yield np.concatenate(keys), np.concatenate(counts), held
+
+
+def with_ends(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context and word of every token, the end of each text among them, and the text's number."""
+    n = counts + 1
+    last = np.cumsum(n) - 1
+    w = np.full(int(n.sum()), END)
+    inner = np.ones(len(w), bool)
+    inner[last] = False
+    w[inner] = keys
+    u = np.empty_like(w)
+    u[1:] = w[:-1]
+    u[last - n + 1] = START
+    return u, w, np.repeat(np.arange(len(n)), n)
+
+
+WORDS = schema_of("b:i k:p c:p tokens:i types:i")
+
+
+def count_words(train: DataFrame, buckets: int, how: Settings) -> DataFrame:
+    """A row a bucket: the keys of its words, ascending, and how often each occurs."""
+    part = schema_of("b:i k:p c:p")
+
+    def count(batches):
+        for keys, counts, _ in runs_of(batches, 0, how.flush):
+            k, c = np.unique(keys, return_counts=True)
+            k, c = np.concatenate([k, [END]]), np.concatenate([c, [len(counts)]])
+            yield from rows_of([(b, *map(pack, cols)) for b, cols in parts(bucket_of(k, buckets), k, c)], part).to_batches()
 
+    def merge(table: pa.Table) -> pa.Table:
+        k, c = summed(join_packed(table, "k"), join_packed(table, "c"))
+        return rows_of([(table.column("b")[0].as_py(), pack(k), pack(c), int(c.sum()), len(k))], WORDS)
 
-@dataclass
-class Model:
-    """log10 probabilities: follow[class, dish], rare[count] of a rarer word of that count, given that it is one; own[word] the weight with which a context word falls back to its class.
+    return train.mapInArrow(count, spark_schema(part)).groupBy("b").applyInArrow(merge, spark_schema(WORDS))
 
-    gains: by bucket of contexts, packed: for pairs seen in training what they add to the fall-back of their context, and the weights of all contexts.
-    """
 
-    words: list[bytes]
-    counts: np.ndarray
-    n_tokens: int
-    n_types: int
-    follow: np.ndarray
-    rare_counts: np.ndarray
-    rare_logs: np.ndarray
-    contexts: int
-    head: int
-    own: np.ndarray | None = None
-    start: float = 0.0
-    gains: DataFrame | None = None
-    buckets: int = 1
+def level(c: np.ndarray) -> np.ndarray:
+    """Eight steps of size to a doubling."""
+    return np.floor(8 * np.log2(np.maximum(c, 1))).astype(np.int64)
 
 
-class Ids(dict):
-    """Numbers words in the order in which a task meets them."""
+def cut_of(table: DataFrame, count_col: str, most: int, kind: type = np.int64) -> int:
+    """The least level above which there are `most` counts at most."""
 
-    def __init__(self):
-        self.words = []
+    def run(batches):
+        for batch in batches:
+            for x in batch.column(0):
+                at, n = np.unique(level(unpack(x.as_py(), kind)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["at", "n"])
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = i = len(self)
-        self.words.append(word)
-        return i
+    got = table.select(count_col).mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toPandas().sort_values("at", ascending=False)
+    fit = got[got["n"].cumsum() <= most]
+    return int(fit["at"].min()) if len(fit) else 1 << 40
 
 
-def count_pairs(train: DataFrame, text_col: str, words: list[bytes], buckets: int) -> DataFrame:
-    """b, u, w, c: how often each word follows each context word, for all of them, packed by bucket of the context. Counted over runs of bounded size first."""
-    shared = train.sparkSession.sparkContext.broadcast((b" ".join(words[1:]), bool(words)))
+def hot_words(words: DataFrame, tokens: int, how: Settings) -> np.ndarray:
+    """The words that are a thousandth of all tokens or more, and the start: contexts whose pairs are spread."""
 
     def run(batches):
-        blob, trained = shared.value
-        ids = {w: i for i, w in enumerate([END, *blob.split()])} if trained else {}
-        schema = pa.schema([("b", pa.int64()), ("u", pa.binary()), ("w", pa.binary()), ("c", pa.binary())])
-
-        def rows(seen: Ids, held: list[np.ndarray]):
-            pairs, c = np.unique(np.concatenate(held), return_counts=True)
-            codes = codes_of(seen.words, ids)
-            codes[0] = START_CODE
-            u, w = codes[pairs >> 32], codes[pairs & 0xFFFFFFFF]
-            order = np.lexsort((w, u))
-            u, w, c = u[order], w[order], c[order]
-            out = [(b, *map(pack, cols)) for b, cols in parts(bucket_of(u, buckets), u, w, c)]
-            yield from table_of(out, schema).to_batches()
-
-        seen, held, n = fresh_ids(), [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                x = np.array([0, *map(seen.__getitem__, tokens(text)), 1], np.int64)
-                held.append(x[:-1] << 32 | x[1:])
-                n += len(x) - 1
-                if n >= FLUSH:
-                    yield from rows(seen, held)
-                    seen, held, n = fresh_ids(), [], 0
-        if held:
-            yield from rows(seen, held)
-
-    return train.select(F.col(text_col).alias("text")).mapInArrow(run, "b bigint, u binary, w binary, c binary")
+            for k, c in zip(*batch.columns, strict=True):
+                k, c = unpack(k.as_py()), unpack(c.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(k[c * how.hot_share >= tokens])], names=["k"])
 
+    got = words.select("k", "c").mapInArrow(run, "k bigint").toPandas()["k"].to_numpy(np.int64)
+    return np.unique(np.concatenate([got, [START]]))
 
-def fresh_ids() -> Ids:
-    """The start of a text is 0 and its end 1."""
-    seen = Ids()
-    seen[b" start"], seen[END]
-    return seen
 
+CELLS = schema_of("b:i u1:p w1:p u:p w:p c:p one:i two:i")
 
-def codes_of(words: list[bytes], ids: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter((i if (i := ids.get(w, -1)) >= 0 else -1 - word_key(w) for w in words), np.int64, len(words))
 
+def count_pairs(train: DataFrame, hot: np.ndarray, buckets: int, how: Settings) -> DataFrame:
+    """A row a bucket, in the order of contexts: u1, w1, the pairs that occur once, and u, w, c, the others and how often."""
+    part = schema_of("b:i u:p w:p c:p")
 
-def merge_pairs(pairs: DataFrame, keys: np.ndarray) -> DataFrame:
-    """One row a bucket: its pairs, whole restaurants, in the order of their keys."""
-    shared = pairs.sparkSession.sparkContext.broadcast(keys)
-    schema = pa.schema([("b", pa.int64()), ("u", pa.binary()), ("w", pa.binary()), ("c", pa.binary())])
+    def count(batches):
+        for keys, counts, _ in runs_of(batches, 0, how.flush):
+            u, w, _ = with_ends(keys, counts)
+            pair = mixed(u, w)
+            order = np.argsort(pair)
+            pair = pair[order]
+            new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            u, w, c = u[order[new]], w[order[new]], np.diff(np.concatenate([new, [len(pair)]]))
+            where = bucket_of_pairs(u, pair[new], hot, buckets)
+            order = np.argsort(u)
+            u, w, c, where = u[order], w[order], c[order].astype(np.int32), where[order]
+            yield from rows_of([(b, *map(pack, cols)) for b, cols in parts(where, u, w, c)], part).to_batches()
 
     def merge(table: pa.Table) -> pa.Table:
-        u, w, c = (np.concatenate([unpack(x) for x in table.column(n).to_pylist()]) for n in "uwc")
-        order = np.lexsort((key_at(w, shared.value), key_at(u, shared.value)))
+        u, w, c = join_packed(table, "u"), join_packed(table, "w"), join_packed(table, "c", np.int32)
+        pair = mixed(u, w)
+        order = np.argsort(pair)
+        pair = pair[order]
+        new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        u, w, c = u[order[new]], w[order[new]], np.add.reduceat(c[order].astype(np.int64), new)
+        order = np.argsort(u, kind="stable")
         u, w, c = u[order], w[order], c[order]
-        new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
-        return table_of([(table.column("b")[0].as_py(), pack(u[new]), pack(w[new]), pack(np.add.reduceat(c, new)))], schema)
+        many = c > 1
+        return rows_of([(table.column("b")[0].as_py(), pack(u[~many]), pack(w[~many]), pack(u[many]), pack(w[many]), pack(c[many]), int((~many).sum()), int((c == 2).sum()))], CELLS)
 
-    return pairs.groupBy("b").applyInArrow(merge, "b bigint, u binary, w binary, c binary")
+    return train.mapInArrow(count, spark_schema(part)).groupBy("b").applyInArrow(merge, spark_schema(CELLS))
 
 
-def with_tags(table: DataFrame, counts: DataFrame, keys: np.ndarray, head: int, at: np.ndarray, rare_counts: np.ndarray) -> DataFrame:
-    """Adds tags: class of the context, dish of the word and the row of its count, which a join finds for words outside the vocabulary."""
-    spark = counts.sparkSession
-    shared = spark.sparkContext.broadcast((keys, at))
-    schema = pa.schema([("id", pa.int64()), *[(n, pa.binary()) for n in ("u", "w", "c", "tag")]])
+# -- seating ---------------------------------------------------------------------------
+def stirling_table(d: float, n: int = DEFAULT.exact) -> list[np.ndarray]:
+    """log S(c, t) for c up to n and t from 1 to c, by S(c + 1, t) = S(c, t - 1) + (c - t d) S(c, t)."""
+    out = [np.zeros(0), np.zeros(1)]
+    for c in range(1, n):
+        t = np.arange(1, c + 1)
+        stay = np.concatenate([out[c] + np.log(np.maximum(c - t * d, 1e-300)), [-np.inf]])
+        out.append(np.logaddexp(stay, np.concatenate([[-np.inf], out[c]])))
+    return out
 
-    def strange(batches):
-        for batch in batches:
-            for b, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                w = np.unique(unpack(w))
-                w = w[w < 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), b)), pa.array(-1 - w)], names=["b", "key"])
 
-    def fill(table: pa.Table, found: pa.Table) -> pa.Table:
-        out, (keys, at) = [], shared.value
-        codes, place = (found.column(n).to_numpy() for n in ("key", "at"))
-        order = np.argsort(codes)
-        codes, place = codes[order], place[order]
-        for b, *cols in zip(*[table.column(n).to_pylist() for n in "buwc"], strict=True):
-            u, w = (unpack(x) for x in cols[:2])
-            inside = w >= 0
-            row = np.zeros(len(w), np.int64)
-            row[inside] = at[w[inside]]
-            if not inside.all():
-                row[~inside] = place[np.searchsorted(codes, -1 - w[~inside])]
-            dish = np.where(inside & (w < head), w, head)
-            out.append((b, *cols, pack((key_at(u, keys) & (CLASSES - 1)) << 40 | dish << BITS | row)))
-        return table_of(out, schema)
+def _saddle(d: float, ratio: np.ndarray) -> np.ndarray:
+    """log y with d (1 - y) y^(d - 1) / (1 - y^d) = ratio, by bisection."""
+    low, high = np.full(len(ratio), -690.0), np.full(len(ratio), -1e-13)
+    for _ in range(60):
+        at = (low + high) / 2
+        big = np.log(d) + np.log(-np.expm1(at)) + (d - 1) * at - np.log(-np.expm1(d * at)) > np.log(ratio)
+        low, high = np.where(big, at, low), np.where(big, high, at)
+    return (low + high) / 2
+
 
-    rows = spark.createDataFrame(pd.DataFrame({"c": rare_counts, "at": np.arange(len(rare_counts))}), "c bigint, at bigint")
-    found = table.select("b", "w").mapInArrow(strange, "b bigint, key bigint").join(counts.select("key", "c"), "key").join(rows, "c").select("b", "key", "at")
-    return table.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(fill, "id bigint, u binary, w binary, c binary, tag binary")
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    x = np.asarray(n, float) + 1
+    small = np.where(x < 16, x + 16, x)
+    out = (small - 0.5) * np.log(small) - small + 0.5 * np.log(2 * np.pi) + 1 / (12 * small) - 1 / (360 * small**3)
+    for i in range(16):
+        out = out - np.where(x < 16, np.log(x + i), 0)
+    return out
+
+
+def _at_saddle(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """log of S(c, t) t! / c! from the saddle point of its generating function ((1 - (1 - z)^d) / d)^t / t!; close if many tables are open."""
+    log_y = _saddle(d, c / t)
+    z = -np.expm1(log_y)
+    spread = c * (1 + (1 - d) * z * np.exp(-log_y) - c / t)
+    return t * np.log(-np.expm1(d * log_y) / d) - c * np.log(z) - 0.5 * np.log(2 * np.pi * np.maximum(spread, 1e-12))
+
+
+def _on_cut(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The same by the integral along that function's cut from 1, whose integrand doesn't swing if few tables are open."""
+    step = 0.2
+    log_s = np.arange(-25, 4.6, step) - np.log(c)[:, None]
+    s = np.exp(log_s)
+    x, y = 1 - s**d * np.cos(np.pi * d), s**d * np.sin(np.pi * d)
+    value = 0.5 * t[:, None] * np.log(x * x + y * y) - (c[:, None] + 1) * np.log1p(s) + log_s
+    return np.log(np.maximum((np.exp(value) * np.sin(t[:, None] * np.arctan2(y, x))).sum(1) * step / np.pi, 1e-300)) - t * np.log(d)
+
+
+def log_stirling(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """log S(c, t) for large c, 1 <= t < c."""
+    c, t = np.asarray(c, float), np.asarray(t, float)
+    border = np.clip(np.floor(0.5 * c**d), 1, c - 1)
+    out, many = np.empty(len(c)), t > border
+    out[~many] = _on_cut(d, c[~many], t[~many])
+    if many.any():
+        n, edge = c[many], border[many]
+        out[many] = _at_saddle(d, n, t[many]) + _on_cut(d, n, edge) - _at_saddle(d, n, edge)
+    return out + _log_factorial(c) - _log_factorial(t)
+
+
+def mode(d: float, c: np.ndarray, log_a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where S(c, t) a^t is largest, and the width of its peak there."""
+    c = np.asarray(c, float)
+    low, high = np.full(len(c), -690.0), np.full(len(c), -1e-13)
+    for _ in range(60):
+        at = (low + high) / 2
+        log_q = np.log(d) + np.log(-np.expm1(at)) + (d - 1) * at - np.log(-np.expm1(d * at))
+        log_t = np.log(c) - log_q
+        rising = np.log(-np.expm1(d * at) / d) - log_t + log_a > 0
+        low, high = np.where(rising, at, low), np.where(rising, high, at)
+    t = np.clip(np.exp(log_t), 1, c - 1)
+    log_y = _saddle(d, c / t)
+    spread = np.maximum(c * (1 + (1 - d) * -np.expm1(log_y) * np.exp(-log_y) - c / t), 1e-9)
+    return t, 1 / np.sqrt(c * c / (t * t * spread) + 1 / t)
+
+
+def seat(c: np.ndarray, t: np.ndarray, log_a: np.ndarray, d: float, rng: np.random.Generator, table: list[np.ndarray], moves: int = DEFAULT.moves, at_once: int = 1 << 20) -> np.ndarray:
+    """New tables of dishes of c >= 2 customers, given the old ones (0: none yet) and a = discount * X * G of each."""
+    out = np.empty(len(c), np.int64)
+    order = np.argsort(c, kind="stable")
+    exact = len(table) - 1
+    bounds = np.searchsorted(c[order], np.arange(exact + 2))
+    for n in range(2, exact + 1):
+        rows = order[bounds[n] : bounds[n + 1]]
+        step = max(1, at_once // n)
+        for first in range(0, len(rows), step):
+            some = rows[first : first + step]
+            x = table[n] + log_a[some, None] * np.arange(1, n + 1)
+            x = np.exp(x - x.max(1, keepdims=True)).cumsum(1)
+            out[some] = 1 + (rng.random((len(some), 1)) * x[:, -1:] > x).sum(1)
+    big = order[bounds[exact + 1] :]
+    if len(big):
+        n, a = c[big], log_a[big]
+        peak, width = mode(d, n, a)
+        now = np.where(t[big] > 0, t[big], np.rint(peak)).clip(1, n - 1)
+        value = log_stirling(d, n, now) + a * now
+        for _ in range(moves if t[big].all() else 16 * moves):
+            to = now + np.rint(rng.normal(0, 1.8 * width + 0.5))
+            inside = (to >= 1) & (to <= n - 1)
+            new = log_stirling(d, n, np.where(inside, to, now)) + a * np.where(inside, to, now)
+            take = inside & (np.log(rng.random(len(n))) < new - value)
+            now, value = np.where(take, to, now), np.where(take, new, value)
+        out[big] = now
+    return out
 
 
-SEATS = "id bigint, r binary, k binary, x binary, at binary, c binary, ones binary, t binary, t_sum binary, own_sum binary, sent binary"
+STATE = schema_of("b:i uk:p single:p ui:p wk:p wi:p c:p t:p t_sum:p up_sum:p hot:p hot_t:p")
+UP = schema_of("at:i b:i k:p n:p")
+DOWN = schema_of("b:i at:i g:p total:d rest:d")
 
 
-def split_tag(tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of the context, dish and row of the count."""
-    return tag >> 40, tag >> BITS & 0xFFFF, tag & ((1 << BITS) - 1)
+def by_bucket_then_key(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Distinct keys by their bucket; so what the buckets answer, one after the other, is in the order of the keys."""
+    keys = np.unique(keys)
+    return keys[np.argsort(bucket_of(keys, buckets), kind="stable")]
 
 
-def sent_up(k: np.ndarray, x: np.ndarray, t: np.ndarray, width: int) -> bytes:
-    """Tables by class and dish: the cells that have some, then their tables."""
-    cells, at = np.unique(k * width + x, return_inverse=True)
-    return np.concatenate([cells, np.bincount(at, t, len(cells)).astype(np.int64)]).tobytes() if len(cells) else b""
+def places(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    order = np.argsort(keys)
+    return order[np.searchsorted(keys[order], of)].astype(np.int32)
 
 
-def begin(table: DataFrame, width: int) -> DataFrame:
-    """The state of the seating before the first sweep: of each block the pairs that occur twice or more, and the others as a number of tables by restaurant. Sent up is what stays: the tables of the pairs that occur once."""
+def hot_tables(uk: np.ndarray, tables: np.ndarray, hot: np.ndarray) -> list[bytes]:
+    at = is_hot(uk, hot)
+    return [pack(at[at >= 0]), pack(tables[at >= 0].astype(np.int64))]
+
+
+def begin(cells: DataFrame, hot: np.ndarray, buckets: int, how: Settings) -> DataFrame:
+    """The state before the first sweep, a row a bucket: contexts uk with the number of their pairs that occur once, words wk, and by place in these the pairs, with one table each (0: to be found, for large counts)."""
 
     def run(batches):
         for batch in batches:
-            for i, *cols in one_by_one(batch):
-                u, c, tag = map(unpack, cols)
-                _, r = np.unique(u, return_inverse=True)
-                k, x, at = split_tag(tag)
-                by_r = np.zeros(r.max() + 1, np.int64)
-                by_r[r] = k
-                many = c > 1
-                ones = np.bincount(r[~many], minlength=len(by_r))
-                arrays = [r[many].astype(np.int32), by_r, x[many].astype(np.int32), at[many].astype(np.int32), c[many], ones, np.ones(many.sum()), np.zeros(many.sum()), np.zeros(len(by_r))]
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *[pa.array([a.tobytes()], pa.binary()) for a in arrays], pa.array([sent_up(k[~many], x[~many], np.ones(len(many) - many.sum()), width)], pa.binary())], names=names)
-
-    names = [f.split()[0] for f in SEATS.split(", ")]
-    return table.select("id", "u", "c", "tag").mapInArrow(run, SEATS)
-
-
-def reseat(state: DataFrame, p1: np.ndarray, rare: np.ndarray, d: float, sweep: int) -> DataFrame:
-    """One sweep over the restaurants of all context words. Pairs that occur once have one table always and aren't in the state but by number."""
-    shared = state.sparkSession.sparkContext.broadcast((p1, rare))
-    keep = sweep >= BURN_IN
-    names = [f.split()[0] for f in SEATS.split(", ")]
-    kinds = [np.int32, np.int64, np.int32, np.int32, np.int64, np.int64, float, float, float]
+            for b, u1, u, w, c in zip(*batch.columns, strict=True):
+                u1, u, w, c = (unpack(x.as_py()) for x in (u1, u, w, c))
+                uk = np.unique(np.concatenate([u, u1[is_hot(u1, hot) >= 0]]))
+                single = np.searchsorted(u1, uk, "right") - np.searchsorted(u1, uk)
+                wk = by_bucket_then_key(w, buckets)
+                ui, wi, t = np.searchsorted(uk, u).astype(np.int32), places(wk, w), np.ones(len(u), np.int32)
+                tables = single + np.bincount(ui, t, len(uk))
+                up = np.bincount(wi, t, len(wk)).astype(np.int64)
+                yield from rows_of([(b.as_py(), *map(pack, (uk, single.astype(np.int64), ui, wk, wi, c, t, np.zeros(len(u), np.int32), up)), *hot_tables(uk, tables, hot))], STATE).to_batches()
+
+    return cells.select("b", "u1", "u", "w", "c").mapInArrow(run, spark_schema(STATE))
+
+
+def sent_up(state: DataFrame, buckets: int) -> DataFrame:
+    """To the bucket of each word: the tables that a bucket of contexts has for it."""
 
     def run(batches):
-        p1, rare = shared.value
         for batch in batches:
-            for i, *cols in one_by_one(batch):
-                r, k, x, at, c, ones, t, t_sum, own_sum = (np.frombuffer(b, kind) for b, kind in zip(cols, kinds, strict=True))
-                rng = np.random.default_rng([abs(i), sweep])
-                tables = ones + np.bincount(r, t, len(k))
-                base = p1[k[r], x] * np.where(x == p1.shape[1] - 1, rare[at], 1)
-                t = seat(c, STRENGTH + d * (tables[r] - t), base, d, rng)
-                if keep:
-                    t_sum, own_sum = t_sum + t, own_sum + ones + np.bincount(r, t, len(k))
-                arrays = [*cols[:6], t.tobytes(), t_sum.tobytes(), own_sum.tobytes(), sent_up(k[r], x, t, p1.shape[1])]
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *[pa.array([a], pa.binary()) for a in arrays]], names=names)
+            for b, k, n in zip(*batch.columns, strict=True):
+                k, n = unpack(k.as_py()), unpack(n.as_py())
+                yield from rows_of([(at, b.as_py(), *map(pack, cols)) for at, cols in parts(bucket_of(k, buckets), k, n)], UP).to_batches()
 
-    return state.drop("sent").mapInArrow(run, SEATS)
+    return state.select("b", "wk", "up_sum").mapInArrow(run, spark_schema(UP))
 
 
-def gather_sent(state: DataFrame, width: int) -> np.ndarray:
-    """What the blocks have sent up, summed: classes by dishes."""
+def singles_up(cells: DataFrame, buckets: int) -> DataFrame:
+    """at, k, n: in how many contexts each word occurs once, by the word's bucket."""
 
     def run(batches):
-        table = np.zeros(CLASSES * width, np.int64)
         for batch in batches:
-            for b in batch.column(0).to_pylist():
-                cells, n = np.frombuffer(b, np.int64).reshape(2, -1)
-                table[cells] += n
-        has = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array(table[has])], names=["cell", "n"])
-
-    got = state.select("sent").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(CLASSES * width)
-    table[got["cell"].to_numpy(int)] = got["n"].to_numpy(float)
-    return table.reshape(CLASSES, width)
-
-
-class Parents:
-    """The class restaurants and the unigram restaurant, which seat the tables of the restaurants below."""
-
-    def __init__(self, dishes: int, seed: int = 3):
-        self.rng, self.dishes, self.d1, self.d0 = np.random.default_rng(seed), dishes, None, 0.5
-        self.t1, self.t0 = np.zeros((CLASSES, dishes)), np.zeros(dishes)
-        self.p0 = np.full(dishes, 1 / dishes)
-
-    def reseat(self, c1: np.ndarray) -> np.ndarray:
-        """c1: customers by class and dish. The classes' predictive probabilities."""
-        d0, self.d1 = self.d0, self.d1 or discount(c1[c1 > 0])
-        a, b = np.nonzero(c1)
-        t = np.maximum(self.t1[a, b], 1)
-        tables = np.bincount(a, t, CLASSES)
-        t = seat(c1[a, b], STRENGTH + self.d1 * (tables[a] - t), self.p0[b], self.d1, self.rng)
-        self.t1 = np.zeros(c1.shape)
-        self.t1[a, b] = t
-        tables, c0 = self.t1.sum(1), self.t1.sum(0)
-        has = np.flatnonzero(c0)
-        t0 = np.maximum(self.t0[has], 1)
-        t0 = seat(c0[has], STRENGTH + d0 * (t0.sum() - t0), np.full(len(has), 1 / self.dishes), d0, self.rng)
-        self.t0 = np.zeros(self.dishes)
-        self.t0[has] = t0
-        self.p0 = (c0 - d0 * self.t0 + (STRENGTH + d0 * t0.sum()) / self.dishes) / (STRENGTH + c0.sum())
-        return (c1 - self.d1 * self.t1 + (STRENGTH + self.d1 * tables)[:, None] * self.p0) / (STRENGTH + c1.sum(1))[:, None]
-
-
-def sample_pairs(table: DataFrame, dishes: int, rare: np.ndarray) -> tuple[np.ndarray, float, DataFrame]:
-    """Averaged probabilities of dishes after classes, the discount of the restaurants below and their last state."""
-    few = table.select("c").mapInArrow(once_or_twice, "one bigint, two bigint").agg(F.sum("one").alias("one"), F.sum("two").alias("two")).first()
-    one, two = few.one or 0, few.two or 0
-    d = float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
-    state = materialize(begin(table, dishes))
-    singles = gather_sent(state, dishes)
-    parents, mean = Parents(dishes), np.zeros((CLASSES, dishes))
-    p1 = np.full((CLASSES, dishes), 1 / dishes)
-    for sweep in range(BURN_IN + SWEEPS):
-        before, state = state, materialize(reseat(state, p1, rare, d, sweep))
-        discard(before)
-        p1 = parents.reseat(singles + gather_sent(state, dishes))
-        if sweep >= BURN_IN:
-            mean += p1
-    return mean / SWEEPS, d, state
-
-
-def once_or_twice(batches):
-    for batch in batches:
-        for b in batch.column(0).to_pylist():
-            c = unpack(b)
-            yield pa.RecordBatch.from_arrays([pa.array([int((c == i).sum())]) for i in (1, 2)], names=["one", "two"])
-
-
-def gains_of(table: DataFrame, state: DataFrame, p1: np.ndarray, rare: np.ndarray, d: float) -> DataFrame:
-    """b, u, w, v, us, own: v, log10 of a pair's probability over its fall-back; own, log10 of the weight of its class for each context of us. Probabilities are of the averaged tables."""
-    shared = table.sparkSession.sparkContext.broadcast((p1, rare))
+            for b, w in zip(*batch.columns, strict=True):
+                k, n = np.unique(unpack(w.as_py()), return_counts=True)
+                yield from rows_of([(at, b.as_py(), *map(pack, cols)) for at, cols in parts(bucket_of(k, buckets), k, n)], UP).to_batches()
+
+    def merge(table: pa.Table) -> pa.Table:
+        k, n = summed(join_packed(table, "k"), join_packed(table, "n"))
+        return rows_of([(table.column("at")[0].as_py(), -1, pack(k), pack(n))], UP)
+
+    return cells.select("b", "w1").mapInArrow(run, spark_schema(UP)).groupBy("at").applyInArrow(merge, spark_schema(UP))
+
+
+def draw_parent(up: DataFrame, singles: DataFrame, sweep: int, root: float) -> DataFrame:
+    """For each bucket of contexts the gamma variables of its words, in the order of UP's keys; total: their sum over the words of a bucket, rest: the customers and base of these that pairs occurring once account for."""
+
+    def run(key, up: pa.Table, single: pa.Table) -> pa.Table:
+        at = key[0].as_py()
+        sk, sn = join_packed(single, "k"), join_packed(single, "n")
+        each = [(b.as_py(), unpack(k.as_py()), unpack(n.as_py())) for b, k, n in zip(up.column("b"), up.column("k"), up.column("n"), strict=True)]
+        if not each:
+            return rows_of([], DOWN)
+        each.sort(key=lambda x: x[0])
+        k, n = summed(np.concatenate([x[1] for x in each]), np.concatenate([x[2] for x in each]))
+        alone = np.zeros(len(k), np.int64)
+        if len(sk):
+            spot = np.searchsorted(sk, k).clip(0, len(sk) - 1)
+            alone = np.where(sk[spot] == k, sn[spot], 0)
+        g = np.random.default_rng([at, sweep, 17]).standard_gamma(n + alone + root)
+        rows = [(b, at, pack(g[np.searchsorted(k, x)]), 0.0, 0.0) for b, x, _ in each]
+        rows[0] = (*rows[0][:3], float(g.sum()), float((alone + root).sum()))
+        return rows_of(rows, DOWN)
+
+    return up.groupBy("at").cogroup(singles.groupBy("at")).applyInArrow(run, spark_schema(DOWN))
+
+
+def reseat(state: DataFrame, down: DataFrame, total: float, hot: np.ndarray, hot_x: np.ndarray, d: float, sweep: int, how: Settings) -> DataFrame:
+    """One sweep over the tables of all pairs."""
+    keep = sweep >= how.burn_in
+
+    def run(key, state: pa.Table, down: pa.Table) -> pa.Table:
+        row = {n: state.column(n)[0].as_py() for n in state.column_names}
+        uk, single, c, wk = (unpack(row[n]) for n in ("uk", "single", "c", "wk"))
+        ui, wi, t, t_sum = (unpack(row[n], np.int32) for n in ("ui", "wi", "t", "t_sum"))
+        if len(c):
+            rng = np.random.default_rng([row["b"], sweep, 29])
+            order = np.argsort(down.column("at").to_numpy())
+            blobs = down.column("g").to_pylist()
+            g = np.concatenate([unpack(blobs[i], float) for i in order])
+            first = np.maximum(t, 1)
+            x = rng.standard_gamma(how.strength / d + single + np.bincount(ui, first, len(uk)))
+            at = is_hot(uk, hot)
+            x[at >= 0] = hot_x[at[at >= 0]]
+            log_a = np.log(d) + np.log(x)[ui] + (np.log(np.maximum(g, 1e-300)) - np.log(total))[wi]
+            t = seat(c, t, log_a, d, rng, stirling_table(d, how.exact), how.moves).astype(np.int32)
+            if keep:
+                t_sum = t_sum + t
+        tables = single + np.bincount(ui, t, len(uk))
+        new = row | {"t": pack(t), "t_sum": pack(t_sum), "up_sum": pack(np.bincount(wi, t, len(wk)).astype(np.int64))}
+        new["hot"], new["hot_t"] = hot_tables(uk, tables, hot)
+        return rows_of([tuple(new[f.name] for f in STATE)], STATE)
+
+    return state.groupBy("b").cogroup(down.groupBy("b")).applyInArrow(run, spark_schema(STATE))
+
+
+def sum_hot(table: DataFrame, hot: np.ndarray, place: str, *cols: str) -> list[np.ndarray]:
+    """What all buckets hold of the spread contexts, a thousand at most."""
 
     def run(batches):
-        p1, rare = shared.value
         for batch in batches:
-            for i, *cols in one_by_one(batch):
-                u, w, c, tag = map(unpack, cols[:4])
-                t_sum, own_sum = (np.frombuffer(b) for b in cols[4:])
-                us, r = np.unique(u, return_inverse=True)
-                k, x, at = split_tag(tag)
-                t = np.ones(len(u))
-                t[c > 1] = t_sum / SWEEPS
-                new = STRENGTH + d * own_sum / SWEEPS
-                base = p1[k, x] * np.where(x == p1.shape[1] - 1, rare[at], 1)
-                gain = np.log10(1 + (c - d * t) / (new[r] * base))
-                own = np.log10(new / (STRENGTH + np.bincount(r, c, len(us))))
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), *[pa.array([pack(z)], pa.binary()) for z in (u, w, gain, us, own)]], names=["b", "u", "w", "v", "us", "own"])
-
-    both = table.join(state.select("id", "t_sum", "own_sum"), "id")
-    return both.select("id", "u", "w", "c", "tag", "t_sum", "own_sum").mapInArrow(run, "b bigint, u binary, w binary, v binary, us binary, own binary")
-
-
-def sample_rare(counts: np.ndarray, types: np.ndarray, seed: int = 5, copies: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """counts: the distinct counts of rarer words; types: words of each. Words of one count are alike, so each is seated `copies` times and weighted. Averaged log10 probability of a word of each count, 0 first."""
-    rng = np.random.default_rng(seed)
-    base = 1 / (types.sum() + 1)
-    one, two = (int(types[counts == i].sum()) for i in (1, 2))
-    d = float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
-    total, tables = float((counts * types).sum()), float(types.sum())
-    known, unknown = np.zeros(len(counts)), 0.0
-    for sweep in range(BURN_IN + SWEEPS):
-        n = np.repeat(counts, copies).astype(float)
-        t = seat(n, np.full(len(n), STRENGTH + d * max(tables - 1, 0)), np.full(len(n), base), d, rng, 1).reshape(len(counts), copies).mean(1)
-        tables = float((t * types).sum())
-        fresh = (STRENGTH + d * tables) * base
-        if sweep >= BURN_IN:
-            known += (counts - d * t + fresh) / (STRENGTH + total)
-            unknown += fresh / (STRENGTH + total)
-    return np.array([0, *counts], np.int64), np.log10(np.array([unknown, *known]) / SWEEPS)
-
-
-def count_words(train: DataFrame, text_col: str) -> DataFrame:
-    """word binary, key, c: how often each word occurs in the texts; the empty word is the end token. Counted in each task first, in a table of bounded size."""
+            for at, *ns in zip(*batch.columns, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(at.as_py())), *[pa.array(unpack(n.as_py()).astype(float)) for n in ns]], names=["at", *cols])
+
+    got = table.select(place, *cols).mapInArrow(run, "at bigint, " + ", ".join(f"{c} double" for c in cols)).groupBy("at").agg(*[F.sum(c).alias(c) for c in cols]).toPandas()
+    out = []
+    for c in cols:
+        x = np.zeros(len(hot))
+        x[got["at"].to_numpy(int)] = got[c].to_numpy(float)
+        out.append(x)
+    return out
 
-    def run(batches):
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(keys_of(list(seen))), pa.array(list(seen.values()), pa.int64())], names=["word", "key", "c"])
 
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(tokens(text))
-                seen[END] += 1
-                if len(seen) > FLUSH // 4:
-                    yield rows()
-                    seen.clear()
-        if seen:
-            yield rows()
-
-    return train.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, key bigint, c bigint").groupBy("word", "key").agg(F.sum("c").alias("c"))
-
-
-def fit(train: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, head: int = HEAD, contexts: int = CONTEXTS) -> tuple[Model, DataFrame]:
-    """The model, and the counts of all words as a table in the shared folder."""
-    counts = materialize(count_words(train, text_col))
-    hist = counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("c")
-    n_tokens, n_types = int((hist["c"] * hist["n"]).sum()), int(hist["n"].sum())
-    # words above a count, so many as fit: every task sends its own share, and ties are never cut
-    above = hist["n"][::-1].cumsum()[::-1]
-    cut = int(hist["c"][above > vocabulary].max()) if (above > vocabulary).any() else 0
-    top = counts.filter((F.col("c") > cut) | (F.col("word") == END)).toPandas()
-    # the end token comes first, so that it is a dish of its own
-    order = sorted(range(len(top)), key=lambda i, w=top["word"].tolist(), c=top["c"].tolist(): (w[i] != END, -c[i], w[i]))
-    words, c = [bytes(top["word"].iat[i]) for i in order], top["c"].to_numpy(np.int64)[order]
-    del top, order
-    head, contexts = max(1, min(head, len(words))), min(contexts, len(words))
-    types = Counter(dict(zip(hist["c"].tolist(), hist["n"].tolist(), strict=True)))
-    types.subtract(c[:head].tolist())
-    rest = sorted((k, n) for k, n in types.items() if n > 0)
-    rare_counts, rare_logs = sample_rare(np.array([k for k, _ in rest], float), np.array([n for _, n in rest], float))
-    model = Model(words, c, n_tokens, n_types, np.zeros((0, 0)), rare_counts, rare_logs, contexts, head)
-    at = np.searchsorted(rare_counts, c).clip(0, len(rare_counts) - 1)
-    model.buckets = max(1, n_tokens // SHARE)
-    keys = keys_of(words)
-    merged = materialize(merge_pairs(count_pairs(train, text_col, words, model.buckets), keys))
-    table = materialize(with_tags(merged, counts, keys, head, at, rare_counts))
-    discard(merged)
-    p1, d, state = sample_pairs(table, head + 1, 10**rare_logs)
-    model.follow, model.gains = np.log10(p1), materialize(gains_of(table, state, p1, 10**rare_logs, d))
-    discard(table)
-    discard(state)
-    fetch(model)
-    return model, counts
-
-
-def fetch(model: Model) -> None:
-    """Brings the weights of the `contexts` most frequent words and of the start to the driver; others are looked up."""
-    most = model.contexts
+def sample(cells: DataFrame, hot: np.ndarray, d: float, customers: float, types: int, buckets: int, how: Settings, seed: int = 3) -> DataFrame:
+    """The state after the last sweep. customers: the pairs that occur once, which are all customers of the root that never change."""
+    spark, rng = cells.sparkSession, np.random.default_rng(seed)
+    singles = materialize(singles_up(cells, buckets))
+    state = materialize(begin(cells, hot, buckets, how))
+    for sweep in range(how.burn_in + how.sweeps):
+        down = materialize(draw_parent(sent_up(state, buckets), singles, sweep, how.root))
+        got = down.agg(F.sum("total").alias("total"), F.sum("rest").alias("rest")).first()
+        # the words of pairs that occur once alone, and the unknown word, are one gamma variable
+        others = customers + how.root * (types + 1) - (got.rest or 0.0)
+        total = (got.total or 0.0) + rng.standard_gamma(max(others, how.root))
+        hot_x = rng.standard_gamma(how.strength / d + sum_hot(state, hot, "hot", "hot_t")[0])
+        before, state = state, materialize(reseat(state, down, total, hot, hot_x, d, sweep, how))
+        for old in (before, down):
+            discard(old)
+        del before, down
+        tidy(spark)
+    discard(singles)
+    return state
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver find out which shuffles nothing refers to any more, so that their files go before the next step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+# -- the model -----------------------------------------------------------------------
+@dataclass
+class Model:
+    """pairs: b, k (mixed keys of pairs, ascending), v: what a pair adds to log10 of its context's weight times the word's probability at the root.
+    words: at, k (keys of words, ascending), c, base, v: log10 of the base probability; log10 of the root's probability plus, for what follows the word, its weight as a context.
+    word_cache, pair_cache: keys and the same values of the most frequent ones."""
+
+    how: Settings
+    n_tokens: int
+    n_types: int
+    buckets: int
+    hot: np.ndarray
+    unseen: float
+    unknown: float
+    start: float
+    discount: float
+    pairs: DataFrame
+    words: DataFrame
+    word_cache: tuple[np.ndarray, ...]
+    pair_cache: tuple[np.ndarray, ...]
 
-    def run(batches):
-        for batch in batches:
-            for us, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                us, own = unpack(us), unpack(own, float)
-                keep = (us >= 0) & (us < most) | (us == START_CODE)
-                yield pa.RecordBatch.from_arrays([pa.array(us[keep]), pa.array(own[keep])], names=["u", "own"])
 
-    got = model.gains.select("us", "own").mapInArrow(run, "u bigint, own double").toPandas()
-    u, own = got["u"].to_numpy(np.int64), got["own"].to_numpy(float)
-    model.own = np.zeros(most)
-    model.own[u[u >= 0]] = own[u >= 0]
-    model.start = float(own[u < 0].sum())
+FINISH = schema_of("at:i b:i k:p n:p uk:p own:p")
+HOTS = schema_of("b:i hot:p t:p c:p")
+RECORDS = schema_of("b:i at:i p:p k:p c:p base:p v:p")
+PAIRS = schema_of("b:i k:p v:p")
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contexts_of(u1: np.ndarray, row: dict, sweeps: int) -> tuple[np.ndarray, ...]:
+    """All contexts of a bucket: keys, averaged tables and customers."""
+    uk2, ui, c, t = unpack(row["uk"]), unpack(row["ui"], np.int32), unpack(row["c"]), unpack(row["t_sum"], np.int32) / sweeps
+    uk = np.unique(np.concatenate([u1, uk2]))
+    single = np.searchsorted(u1, uk, "right") - np.searchsorted(u1, uk)
+    at = np.searchsorted(uk, uk2)[ui] if len(ui) else np.zeros(0, np.int64)
+    return uk, single + np.bincount(at, t, len(uk)), single + np.bincount(at, c, len(uk)), at, c, t
+
+
+def first_row(batch, i: int) -> dict:
+    return {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
+
+
+def finish_up(both: DataFrame, hot: np.ndarray, d: float, buckets: int, how: Settings) -> DataFrame:
+    """To the bucket of each word: its averaged customers at the root from a bucket of contexts, and the weights of the contexts themselves, whose bucket is their own."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = first_row(batch, i)
+                u1, w1 = unpack(row["u1"]), unpack(row["w1"])
+                uk, tables, customers, _, _, t = contexts_of(u1, row, how.sweeps)
+                w = np.concatenate([w1, unpack(row["wk"])[unpack(row["wi"], np.int32)]])
+                k, n = summed(w, np.concatenate([np.ones(len(w1)), t]))
+                cold = is_hot(uk, hot) < 0
+                own = np.log10((how.strength + d * tables) / (how.strength + customers))[cold]
+                empty = pack(np.zeros(0, np.int64))
+                out = [(at, row["b"], *map(pack, cols), empty, empty) for at, cols in parts(bucket_of(k, buckets), k, n)]
+                yield from rows_of([*out, (row["b"], -1, empty, empty, pack(uk[cold]), pack(own))], FINISH).to_batches()
+
+    return both.mapInArrow(run, spark_schema(FINISH))
+
+
+def hot_totals(both: DataFrame, hot: np.ndarray, how: Settings) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = first_row(batch, i)
+                uk, tables, customers, *_ = contexts_of(unpack(row["u1"]), row, how.sweeps)
+                at = is_hot(uk, hot)
+                on = at >= 0
+                yield from rows_of([(row["b"], pack(at[on]), *(pack((x[on] * how.sweeps).round().astype(np.int64)) for x in (tables, customers)))], HOTS).to_batches()
+
+    return both.mapInArrow(run, spark_schema(HOTS))
+
+
+def finish_words(up: DataFrame, words: DataFrame, root_total: float, floor: float, hot: np.ndarray, hot_own: np.ndarray, how: Settings) -> DataFrame:
+    """For each bucket of contexts the root's probabilities of its words; and, with b = -1, the records of a bucket of words."""
+
+    def run(key, up: pa.Table, words: pa.Table) -> pa.Table:
+        at = key[0].as_py()
+        k, c = join_packed(words, "k"), join_packed(words, "c")
+        each = [(b.as_py(), unpack(x.as_py()), unpack(n.as_py(), float)) for b, x, n in zip(up.column("b"), up.column("k"), up.column("n"), strict=True) if b.as_py() >= 0]
+        each.sort(key=lambda x: x[0])
+        n = np.zeros(len(k))
+        for _, x, y in each:
+            n[np.searchsorted(k, x)] += y
+        p = (n + how.root) / root_total
+        own = np.zeros(len(k))
+        uk, weight = join_packed(up, "uk"), join_packed(up, "own", float)
+        if len(uk):
+            own[np.searchsorted(k, uk)] = weight
+        spread = is_hot(k, hot)
+        own[spread >= 0] = hot_own[spread[spread >= 0]]
+        nothing = pack(np.zeros(0, np.int64))
+        rows = [(b, at, pack(p[np.searchsorted(k, x)]), nothing, nothing, nothing, nothing) for b, x, _ in each]
+        rows.append((-1, at, nothing, pack(k), pack(c), pack(np.log10((c + 0.5) / floor)), pack(np.log10(p) + own)))
+        return rows_of(rows, RECORDS)
+
+    return up.groupBy("at").cogroup(words.groupBy("b")).applyInArrow(run, spark_schema(RECORDS))
+
+
+def finish_pairs(both: DataFrame, records: DataFrame, hot: np.ndarray, hot_new: np.ndarray, d: float, buckets: int, how: Settings) -> DataFrame:
+    """b, k, v of all pairs, and c of those that occur twice or more as level."""
+    schema = schema_of("b:i k:p v:p c:p")
+
+    def run(key, both: pa.Table, down: pa.Table) -> pa.Table:
+        row = {n: both.column(n)[0].as_py() for n in both.column_names}
+        u1, w1 = unpack(row["u1"]), unpack(row["w1"])
+        uk, tables, _, at, c, t = contexts_of(u1, row, how.sweeps)
+        u = np.concatenate([u1, uk[at]])
+        w = np.concatenate([w1, unpack(row["wk"])[unpack(row["wi"], np.int32)]])
+        order = np.argsort(down.column("at").to_numpy())
+        blobs = down.column("p").to_pylist()
+        wk = by_bucket_then_key(w, buckets)
+        p = np.concatenate([unpack(blobs[i], float) for i in order])
+        new = how.strength + d * tables
+        spread = is_hot(uk, hot)
+        new[spread >= 0] = hot_new[spread[spread >= 0]]
+        left = np.concatenate([np.full(len(u1), 1 - d), c - d * t])
+        v = np.log10(1 + left / (new[np.searchsorted(uk, u)] * p[places(wk, w)]))
+        k = mixed(u, w)
+        order = np.argsort(k)
+        count = np.concatenate([np.ones(len(u1), np.int64), c])
+        return rows_of([(row["b"], pack(k[order]), pack(v[order].astype(np.float32)), pack(count[order].astype(np.int32)))], schema)
+
+    return both.groupBy("b").cogroup(records.groupBy("b")).applyInArrow(run, spark_schema(schema))
+
+
+def most_frequent(table: DataFrame, cols: dict[str, type], count: str, count_kind: type, most: int) -> tuple[np.ndarray, ...]:
+    """The columns of the rows whose count is above the level that leaves `cached` of them."""
+    cut = cut_of(table, count, most, count_kind)
+    names = list(cols)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = first_row(batch, i)
+                on = level(unpack(row[count], count_kind)) >= cut
+                if on.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(unpack(row[n], kind)[on].astype(np.float64 if kind is np.float32 else kind)) for n, kind in cols.items()], names=names)
+
+    got = table.select(*dict.fromkeys([*names, count])).mapInArrow(run, ", ".join(f"{n} {'bigint' if kind is np.int64 else 'double'}" for n, kind in cols.items())).toPandas()
+    return tuple(got[n].to_numpy(np.int64 if kind is np.int64 else float) for n, kind in cols.items())
+
+
+def fit(train: DataFrame, text_col: str = "text", how: Settings = DEFAULT) -> Model:
+    spark = train.sparkSession
+    train = train.select(F.col(text_col).cast("string").alias("text"))
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, size // how.share)
+    words = materialize(count_words(train, buckets, how))
+    got = words.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).first()
+    n_tokens, n_types = got.tokens or 0, got.types or 0
+    hot = hot_words(words, n_tokens, how)
+    cells = materialize(count_pairs(train, hot, buckets, how))
+    got = cells.agg(F.sum("one").alias("one"), F.sum("two").alias("two")).first()
+    one, two = got.one or 0, got.two or 0
+    d = float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
+    tidy(spark)
+    state = sample(cells, hot, d, float(one), n_types, buckets, how)
+    both = cells.select("b", "u1", "w1").join(state.select("b", "uk", "ui", "wk", "wi", "c", "t_sum"), "b")
+    tables, customers = (x / how.sweeps for x in sum_hot(materialize(hot_totals(both, hot, how)), hot, "hot", "t", "c"))
+    hot_new = how.strength + d * tables
+    hot_own = np.log10(hot_new / (how.strength + customers))
+    up = materialize(finish_up(both, hot, d, buckets, how))
+
+    def count(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([float(sum(unpack(x.as_py(), float).sum() for x in batch.column(0)))])], names=["n"])
+
+    root_total = (up.select("n").mapInArrow(count, "n double").agg(F.sum("n")).first()[0] or 0.0) + how.root * (n_types + 1)
+    floor = n_tokens + 0.5 * (n_types + 1)
+    records = materialize(finish_words(up, words, root_total, floor, hot, hot_own, how))
+    discard(up)
+    pairs = materialize(finish_pairs(both, records.filter("b >= 0").select("b", "at", "p"), hot, hot_new, d, buckets, how))
+    for old in (cells, state, words):
+        discard(old)
+    tidy(spark)
+    known = records.filter("b < 0").select("at", "k", "c", "base", "v")
+    return Model(
+        how, n_tokens, n_types, buckets, hot, float(np.log10(0.5 / floor)), float(np.log10(how.root / root_total)), float(hot_own[is_hot(np.array([START]), hot)[0]]), d, pairs, known,
+        most_frequent(known, {"k": np.int64, "base": float, "v": float}, "c", np.int64, how.cached), most_frequent(pairs, {"k": np.int64, "v": np.float32}, "c", np.int32, how.cached),
+    )
+
+
+class Cache:
+    """Places of keys in two slots each; a key that finds both taken is left out."""
+
+    def __init__(self, keys: np.ndarray, *cols: np.ndarray) -> None:
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.at, self.cols = np.zeros(1 << self.bits, np.int64), np.full(1 << self.bits, -1, np.int32), cols
+        left = np.arange(len(keys))
+        for slot in (self._one, self._two):
+            where = slot(keys[left])
+            free = np.flatnonzero(self.at[where] < 0)
+            _, first = np.unique(where[free], return_index=True)
+            put = free[first]
+            self.keys[where[put]], self.at[where[put]] = keys[left[put]], left[put]
+            left = np.delete(left, put)
+
+    def _one(self, keys: np.ndarray) -> np.ndarray:
+        return keys >> 5 & ((1 << self.bits) - 1)
+
+    def _two(self, keys: np.ndarray) -> np.ndarray:
+        return keys >> 34 & ((1 << self.bits) - 1)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        slot = self._one(keys)
+        out = np.where(self.keys[slot] == keys, self.at[slot], -1)
+        miss = np.flatnonzero(out < 0)
+        slot = self._two(keys[miss])
+        out[miss] = np.where(self.keys[slot] == keys[miss], self.at[slot], -1)
+        return out
+
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score: one row per row of docs.
 
-    A text's score is a sum. What isn't at hand in a task is asked for, packed by bucket, and added: the gains of its pairs, the
-    weights of contexts and the counts of words outside the vocabulary. The answers go back packed by run of texts.
+    A text's score is a sum. What the caches don't hold is asked of the buckets, packed, and comes back as sums by text.
     """
     spark = docs.sparkSession
-    floor = 0.5 * (model.n_types + 1) + model.n_tokens
-    unknown, unseen = float(model.rare_logs[0]), float(np.log10(0.5 / floor))
-    at = np.searchsorted(model.rare_counts, model.counts).clip(0, len(model.rare_logs) - 1)
-    shared = spark.sparkContext.broadcast((b" ".join(model.words[1:]), np.log10((model.counts + 0.5) / floor), model.rare_logs[at], model.own, model.start, model.follow))
-    rare = spark.sparkContext.broadcast((model.rare_counts, model.rare_logs))
-    head, trained, buckets = model.head, bool(model.words), model.buckets
+    shared = spark.sparkContext.broadcast((Cache(*model.word_cache), Cache(*model.pair_cache)))
+    hot, buckets, unseen, unknown, start, flush = model.hot, model.buckets, model.unseen, model.unknown, model.start, model.how.flush
     kind = docs.schema[id_col].dataType.simpleString()
-    fields = ["b", "run", "d", "u", "w", "n", "doc_id", "n_tokens", "n_known", "base", "score"]
+    middle = f"b bigint, run bigint, word binary, word_doc binary, pair binary, pair_doc binary, doc_id {kind}, n_tokens bigint, n_known bigint, base double, score double"
+    names = [x.split()[0] for x in middle.split(", ")]
+    empty = pack(np.zeros(0, np.int64))
 
     def ask(batches):
-        blob, base, rare, own, start, follow = shared.value
-        ids = {w: i for i, w in enumerate([END, *blob.split()] if trained else [])}
-
-        def known(words: list[bytes]) -> list[np.ndarray]:
-            """Code, class, dish, base score, score beside the dish's, weight as a context, and whether that is known; for each word."""
-            codes = codes_of(words, ids)
-            inside = codes >= 0
-            dish = np.where(inside & (codes < head), codes, head)
-            more, first, mine = np.full(len(words), unknown), np.full(len(words), unseen), np.zeros(len(words))
-            more[inside], first[inside] = rare[codes[inside]], base[codes[inside]]
-            has = inside & (codes < len(own))
-            mine[has] = own[codes[has]]
-            return [codes, np.fromiter(map(word_class, words), np.int64, len(words)), dish, first, np.where(dish < head, 0, more), mine, has]
-
-        def begin() -> tuple[Ids, list[np.ndarray]]:
-            seen = fresh_ids()
-            of = known(seen.words)
-            of[0][0], of[1][0], of[5][0], of[6][0] = START_CODE, START, start, True
-            return seen, of
-
-        no = TaskContext.get().partitionId() << 33
-        seen, of = begin()
-        for batch in batches:
-            texts, at = batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                if len(seen) > FLUSH // 4:
-                    seen, of = begin()
-                held, n, first = [], 0, at
-                while at < len(texts) and n < FLUSH // 2 and at - first < 4096:
-                    held.append(np.array([0, *map(seen.__getitem__, tokens(texts[at])), 1], np.int64))
-                    n += len(held[-1])
-                    at += 1
-                of = [np.concatenate(z) for z in zip(of, known(seen.words[len(of[0]) :]), strict=True)]
-                codes, classes, dish, first_log, more, mine, has = of
-                size = np.array([len(x) - 1 for x in held])
-                doc = np.repeat(np.arange(len(held)), size)
-                u, w = np.concatenate([x[:-1] for x in held]), np.concatenate([x[1:] for x in held])
-                k = len(held)
-                here = np.bincount(doc, follow[classes[u], dish[w]] + more[w] + mine[u], k)
-                known_here, base_here = np.bincount(doc, codes[w] >= 0, k).astype(np.int64), np.bincount(doc, first_log[w], k)
-                pairs, times = np.unique(doc << 48 | u << 24 | w, return_counts=True)
-                asked = [(pairs >> 48, codes[pairs >> 24 & 0xFFFFFF], codes[pairs & 0xFFFFFF], times)]
-                # a context whose weight isn't at hand asks as a pair with the start, which follows nothing
-                for what, left in ((doc << 32 | u, ~has[u]), (doc << 32 | w, codes[w] < 0)):
-                    found, many = np.unique(what[left], return_counts=True)
-                    ks = codes[found & 0xFFFFFFFF]
-                    asked.append((found >> 32, ks, np.full(len(ks), START_CODE), many) if len(asked) == 1 else (found >> 32, np.full(len(ks), WORD_CODE), ks, many))
-                d, ku, kw, many = (np.concatenate(z) for z in zip(*asked, strict=True))
-                where = bucket_of(np.where(ku == WORD_CODE, kw, ku), buckets)
-                order = np.lexsort((kw, ku))
-                d, ku, kw, many, where = (x[order] for x in (d, ku, kw, many, where))
-                no += 1
-                rows = [(b, no, *map(pack, cols)) for b, cols in parts(where, d, ku, kw, many)]
-                m = len(rows)
-                out = [pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] * 2 + [pa.binary()] * 4)]
-                yield pa.RecordBatch.from_arrays([*out, pa.nulls(m, batch.schema.field(0).type), *[pa.nulls(m, pa.binary())] * 4], names=fields[:6] + ["doc_id"] + fields[7:])
-                # the texts themselves go with one of the buckets
-                many_ids = batch.column(0).slice(first, k)
-                main = [pa.array(np.full(k, no % buckets)), pa.array(np.full(k, no)), *[pa.array([pack(np.array([i]))  for i in range(k)], pa.binary()), *[pa.nulls(k, pa.binary())] * 3], many_ids]
-                packed = [pa.array([int(v).to_bytes(8, "little") for v in x], pa.binary()) for x in (size, known_here)] + [pa.array([np.float64(v).tobytes() for v in x], pa.binary()) for x in (base_here, here)]
-                yield pa.RecordBatch.from_arrays([*main, *packed], names=fields)
-
-    middle = f"b bigint, run bigint, d binary, u binary, w binary, n binary, doc_id {kind}, n_tokens binary, n_known binary, base binary, score binary"
+        words, pairs = shared.value
+        run = TaskContext.get().partitionId() << 33
+        for keys, counts, held in runs_of(batches, 1, flush):
+            run += 1
+            u, w, doc = with_ends(keys, counts)
+            n = len(counts)
+            at = words(w)
+            known, ask_w = at >= 0, at < 0
+            sums = [np.bincount(doc[known], minlength=n)]
+            for col, other in zip(words.cols, (unseen, unknown), strict=True):
+                value = np.full(len(w), other)
+                value[known] = col[at[known]]
+                sums.append(np.bincount(doc, value, n))
+            pair = mixed(u, w)
+            at = pairs(pair)
+            known = at >= 0
+            gain = np.zeros(len(w))
+            gain[known] = pairs.cols[0][at[known]]
+            sums[2] = sums[2] + np.bincount(doc, gain, n) + start
+            rows: dict[int, list[bytes]] = {}
+            for b, (k, x) in parts(bucket_of(w[ask_w], buckets), w[ask_w], doc[ask_w].astype(np.int32)):
+                rows[b] = [pack(k), pack(x), empty, empty]
+            left = ~known
+            for b, (k, x) in parts(bucket_of_pairs(u[left], pair[left], hot, buckets), pair[left], doc[left].astype(np.int32)):
+                rows.setdefault(b, [empty, empty, empty, empty])[2:] = [pack(k), pack(x)]
+            m = len(rows)
+            blobs = [pa.array([r[i] for r in rows.values()], pa.binary()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(np.full(m, run)), *blobs, pa.nulls(m, held[0].schema.field(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=names)
+            # the texts themselves go with one of the buckets, in order
+            ids = pa.concat_arrays([x.column(0) for x in held])
+            place = pa.array([int(i).to_bytes(4, "little") for i in range(n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, run % buckets)), pa.array(np.full(n, run)), pa.nulls(n, pa.binary()), place, *[pa.nulls(n, pa.binary())] * 2, ids, pa.array(counts + 1), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], names=names)
 
     def answer(asked: pa.Table, found: pa.Table) -> pa.Table:
-        """Texts pass; what was asked for becomes sums by text: known words, base and score."""
-        texts = asked.filter(pa.compute.is_valid(asked.column("score")))
-        asks = asked.filter(pa.compute.is_null(asked.column("score")))
+        text = pa.compute.is_valid(asked.column("n_tokens"))
+        texts, asks = asked.filter(text), asked.filter(pa.compute.invert(text))
         if not asks.num_rows:
-            return asked
-        counts_, logs = rare.value
-        us, ws, vs = [], [], []
-        for u, w, v, own_u, own in zip(*[found.column(n).to_pylist() for n in ("u", "w", "v", "us", "own")], strict=True):
-            u, w = unpack(u), unpack(w)
-            if own_u is not None:
-                own_u = unpack(own_u)
-                us += [u, own_u]
-                ws += [w, np.full(len(own_u), START_CODE)]
-                vs += [unpack(v, float), unpack(own, float)]
-            else:
-                us, ws, vs = [*us, u], [*ws, w], [*vs, unpack(v, float)]
-        u, w, v = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((us, np.int64), (ws, np.int64), (vs, float)))
-        mix = mixed(u, w)
-        order = np.argsort(mix)
-        mix, u, w, v = mix[order], u[order], w[order], v[order]
+            return texts
+        wk, base, v = join_packed(found, "wk"), join_packed(found, "base", float), join_packed(found, "v", float)
+        pk, gain = join_packed(found, "pk"), join_packed(found, "gain", np.float32)
         out = []
-        for b, no, *cols in zip(*[asks.column(n).to_pylist() for n in fields[:6]], strict=True):
-            d, ku, kw, n = map(unpack, cols)
-            if not len(mix):
-                continue
-            spot = np.searchsorted(mix, mixed(ku, kw)).clip(0, len(mix) - 1)
-            hit = (u[spot] == ku) & (w[spot] == kw)
-            d, word, n, v_ = d[hit], ku[hit] == WORD_CODE, n[hit], v[spot[hit]]
-            c = np.where(word, v_, 0)
-            gain = np.where(word, logs[np.searchsorted(counts_, c).clip(0, len(logs) - 1)] - unknown, v_) * n
-            texts_, place = np.unique(d, return_inverse=True)
-            sums = [np.bincount(place, x, len(texts_)) for x in (word * n, np.where(word, np.log10((c + 0.5) / floor) - unseen, 0) * n, gain)]
-            out.append((no, pack(texts_), pack(sums[0].astype(np.int64)), pack(sums[1]), pack(sums[2])))
+        for run, *blobs in zip(*[asks.column(n).to_pylist() for n in names[1:6]], strict=True):
+            k, k_doc, p, p_doc = unpack(blobs[0]), unpack(blobs[1], np.int32), unpack(blobs[2]), unpack(blobs[3], np.int32)
+            sums = [np.zeros(0)] * 3
+            size = 1 + max([-1, *(int(x.max()) for x in (k_doc, p_doc) if len(x))])
+            sums = [np.zeros(size) for _ in range(3)]
+            if len(k) and len(wk):
+                spot = np.searchsorted(wk, k).clip(0, len(wk) - 1)
+                hit = wk[spot] == k
+                x, spot = k_doc[hit], spot[hit]
+                sums = [np.bincount(x, minlength=size), np.bincount(x, base[spot] - unseen, size), np.bincount(x, v[spot] - unknown, size)]
+            if len(p) and len(pk):
+                spot = np.searchsorted(pk, p).clip(0, len(pk) - 1)
+                hit = pk[spot] == p
+                sums[2] = sums[2] + np.bincount(p_doc[hit], gain[spot[hit]], size)
+            has = np.flatnonzero((sums[0] != 0) | (sums[2] != 0))
+            if len(has):
+                out.append((run, pack(has.astype(np.int32)), pack(sums[0][has].astype(np.int32)), pack(sums[1][has].astype(float)), pack(sums[2][has].astype(float))))
         m = len(out)
-        got = {"run": [r[0] for r in out], "d": [r[1] for r in out], "n_known": [r[2] for r in out], "base": [r[3] for r in out], "score": [r[4] for r in out]}
-        added = pa.table([pa.array(got[f.name], f.type) if f.name in got else pa.nulls(m, f.type) for f in asked.schema], schema=asked.schema)
-        return pa.concat_tables([texts, added])
+        got = {"run": 0, "word": 1, "word_doc": 2, "pair": 3, "pair_doc": 4}
+        return pa.concat_tables([texts, pa.table([pa.array([r[got[f.name]] for r in out], f.type) if f.name in got else pa.nulls(m, f.type) for f in asked.schema], schema=asked.schema)])
 
     def total(table: pa.Table) -> pa.Table:
         text = pa.compute.is_valid(table.column("n_tokens"))
         texts, more = table.filter(text), table.filter(pa.compute.invert(text))
-        d = np.array([unpack(x)[0] for x in texts.column("d").to_pylist()], np.int64)
-        raw = lambda n, t: np.frombuffer(b"".join(texts.column(n).to_pylist()), t).copy()
-        size, known, base, value = raw("n_tokens", np.int64), raw("n_known", np.int64), raw("base", float), raw("score", float)
-        at = np.argsort(d)
-        for x, *cols in zip(*[more.column(n).to_pylist() for n in ("d", "n_known", "base", "score")], strict=True):
-            x = at[unpack(x)]
-            known[x] += unpack(cols[0])
-            base[x] += unpack(cols[1], float)
-            value[x] += unpack(cols[2], float)
-        return pa.table([texts.column("doc_id"), pa.array(size), pa.array(known), pa.array(base), pa.array(value)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    def words(batches):
-        for batch in batches:
-            keys, c = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float)
-            for b, (w, v) in parts(bucket_of(-1 - keys, buckets), -1 - keys, c):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int64()), *[pa.array([pack(x)], pa.binary()) for x in (np.full(len(w), WORD_CODE), w, v)], *[pa.nulls(1, pa.binary())] * 2], names=["b", "u", "w", "v", "us", "own"])
-
-    strange = counts.filter(F.col("word") != END)
-    if len(model.counts) > 1:
-        strange = strange.filter(F.col("c") < int(model.counts[1:].min()))
-    # dealt by bucket before packing, so that a bucket's words are few rows
-    strange = strange.select("key", F.col("c").cast("long").alias("c"))
-    found = model.gains.union(strange.mapInArrow(words, "b bigint, u binary, w binary, v binary, us binary, own binary"))
-    asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(ask, middle)
+        place = np.frombuffer(b"".join(texts.column("word_doc").to_pylist()), np.int32)
+        row = np.empty(len(place), np.int64)
+        row[place] = np.arange(len(place))
+        known, base, value = (texts.column(n).to_numpy().copy() for n in ("n_known", "base", "score"))
+        for has, n, x, y in zip(*[more.column(c).to_pylist() for c in ("word", "word_doc", "pair", "pair_doc")], strict=True):
+            at = row[unpack(has, np.int32)]
+            known[at] += unpack(n, np.int32)
+            base[at] += unpack(x, float)
+            value[at] += unpack(y, float)
+        return pa.table([texts.column("doc_id"), texts.column("n_tokens"), pa.array(known), pa.array(base), pa.array(value)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    nothing = F.lit(None).cast("binary")
+    found = model.words.select(F.col("at").alias("b"), F.col("k").alias("wk"), "base", "v", nothing.alias("pk"), nothing.alias("gain"))
+    found = found.union(model.pairs.select("b", nothing, nothing, nothing, "k", "v"))
+    asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(ask, middle)
     answered = asked.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(answer, middle)
     return answered.groupBy("run").applyInArrow(total, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
 
 
+def perplexity(scores: Column, tokens: Column) -> Column:
+    """Of texts together: the inverse of the geometric mean of their tokens' probabilities."""
+    return F.pow(F.lit(10.0), -F.sum(scores) / F.sum(tokens))
+
+
 def held_out(c: Column) -> Column:
     return F.coalesce(crc_mod(c, 5) == 1, F.lit(False))
 
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    model, counts = fit(docs.filter(crc_mod(F.col("doc_id"), 5) != 1))
-    out = score(docs, model, counts)
-    return out.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
+    model = fit(docs.filter(crc_mod(F.col("doc_id"), 5) != 1))
+    out = score(docs, model).withColumn("held_out", held_out(F.col("doc_id"))).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
+    return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -187,95 +187,169 @@ def test_quality_without_labels(spark, odd, none):
 
 
 # -- language model --------------------------------------------------------------------
-def test_language_model(spark, sf):
-    rows = language_model.read(spark, sf, "documents").select("doc_id", "text")
-    out = {r.doc_id: r for r in language_model.op1_lm_score(spark, sf).collect()}
-    docs = rows.collect()
+def lm_tokens(text):
+    return [*(text or "").encode().lower().split(), b""]
+
+
+def check_base(rows, out):
+    """Counts and base scores of scored rows against plain counting. rows: (id, text); out: of one row each."""
     train = Counter()
-    for r in docs:
-        if zlib.crc32(str(r.doc_id).encode()) % 5 != 1:
-            train.update([*language_model.tokens(r.text), b""])
+    for i, t in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 != 1:
+            train.update(lm_tokens(t))
     n, v = sum(train.values()), len(train)
-    for r in docs:
-        t = [*language_model.tokens(r.text), b""]
-        o = out[r.doc_id]
-        assert (o.n_tokens, o.n_known, o.train_tokens) == (len(t), sum(train[w] > 0 for w in t), n)
-        assert math.isclose(o.base_score, sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
-    held = [o for o in out.values() if o.held_out]
-    assert sum(o.score for o in held) > sum(o.base_score for o in held)
-
-
-def test_language_model_probabilities_sum_to_one(spark, sf):
-    docs = language_model.read(spark, sf, "documents").select("doc_id", "text").limit(60)
-    model, counts = language_model.fit(docs, vocabulary=400, head=60, contexts=20)
-    assert np.allclose((10**model.follow).sum(1), 1)
-    types = Counter(r.c for r in counts.collect())
-    types.subtract(model.counts[: model.head].tolist())
-    total = sum(types[int(c)] * 10**p for c, p in zip(model.rare_counts[1:], model.rare_logs[1:], strict=True)) + 10 ** model.rare_logs[0]
-    assert abs(total - 1) < 0.01
-    # a small vocabulary, whose other words are looked up by the join, changes no base score
-    small = {r.doc_id: r for r in language_model.score(docs, model, counts).collect()}
-    full_model, full_counts = language_model.fit(docs)
-    for r in language_model.score(docs, full_model, full_counts).collect():
-        assert math.isclose(r.base_score, small[r.doc_id].base_score, rel_tol=1e-9) and r.n_known == small[r.doc_id].n_known
+    want = sorted(((i, len(t := lm_tokens(x)), sum(train[w] > 0 for w in t), round(sum(math.log10((train[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), 6)) for i, x in rows), key=str)
+    assert sorted(((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6)) for r in out), key=str) == want
+    return n
+
+
+#: Many runs and buckets, and caches of a few entries, on small tables.
+SMALL = language_model.Settings(share=2000, flush=500, cached=40)
+
+
+def test_language_model(spark, sf):
+    rows = [tuple(r) for r in language_model.read(spark, sf, "documents").select("doc_id", "text").collect()]
+    out = language_model.op1_lm_score(spark, sf).collect()
+    assert {r.train_tokens for r in out} == {check_base(rows, out)}
+    held = [o for o in out if o.held_out]
+    assert {o.doc_id for o in held} == {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1}
+    assert sum(o.score for o in held) > sum(o.base_score for o in held) + 5000
+    assert all(math.isclose(o.perplexity, 10 ** (-o.score / o.n_tokens)) for o in out)
+
+
+def chinese_restaurants(lines, scored, d, strength, root, burn, sweeps, seed=1):
+    """The same model by the plain process: one customer at a time leaves and is seated again; tables are lists of customers. Mean predictive log10 probabilities."""
+    rng = np.random.default_rng(seed)
+    customers = [(u, w) for line in lines for u, w in zip([None, *line], [*line, b""], strict=True)]
+    types = len({w for _, w in customers})
+    tables, at_root, seats = {}, Counter(), [None] * len(customers)
+    of, total = Counter(), Counter()  # tables and customers of a context
+    p0 = lambda w: (at_root[w] + root) / (sum(at_root.values()) + root * (types + 1))
+
+    def sit(i):
+        u, w = customers[i]
+        mine = tables.setdefault((u, w), [])
+        weights = [n - d for n in mine] + [(strength + d * of[u]) * p0(w)]
+        k = rng.choice(len(weights), p=np.array(weights).clip(0) / sum(max(x, 0) for x in weights))
+        if k == len(mine):
+            mine.append(0)
+            of[u] += 1
+            at_root[w] += 1
+        mine[k] += 1
+        total[u] += 1
+
+    def leave(i):
+        u, w = customers[i]
+        mine = tables[u, w]
+        k = rng.choice(len(mine), p=np.array(mine) / sum(mine))
+        mine[k] -= 1
+        total[u] -= 1
+        if not mine[k]:
+            mine.pop(k)
+            of[u] -= 1
+            at_root[w] -= 1
+
+    for i in range(len(customers)):
+        sit(i)
+    probs = {}
+    asked = {(u, w) for line in scored for u, w in zip([None, *line], [*line, b""], strict=True)}
+    for sweep in range(burn + sweeps):
+        for i in rng.permutation(len(customers)):
+            leave(i)
+            sit(i)
+        if sweep >= burn:
+            for u, w in asked:
+                mine = tables.get((u, w), [])
+                probs[u, w] = probs.get((u, w), 0) + (sum(mine) - d * len(mine) + (strength + d * of[u]) * p0(w)) / (strength + total[u]) / sweeps
+    return [sum(math.log10(probs[u, w]) for u, w in zip([None, *line], [*line, b""], strict=True)) for line in scored], types
+
+
+def test_scores_are_those_of_the_plain_process(spark):
+    """Against one customer at a time, on a corpus with frequent pairs, and with new words and pairs in what is scored."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}".encode() for i in range(12)]
+    lines = [[words[j] for j in (rng.zipf(1.6, int(rng.integers(2, 9))) - 1) % 12] for _ in range(60)]
+    scored = [lines[0], [b"w0", b"w1", b"w11"], [b"new", b"w0", b"w0"], [], [b"w5", b"new", b"other"], lines[3] + lines[4]]
+    for exact in (256, 24):  # and with Metropolis moves for counts above 24, in several buckets
+        how = language_model.Settings(exact=exact, sweeps=12, share=500 if exact == 24 else 1 << 20)
+        model = language_model.fit(spark.createDataFrame([(i, b" ".join(x).decode()) for i, x in enumerate(lines)], "doc_id bigint, text string"), how=how)
+        got = language_model.score(spark.createDataFrame([(i, b" ".join(x).decode()) for i, x in enumerate(scored)], "doc_id bigint, text string"), model)
+        got = [r.score for r in sorted(got.collect(), key=lambda r: r.doc_id)]
+        want, types = chinese_restaurants(lines, scored, model.discount, how.strength, how.root, 10, 40)
+        assert model.n_types == types
+        assert np.allclose(got, want, atol=0.08), (exact, got, want)
+
+
+def test_probabilities_of_a_context_sum_to_one(spark):
+    """P(w | u) from texts `u w x` and `w x`, which differ in the first two steps; over the vocabulary, the end and the unknown word."""
+    lines = ["a b c a b d", "b a b a", "c c c b", "", "a e"] * 3
+    model = language_model.fit(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string"), how=SMALL)
+    words = ["a", "b", "c", "d", "e", "unknown"]
+    texts = [("", ""), *[("", u) for u in words], *[(u, w) for u in words for w in words]]
+    got = language_model.score(spark.createDataFrame([(i, f"{u} {w}") for i, (u, w) in enumerate(texts)], "doc_id bigint, text string"), model).collect()
+    s = {texts[r.doc_id]: r.score for r in got}
+    # s[u, w] = P(u | start) P(w | u) P(end | w), s[u] = P(u | start) P(end | u), s[] = P(end | start): unknown are the ends e[u]
+    # sum over w of P(w | u) + P(end | u) = 1, that is sum over w of s[u, w] / (first[u] e[w]) + e[u] = 1 with first[u] = s[u] / e[u]
+    e = {u: 0.3 for u in words}
+    for _ in range(2000):  # the ends that make every context sum to one; the start must then sum to one by itself
+        e = {u: 1 / (1 + sum(10 ** s[u, w] / e[w] for w in words) / 10 ** s["", u]) for u in words}
+    assert abs(sum(10 ** s["", u] / e[u] for u in words) + 10 ** s["", ""] - 1) < 1e-6
 
 
 def test_every_pair_of_words_is_evidence(spark):
-    """Words that are neither frequent dishes nor frequent contexts predict each other, and each context's probabilities sum to one."""
+    """Rare words predict each other, whatever bucket or cache holds them."""
     lines = [f"x{i} y{i}" for i in range(60) for _ in range(3)]
-    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
-    model, counts = language_model.fit(docs, vocabulary=20, head=3, contexts=1)
+    model = language_model.fit(spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string"), how=SMALL)
     asked = spark.createDataFrame([(2 * i + j, f"x{i} y{(i + j) % 60}") for i in range(60) for j in (0, 1)], "doc_id bigint, text string")
-    got = {r.doc_id: r.score for r in language_model.score(asked, model, counts).collect()}
+    got = {r.doc_id: r.score for r in language_model.score(asked, model).collect()}
     assert all(got[2 * i] > got[2 * i + 1] + 0.5 for i in range(60))
-    words = {model.words.index(bytes(r.word)) if bytes(r.word) in model.words else -1 - r.key: (bytes(r.word), r.c) for r in counts.collect()}
-    rare = dict(zip(model.rare_counts.tolist(), 10**model.rare_logs, strict=True))
-    gains, own = {}, {}
-    for r in model.gains.collect():
-        own |= zip(language_model.unpack(r.us).tolist(), 10 ** language_model.unpack(r.own, float), strict=True)
-        for u, w, v in zip(language_model.unpack(r.u).tolist(), language_model.unpack(r.w).tolist(), 10 ** language_model.unpack(r.v, float), strict=True):
-            gains.setdefault(u, {})[w] = v
-    assert len(own) == len(gains) == 121 and sum(map(len, gains.values())) == 60 + 60 + 60
-    for u, g in gains.items():
-        p = 10 ** model.follow[language_model.word_class(words[u][0]) if u in words else language_model.START]
-        base = {w: p[w] if 0 <= w < model.head else p[-1] * rare[c] for w, (_, c) in words.items()}
-        total = own[u] * (sum(b * g.get(w, 1) for w, b in base.items()) + p[-1] * rare[0])
-        assert abs(total - 1) < 0.01
-
-
-def test_class_of_a_context_does_not_depend_on_the_vocabulary(spark):
-    """Words outside the broadcast vocabulary back off to the class of their own bytes, in training and in scoring."""
-    rare = [f"x{i:02d}{'ab'[i % 2]}q" for i in range(40)]
-    docs = spark.createDataFrame([(i, " ".join(f"{w} {'left' if w[3] == 'a' else 'right'}" for w in rare)) for i in range(4)], "doc_id bigint, text string")
-    scores = []
-    for vocabulary in (3, 400_000):
-        model, counts = language_model.fit(docs, vocabulary=vocabulary, head=3, contexts=1)
-        scores.append(sorted(r.score for r in language_model.score(docs, model, counts).collect()))
-    assert np.allclose(*scores, rtol=1e-9)
-
-
-def test_seating_follows_the_restaurant():
+
+
+def test_buckets_and_caches_change_nothing_but_the_draws(spark, sf):
+    docs = language_model.read(spark, sf, "documents").select("doc_id", "text").limit(80)
+    whole = {r.doc_id: r for r in language_model.score(docs, language_model.fit(docs)).collect()}
+    model = language_model.fit(docs, how=language_model.Settings(share=4000, flush=700, cached=30))
+    assert model.buckets > 5
+    for r in language_model.score(docs, model).collect():
+        o = whole[r.doc_id]
+        assert (r.n_tokens, r.n_known) == (o.n_tokens, o.n_known) and math.isclose(r.base_score, o.base_score, rel_tol=1e-9)
+        assert abs(r.score / o.score - 1) < 0.02
+
+
+def test_stirling_numbers():
+    for d in (0.1, 0.5, 0.9):
+        exact = language_model.stirling_table(d, 400)[399]
+        t = np.arange(1, 399)
+        got = language_model.log_stirling(d, np.full(len(t), 399), t)
+        slope = np.abs(np.diff(got) - np.diff(exact))
+        assert slope.max() < 0.05 and abs(got[0] - exact[0]) < 0.01
+
+
+def test_seating_follows_the_conditional_distribution():
+    """Of a dish with c customers and weight a: exact chances, by table and by moves."""
     rng = np.random.default_rng(0)
-    for c, s, p, d in [(5, 1.0, 0.5, 0.5), (200, 2.0, 0.3, 0.7)]:
-        got = language_model.seat(np.full(3000, c), np.full(3000, s), np.full(3000, p), d, rng, 1).mean()
-        tables = []
-        for _ in range(500):
-            k = 1
-            for i in range(1, c):
-                a = (s + d * k) * p
-                k += rng.random() < a / (i - d * k + a)
-            tables.append(k)
-        assert abs(got / np.mean(tables) - 1) < 0.1
-
-
-def test_language_model_of_odd_rows(odd, odd_rows, none):
-    for train in (odd, none):
-        model, counts = language_model.fit(train)
-        out = language_model.score(odd, model, counts).collect()
-        assert len(out) == len(odd_rows) and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in out)
-    model, counts = language_model.fit(none)
-    assert language_model.score(odd, model, counts).filter("base_score <> 0").count() == 0
-    assert language_model.score(none, model, counts).count() == 0
+    for d, a in [(0.5, 0.3), (0.8, 5.0)]:
+        table = language_model.stirling_table(d)
+        x = table[40] + np.log(a) * np.arange(1, 41)
+        p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+        c, log_a = np.full(20_000, 40), np.full(20_000, np.log(a))
+        got = language_model.seat(c, np.ones(20_000, int), log_a, d, rng, table)
+        assert abs(got.mean() - (p * np.arange(1, 41)).sum()) < 0.1
+        assert np.abs(np.bincount(got, minlength=41)[1:] / 20_000 - p).max() < 0.02
+
+
+def test_language_model_of_odd_rows(spark, odd, odd_rows, none):
+    rows = [r[:2] for r in odd_rows]
+    train = odd.filter("doc_id IS NOT NULL AND pmod(crc32(cast(doc_id AS string)), 5) <> 1")
+    out = language_model.score(odd, language_model.fit(train, how=SMALL)).collect()
+    check_base(rows, out)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in out)
+    model = language_model.fit(none)
+    out = language_model.score(odd, model).collect()
+    assert len(out) == len(odd_rows) and all(r.base_score == 0 and abs(r.score) < 1e-9 and r.n_known == 0 for r in out)
+    assert language_model.score(none, model).count() == 0
+    clash = odd.withColumns({c: F.lit(1) for c in ("run", "b", "word", "score", "base", "n_tokens")})
+    assert language_model.score(clash, model).count() == len(odd_rows)
 
 
 # -- revisits --------------------------------------------------------------------------
