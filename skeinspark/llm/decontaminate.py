@@ -1,15 +1,17 @@
 """Benchmark decontamination by a prefix-filtered set join, native operations only.
 
-An item's words are cut into windows of consecutive words; a document contains a window only if it contains every word of it,
-so a necessary prefix of one word is enough, and the window's rarest word (by its count over all documents) gives the fewest
-candidates. The words of all documents join these anchors; the anchor's offset bounds where the window must start, the
-window's length where it must end, and the words there are then compared with the window, all of them and in order.
-
-The anchors are broadcast only if the benchmark has at most `broadcast_windows` windows; beyond that the words are shuffled
-to them, and candidates fetch their document's words afterwards.
-
-Defined cases: a null text has no words; items without words or without an id have no windows; repeated rows of a document
-or an item change nothing in another row's result; an empty benchmark leaves every document clean.
+An item's words are cut into windows of consecutive words, and a window into shingles of up to three. A document contains a
+window only if it contains every shingle of it, so a necessary prefix of one is enough: shingles are ordered by rarity, counted
+over all documents, and the rarest of a window, its anchor, gives the fewest candidates. The anchor's place bounds where the
+window must start, the window's length and the document's where it must end, and a candidate is verified by all shingles of the
+window in their places; they overlap, so that is every word of it, in order.
+
+Texts are split once to find the occurrences of the benchmark's shingles, which are few and are written; everything else works on
+these. The shingles are broadcast if they take `broadcast_bytes` at most, and are shuffled to otherwise.
+
+Defined cases: a null text has no words; items without words or without an id have no windows; rows of one id are told apart by a
+hash of their text; repeated rows of a document or an item change nothing in another row's result; an empty benchmark leaves
+every document clean; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,10 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinspark.llm.common import ascii_lower, read, row_key
+from skeinspark.llm.common import ascii_lower, materialize, read, row_key
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_WINDOWS = 100_000
+BROADCAST_BYTES = 32 << 20
+LONGEST = 3
 
 
 def words(text: Column) -> Column:
@@ -34,38 +37,57 @@ def item_windows(benchmark: DataFrame, size: int, id_col: str = "item_id", text_
     return items.select("item_id", F.explode(F.expr(f"transform(sequence(0, size(w) - {span}), i -> slice(w, i + 1, {span}))")).alias("win")).distinct()
 
 
-def anchors(windows: DataFrame, word_rows: DataFrame, small: bool) -> DataFrame:
-    """win, word, at: each window's rarest word and its place; windows with a word that no document has are left out."""
-    each = windows.select("win").distinct().select("win", F.posexplode("win").alias("at", "word"))
-    vocabulary = each.select("word").distinct()
-    counts = word_rows.join(F.broadcast(vocabulary) if small else vocabulary, "word").groupBy("word").count()
-    rated = each.join(counts, "word", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "at", "word")).alias("a"))
-    return rated.filter("a.n > 0").select("win", "a.word", "a.at")
+def shingles(w: Column, k: int) -> Column:
+    """array<struct<a, b, c>>: what stands at each place and after it, up to k words; null past the end, '' past k."""
+    return F.arrays_zip(*[F.slice(w, i + 1, F.greatest(F.size(w), F.lit(1))).alias(name) for i, name in enumerate("abc"[:k])])
 
 
-def window_hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """doc_id, rk, start, win: every occurrence of a window. rk tells rows of one id apart."""
-    small = windows.count() <= broadcast_windows
+def of_windows(windows: DataFrame) -> DataFrame:
+    """win, n, k, off, a, b, c: the shingles of every distinct window; k is their length."""
+    each = windows.select("win").distinct().withColumn("n", F.size("win")).withColumn("k", F.least("n", F.lit(LONGEST)))
+    pick = lambda i: F.when(F.col("k") > i, F.get("win", F.col("off") + i)).otherwise("")
+    return each.withColumn("off", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("k")))).select("win", "n", "k", "off", *[pick(i).alias(name) for i, name in enumerate("abc")])
+
+
+def occurrences(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col: str, small: bool) -> DataFrame:
+    """doc_id, rk, n_words, pos, k, a, b, c: where shingles of the vocabulary stand in documents."""
     rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("rk"), words(F.col(text_col)).alias("w"))
-    rare = anchors(windows, rows.select(F.explode("w").alias("word")), small)
-    start = F.col("pos") - F.col("at")
-    fits = (start >= 0) & (start + F.size("win") <= F.col("n"))
-    same = F.slice("w", F.col("start") + 1, F.size("win")) == F.col("win")
-    if small:
-        each = rows.select("doc_id", "rk", "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-        found = each.join(F.broadcast(rare), "word").filter(fits).withColumn("start", start)
-    else:
-        each = rows.select("doc_id", "rk", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-        found = each.join(rare, "word").filter(fits).select("doc_id", "rk", start.alias("start"), "win")
-        texts = rows.select(F.col("doc_id").alias("id"), F.col("rk").alias("k"), "w").dropDuplicates(["id", "k"])
-        found = found.join(texts, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("rk") == F.col("k")))
-    return found.filter(same).select("doc_id", "rk", "start", "win")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    found = None
+    for k in [r.k for r in vocabulary.select("k").distinct().collect()]:  # three at most
+        each = rows.select("doc_id", "rk", F.size("w").alias("n_words"), F.posexplode(shingles(F.col("w"), k)).alias("pos", "s"))
+        each = each.select("doc_id", "rk", "n_words", "pos", F.lit(k).alias("k"), *[(F.col(f"s.{name}") if i < k else F.lit("")).alias(name) for i, name in enumerate("abc")])
+        of_k = vocabulary.filter(F.col("k") == k).select("a", "b", "c")
+        one = each.join(F.broadcast(of_k) if small else of_k, ["a", "b", "c"])
+        found = one if found is None else found.unionByName(one)
+    return found if found is None else found.distinct()
+
+
+def window_hits(docs: DataFrame, windows: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """doc_id, rk, start, win: every occurrence of a window. rk tells rows of one id apart."""
+    key = ["k", "a", "b", "c"]
+    each = materialize(of_windows(windows))
+    vocabulary = each.select(*key).distinct()
+    size = vocabulary.agg(F.sum(F.octet_length("a") + F.octet_length("b") + F.octet_length("c") + 64)).first()[0] or 0
+    found = occurrences(docs, vocabulary, id_col, text_col, size <= broadcast_bytes)
+    if found is None:
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("rk"), F.lit(0).alias("start"), F.array(F.lit("")).alias("win")).limit(0)
+    found = materialize(found)
+    counts = found.groupBy(*key).agg(F.count(F.lit(1)).alias("rows"))
+    rated = each.join(counts, key, "left").groupBy("win", "n").agg(F.min(F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "off", *key)).alias("x"))
+    rare = rated.filter("x.rows > 0").select("win", "n", "x.off", *[f"x.{c}" for c in key])
+    start = F.col("pos") - F.col("off")
+    near = found.join(rare, key).filter((start >= 0) & (start + F.col("n") <= F.col("n_words"))).select("doc_id", "rk", start.alias("start"), "win", "n")
+    asked = near.join(each.select("win", "off", *key), "win").withColumn("pos", F.col("start") + F.col("off"))
+    there = found.select(F.col("doc_id").alias("d"), F.col("rk").alias("r"), "pos", *key)
+    same = [F.col("doc_id").eqNullSafe(F.col("d")), F.col("rk") == F.col("r"), *[asked[c] == there[c] for c in ("pos", *key)]]
+    agreed = asked.join(there, same, "left_semi").groupBy("doc_id", "rk", "start", "win", "n").agg(F.count(F.lit(1)).alias("agree"))
+    return agreed.filter(F.col("agree") == F.col("n") - F.least("n", F.lit(LONGEST)) + 1).select("doc_id", "rk", "start", "win")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, rk, n_words, n_hit, items (sorted ids as text), spans (start and length in words, ascending): one row per row of docs."""
     windows = item_windows(benchmark, size)
-    hits = window_hits(docs, windows, id_col, text_col, broadcast_windows)
+    hits = materialize(window_hits(docs, windows, id_col, text_col, broadcast_bytes))
     spans = hits.groupBy("doc_id", "rk").agg(F.sort_array(F.collect_set(F.struct("start", F.size("win").alias("length")))).alias("spans"))
     items = (
         hits.select("doc_id", "rk", "win").distinct().join(windows, "win").select("doc_id", "rk", F.col("item_id").cast("string").alias("item"))
