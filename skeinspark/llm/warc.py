@@ -2,12 +2,13 @@
 
 Records meet by canonical URL. The join is cut twice: first by URL and slice of time, where a running maximum gives each
 revisit the latest full response of its own slice; then, over one row for each URL and slice, the latest full response of the
-earlier slices is carried forward, for revisits that found none in their own. A URL with a third of all records is so dealt
-over `slices` tasks. Bodies are never moved: a record refers to its body by id, digest and length.
+earlier slices is carried forward, for revisits that found none in their own. The slices are cut at quantiles of the times of
+all records, so a busy hour is cut as finely as its records ask, and a URL with a third of all records is dealt over a third of
+the slices or more. Bodies are never moved: a record refers to its body by id, digest and length.
 
 A response is taken only if a validator agrees: entity tags, compared weakly, if both records have one, else the last
 modification times if both have one. The response's headers are then updated with those of the revisit that a not-modified
-answer may change, and no others.
+answer may change, and no others; header names are compared without case and kept as written.
 
 Defined cases: a response of the revisit's own time is not earlier; of responses of one time the largest record id counts;
 records without a URL or a time resolve to nothing (`no_earlier`); without comparable validators the outcome is
@@ -36,17 +37,15 @@ def canonical_url(url: Column) -> Column:
     return F.when(part(1) != "", whole).otherwise(F.nullif(F.trim(url), F.lit("")))
 
 
-def resolve(records: DataFrame, slices: int = 64) -> DataFrame:
+def resolve(records: DataFrame, slices: int = 256) -> DataFrame:
     """records: record_id, url, ts bigint, kind (response or revisit), etag, last_modified, headers map, digest, length.
 
     Gives one row per revisit: record_id, canon_url, ts, outcome, refers_to, headers, digest, length (the last four null unless resolved).
     """
     rows = records.select("record_id", canonical_url(F.col("url")).alias("canon_url"), "ts", "kind", "etag", "last_modified", "headers", "digest", "length")
     usable = F.col("canon_url").isNotNull() & F.col("ts").isNotNull()
-    bounds = rows.filter(usable).agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
-    low = bounds.low or 0
-    width = max(1, ((bounds.high or 0) - low) // slices + 1)
-    rows = rows.withColumn("slice", F.floor((F.col("ts") - low) / width))
+    cuts = rows.filter(usable).agg(F.percentile_approx("ts", [i / slices for i in range(1, slices)] or [0.5], 10_000)).first()[0] or []
+    rows = rows.withColumn("slice", F.size(F.filter(F.array(*map(F.lit, sorted({*cuts}))).cast("array<bigint>"), lambda x: x <= F.col("ts"))))
     full = F.struct("ts", "record_id", "etag", "last_modified", F.map_entries("headers").alias("headers"), "digest", "length")
     earlier = Window.partitionBy("canon_url", "slice").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     responses = rows.filter(usable & (F.col("kind") == "response"))
@@ -67,8 +66,9 @@ def resolve(records: DataFrame, slices: int = 64) -> DataFrame:
         .when(F.col("last_modified").isNotNull() & F.col("full.last_modified").isNotNull(), F.when(F.col("last_modified") == F.col("full.last_modified"), "resolved").otherwise("mismatch"))
         .otherwise("no_validator")
     )
-    news = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: k.isin(*PERMITTED))
-    olds = F.map_filter(F.coalesce(F.map_from_entries("full.headers"), F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(F.map_keys("news"), k))
+    news = F.map_filter(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k).isin(*PERMITTED))
+    names = F.transform(F.map_keys("news"), F.lower)
+    olds = F.map_filter(F.coalesce(F.map_from_entries("full.headers"), F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(names, F.lower(k)))
     out = found.withColumn("outcome", outcome).withColumn("news", news)
     hit = F.col("outcome") == "resolved"
     cols = [F.when(hit, c).alias(name) for c, name in ((F.col("full.record_id"), "refers_to"), (F.map_concat(olds, "news"), "headers"), (F.col("full.digest"), "digest"), (F.col("full.length"), "length"))]
