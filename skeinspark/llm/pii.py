@@ -81,7 +81,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def shape(token: str) -> str:
     """Digits as d, upper and lower case as A and a, runs of letters cut to three, other characters as they are."""
-    s = re.sub(r"\d", "d", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", token[:64]))
+    s = re.sub(r"\d", "d", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", token))
     return re.sub(r"(a|A)\1{3,}", r"\1\1\1", s)
 
 
