@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinspark.llm.tokens import pieces
 from skeinspark.shared import materialize as materialize
 from skeinspark.shared import shared_dir as shared_dir
 
@@ -86,11 +87,11 @@ def crc_mod(c: Column, n: int) -> Column:
 
 
 def map_texts(docs: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """Runs a function over Arrow batches of texts. make() is called once a task and gives f(texts) -> a list of columns, which follow doc_id; null texts come as ''."""
+    """Runs a function over Arrow batches of texts, of bounded bytes. make() is called once a task and gives f(texts) -> a list of columns, which follow doc_id; null texts come as ''."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
+        for batch in pieces(batches, 1):
             texts = ["" if x is None else x for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *f(texts)], names=names)
 

@@ -313,7 +313,7 @@ def _on_cut(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
 def log_stirling(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
     """log S(c, t) for large c, 1 <= t < c."""
     c, t = np.asarray(c, float), np.asarray(t, float)
-    border = np.clip(np.floor(0.5 * c**d), 1, c - 1)
+    border = np.clip(np.floor(np.maximum(0.5 * c**d, 8 if d < 0.5 else 1)), 1, c - 1)
     out, many = np.empty(len(c)), t > border
     out[~many] = _on_cut(d, c[~many], t[~many])
     if many.any():

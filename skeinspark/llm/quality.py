@@ -6,8 +6,8 @@ feature differences. The documents' scores are then cut at a quantile of the tra
 the classes apart best. `score` maps the ranking score to 0..1 so that the cut is at 0.7.
 
 Features are taken from the whole text in Arrow batches; label, language, source and id are no features. The classifier is
-fitted on a bounded sample of labelled rows: at most `sample` of them, those of the smallest hash of doc_id; their ids are
-broadcast, which that bounds.
+fitted on a bounded sample of labelled rows: at most `sample` of them, those of the smallest hash of doc_id, whose ids are
+broadcast, and on `pairs` preference pairs drawn from these (40,000; their number bounds the fit, not what is scored).
 
 Defined cases: a null text counts as empty and gets a score; labels that are null or of unknown documents are not used, and of
 several labels of a document the mean counts, 1 from 0.5 on; without examples of both classes every document gets 0.7.
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinspark.llm.common import crc_mod, map_texts, read
+from skeinspark.llm.tokens import pieces
 
 CUT = 0.7
 SAMPLE = 20_000
@@ -86,9 +87,10 @@ class Ranker:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Ranker:
     """labels: doc_id and a 0/1 label, those that may be learned from."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(label_col).alias("__label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumnRenamed("doc_id", "__id")
-    rows = docs.join(F.broadcast(known), F.col(id_col) == F.col("__id")).select(F.col("__label").alias("label"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    known = labels.filter(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(label_col).alias("label"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.join(F.broadcast(known), F.col("id") == F.col("doc_id")).select("label", "text")
     got = _features(rows, "label", "text").toPandas()
     x = np.array(got["f"].tolist(), float) if len(got) else np.zeros((0, 1))
     return Ranker(x, (got["doc_id"].to_numpy(float) >= 0.5).astype(int))
@@ -112,7 +114,7 @@ def keep_good(docs: DataFrame, ranker: Ranker, text_col: str = "text") -> DataFr
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, at):
             x = np.array([features(t or "") for t in batch.column(at).to_pylist()], float).reshape(batch.num_rows, -1)
             yield batch.filter(pa.array(ranker.score(x) >= CUT))
 
