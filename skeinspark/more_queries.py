@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinspark.functions import text as tx
+from skeinspark.operators import compile as compiling
 from skeinspark.operators import findings, merge, overlay, reports, retrieval
 from skeinspark.operators.graph import Graph
 from skeinspark.plans.execute import Engine
-from skeinspark.queries import LIVE, _chains, _part, plain
+from skeinspark.queries import LIVE, _part, plain
 from skeinspark.shared import materialize
 from skeinspark.sources import documents
 from skeinspark.sources.projection import fragments, graph_of, graph_sql
@@ -136,12 +137,12 @@ def _explore(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _query_graph(spark: SparkSession, d: str) -> DataFrame:
-    nodes, _ = retrieval.query_graph(_chains(spark, d), "thanea eriner", max_nodes=30, top_k=5, depth=1)
+    nodes, _ = retrieval.query_graph(graph_of(spark, d), "thanea eriner", max_nodes=30, top_k=5, depth=1)
     return nodes.select("id", "type", F.round("score", 6).alias("score"))
 
 
 def _stale(spark: SparkSession, d: str) -> DataFrame:
-    return reports.stale_nodes(_part(graph_of(spark, d), "Supplier"))
+    return reports.stale_nodes(graph_of(spark, d))
 
 
 def _generic(spark: SparkSession, d: str) -> DataFrame:
@@ -161,6 +162,41 @@ def _priority(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", "priority", findings.removal_safety(F.col("priority"), F.col("signals")).alias("safety"))
 
 
+def _path_by_id(spark: SparkSession, d: str) -> DataFrame:
+    got = Engine(_standard(spark, d)).run("PATH FROM ID supplier:1 TO ID supplier:2 VIA CALLS DEPTH 2 LIMIT 5")
+    return got.select("length", F.round("score", 9).alias("score"), *[F.array_join(c, ">").alias(c) for c in ("node_ids", "node_labels", "edge_types", "edge_ids")])
+
+
+def _scan_of_documents(spark: SparkSession, d: str, day: int = 1) -> DataFrame:
+    """The documents as scanned text files; on the second day some are gone, some changed and some new."""
+    rows = _documents(spark, d)
+    if day == 1:
+        rows = rows.filter("doc_id % 11 <> 3")
+    else:
+        rows = rows.filter("doc_id % 7 <> 2").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" changed"))).otherwise(F.col("text")))
+    path = F.concat_ws("/", "source", F.concat("doc_id", F.lit(".txt")))
+    return rows.select(
+        tx.stable_id("artifact", F.lit("docs"), path).alias("artifact_id"), F.lit("docs").alias("project_id"), path.alias("relative_path"), F.octet_length("text").cast("bigint").alias("size_bytes"), F.sha2("text", 256).alias("sha256"),
+        F.lit("text").alias("artifact_type"), F.lit(None).cast("string").alias("language"), F.lit("docs").alias("context_scope"), F.lit("x").alias("options_hash"), "text",
+    )
+
+
+def _compile(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of what the compiled documents hold, after two runs."""
+    first = compiling.compile_scan(compiling.empty_graph(spark), _scan_of_documents(spark, d, 1), "docs", NOW)
+    second = compiling.compile_scan(first.graph, _scan_of_documents(spark, d, 2), "docs", NOW.replace("03-01", "03-02"))
+    nodes = second.graph.nodes.filter("type IN ('SourceArtifact', 'DocumentFragment', 'ArtifactCacheEntry', 'Directory', 'Project')").groupBy("type", "status").agg(F.count(F.lit(1)).alias("n"))
+    edges = second.graph.edges.filter("type IN ('CONTAINS', 'CONTAINS_FRAGMENT')").groupBy("type", F.lit("edge").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return nodes.union(edges)
+
+
+def _compile_states(spark: SparkSession, d: str) -> DataFrame:
+    """What the plan of the second run says of every file, and the changes by kind."""
+    first = compiling.compile_scan(compiling.empty_graph(spark), _scan_of_documents(spark, d, 1), "docs", NOW)
+    scan = _scan_of_documents(spark, d, 2).withColumns({"parser_version": F.lit(compiling.PARSER_VERSION), "chunk_version": F.lit(compiling.CHUNK_VERSION)})
+    return compiling.plan(first.graph, scan, "docs").groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _on_standard(source: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, d: plain(Engine(_standard(spark, d)).run(source))
 
@@ -170,7 +206,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "update_fields": _patch, "remove_nodes": _remove, "recoverable": _recoverable, "paragraphs": _paragraphs, "split_sentences": _sentences, "entities": _entities, "document_terms": _terms, "term_relations": _relations,
     "code_links": _code_links, "overlay_sync": _overlay, "verify_finding": _verify, "explore_callers": _explore, "query_graph": _query_graph, "stale_nodes": _stale, "generic_high_degree": _generic, "export_json": _export,
     "finding_priority": _priority, "list_symbols": _on_standard("SYMBOLS TYPE Function WHERE relative_path STARTS WITH 'src/red' RETURN id, relative_path ORDER BY relative_path ASC LIMIT 60"),
-    "hubs_of_files": _on_standard("HUBS TYPE File LIMIT 10"), "explain_search": _on_standard("EXPLAIN SEARCH 'red gear' TOP 5 DEPTH 1"), "path_by_id": _on_standard("PATH FROM ID supplier:1 TO ID supplier:2 VIA CALLS DEPTH 2 LIMIT 5"),
+    "hubs_of_files": _on_standard("HUBS TYPE File LIMIT 10"), "explain_search": _on_standard("EXPLAIN SEARCH 'red gear' TOP 5 DEPTH 1"), "path_by_id": _path_by_id, "compile_documents": _compile, "compile_states": _compile_states,
 }
 
 
@@ -189,10 +225,28 @@ def _sql() -> dict[str, str]:
         "remove_nodes": f"{g}\nSELECT e.id FROM edges e JOIN nodes c ON c.id = e.from_id AND c.type = 'Customer' JOIN nodes n ON n.id = e.to_id AND n.type = 'Nation' AND n.salience >= 0.1 WHERE e.type = 'IN_NATION'",
         "recoverable": "SELECT p_partkey AS artifact_id FROM part WHERE p_partkey % 2 <> 0 AND p_partkey % 5 <> 0",
         "paragraphs": "WITH l AS (SELECT doc_id, line, i, sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 2 AS p0 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) SELECT doc_id, p0 AS start_at, p0 + length(line) AS end_at, sha256(line) AS text_sha256 FROM l WHERE trim(line) <> ''",
+        "split_sentences": "WITH t AS (SELECT doc_id, trim(regexp_replace(translate(text, '‘’“”', QUOTES), '\\s+', ' ', 'g')) AS t FROM documents), p AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?]) +', '\\1' || chr(10), 'g'), chr(10)) AS p FROM t), c AS (SELECT doc_id, list_filter(list_transform(flatten(list_transform(p, lambda x: CASE WHEN length(x) > 260 AND contains(x, ';') THEN string_split(x, ';') ELSE [x] END)), lambda x: trim(x)), lambda x: x <> '') AS s FROM p) SELECT doc_id, len(s) AS n, sha256(array_to_string(s, '|')) AS sentences_sha256 FROM c".replace("QUOTES", "chr(39) || chr(39) || chr(34) || chr(34)"),
+        "path_by_id": f"""{g}, e AS (SELECT from_id AS a, to_id AS b, id, weight, confidence FROM edges WHERE type = 'SUPPLIED_BY' UNION ALL SELECT to_id, from_id, id, weight, confidence FROM edges WHERE type = 'SUPPLIED_BY'),
+k AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY a ORDER BY weight DESC, id) <= 80),
+p AS (SELECT x.b AS mid, (x.weight * x.confidence + y.weight * y.confidence) / 2 AS w, x.id AS e1, y.id AS e2 FROM k x JOIN k y ON y.a = x.b AND y.b = 'supplier:2' WHERE x.a = 'supplier:1'),
+s AS (SELECT p.*, least(1.0::DOUBLE, w * 0.85 + 0.15 * (a.salience + m.salience + b.salience) / 3) AS score, a.label AS la, m.label AS lm, b.label AS lb FROM p JOIN nodes a ON a.id = 'supplier:1' JOIN nodes m ON m.id = mid JOIN nodes b ON b.id = 'supplier:2')
+SELECT 2 AS length, round(score, 9) AS score, 'supplier:1>' || mid || '>supplier:2' AS node_ids, la || '>' || lm || '>' || lb AS node_labels, 'CALLS>CALLS' AS edge_types, e1 || '>' || e2 AS edge_ids FROM s ORDER BY s.score DESC, mid LIMIT 5""",
+        "compile_documents": """WITH one AS (SELECT doc_id, source, length(text) AS n FROM documents WHERE doc_id % 11 <> 3 AND trim(text, ' ' || chr(9) || chr(10)) <> ''),
+two AS (SELECT doc_id, source, length(text) + CASE WHEN doc_id % 5 = 0 THEN 8 ELSE 0 END AS n FROM documents WHERE doc_id % 7 <> 2 AND (trim(text, ' ' || chr(9) || chr(10)) <> '' OR doc_id % 5 = 0)),
+all_one AS (SELECT doc_id, source FROM documents WHERE doc_id % 11 <> 3), all_two AS (SELECT doc_id, source FROM documents WHERE doc_id % 7 <> 2),
+f1 AS (SELECT doc_id, unnest(range(0, (n - 1) // 3000 + 1)) AS k FROM one), f2 AS (SELECT doc_id, unnest(range(0, (n - 1) // 3000 + 1)) AS k FROM two),
+a AS (SELECT doc_id FROM all_one WHERE doc_id % 7 = 2)
+SELECT 'SourceArtifact' AS type, 'active' AS status, count(*) AS n FROM all_two UNION ALL SELECT 'SourceArtifact', 'archived', count(*) FROM a
+UNION ALL SELECT 'ArtifactCacheEntry', 'active', count(*) FROM all_two UNION ALL SELECT 'ArtifactCacheEntry', 'archived', count(*) FROM a
+UNION ALL SELECT 'DocumentFragment', 'active', count(*) FROM f2 UNION ALL SELECT 'DocumentFragment', 'archived', count(*) FROM (SELECT * FROM f1 EXCEPT SELECT * FROM f2)
+UNION ALL SELECT 'Directory', 'active', count(DISTINCT source) FROM documents UNION ALL SELECT 'Project', 'active', 1
+UNION ALL SELECT 'CONTAINS', 'edge', (SELECT count(DISTINCT source) FROM documents) + (SELECT count(*) FROM (SELECT doc_id FROM all_one UNION SELECT doc_id FROM all_two))
+UNION ALL SELECT 'CONTAINS_FRAGMENT', 'edge', count(*) FROM f2""",
+        "compile_states": "SELECT CASE WHEN doc_id % 7 = 2 THEN 'deleted' WHEN doc_id % 11 = 3 THEN 'new' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'clean' END AS state, count(*) AS n FROM documents WHERE NOT (doc_id % 7 = 2 AND doc_id % 11 = 3) GROUP BY 1",
         "finding_priority": "WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 AND p_partkey % 4 <> 0 THEN 'high' WHEN p_partkey % 4 <> 0 THEN 'medium' ELSE 'low' END AS priority FROM part) SELECT p_partkey, priority, CASE WHEN priority = 'high' AND p_partkey % 5 <> 0 THEN 'safe' WHEN p_partkey % 5 = 0 THEN 'risky' ELSE 'validate' END AS safety FROM p",
         "generic_high_degree": f"{g}, e2 AS (SELECT * FROM edges WHERE type = 'IN_NATION'), d AS (SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM e2 UNION ALL SELECT to_id FROM e2) GROUP BY id HAVING count(*) >= 3)\nSELECT n.id, n.label, degree FROM nodes n JOIN d ON d.id = n.id WHERE n.type IN ('Nation', 'Supplier') ORDER BY degree DESC, n.id LIMIT 10",
         "export_json": f"{g}\nSELECT 'node' AS kind, id FROM nodes WHERE type IN ('Nation', 'Region') UNION ALL SELECT 'edge', id FROM edges WHERE type = 'IN_REGION'",
-        "stale_nodes": f"{g}\nSELECT id, type, label, CAST(NULL AS VARCHAR) AS last_used_at, updated_at FROM nodes WHERE type = 'Supplier' ORDER BY id LIMIT 20",
+        "stale_nodes": f"{g}\nSELECT id, type, label, CAST(NULL AS VARCHAR) AS last_used_at, updated_at FROM nodes ORDER BY id LIMIT 20",
         "overlay_sync": f"{g}, p AS (SELECT id, CAST(regexp_extract(id, '(\\d+)$', 1) AS BIGINT) AS k FROM nodes WHERE type IN ('Part', 'Supplier') AND {LIVE})\nSELECT id, CASE WHEN k % 7 = 0 THEN 'stale' ELSE 'changed' END AS change FROM p WHERE k % 7 = 0 OR k % 13 = 0",
         "explore_callers": f"{g}\nSELECT e.to_id AS seed, n.id, 'Function' AS type, n.label, 'CALLS' AS relation, e.weight FROM edges e JOIN nodes n ON n.id = e.from_id AND n.type = 'Part' AND n.status <> 'archived' WHERE e.type = 'SUPPLIED_BY' AND e.to_id IN ('supplier:1', 'supplier:2') ORDER BY e.weight DESC, n.id, e.to_id LIMIT 40",
         "list_symbols": f"{g}\nSELECT id, 'src/' || label AS relative_path FROM nodes WHERE type = 'Part' AND {LIVE} AND starts_with(lower('src/' || label), 'src/red') ORDER BY lower('src/' || label), id LIMIT 60",

@@ -146,26 +146,30 @@ def bridge_marks(adj: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def centrality(graph: Graph, nodes: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
-    """id, degree, degree_centrality, weighted_degree, in_degree, out_degree, open_triads, community_bridge, activation_frequency, usefulness."""
+    """id, degree, degree_centrality, weighted_degree, in_degree, out_degree, open_triads, community_bridge, activation_frequency, usefulness.
+
+    The ends of the edges are gathered once, by node and neighbour, and written; all measures are aggregates of that table.
+    """
     nodes = candidates(graph, tuple(t for t in BOOKKEEPING if t != "Community")) if nodes is None else nodes
     rows = inner_edges(graph, nodes)
     ends = rows.select(F.col("from_id").alias("id"), F.col("to_id").alias("near"), "weight", F.lit(1).alias("out"), F.lit(0).alias("in"))
     ends = ends.union(rows.select("to_id", "from_id", "weight", F.lit(0), F.lit(1)))
-    sums = ends.groupBy("id").agg(F.sum("weight").alias("weighted"), F.sum("out").alias("out_degree"), F.sum("in").alias("in_degree"))
-    near = ends.select("id", "near").distinct()
-    degree = near.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    out = nodes.select("id", "usage_count").join(degree, "id", "left").join(sums, "id", "left").join(open_triads(near, degree), "id", "left")
+    near = materialize(ends.groupBy("id", "near").agg(F.sum("weight").alias("weight"), F.sum("out").alias("out"), F.sum("in").alias("in")))
+    sums = materialize(near.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weighted"), F.sum("out").alias("out_degree"), F.sum("in").alias("in_degree")))
+    said = [F.nullif(F.col(c).cast("double"), F.lit(0.0)) for c in ("retrieval_usefulness", "usage_success") if c in nodes.columns]
+    fired = F.coalesce(F.col("activation_count").cast("double"), F.lit(0.0)) if "activation_count" in nodes.columns else F.lit(0.0)
+    out = nodes.select("id", (F.col("usage_count") + fired).alias("usage_count"), clamp(F.coalesce(*said, F.lit(0.0))).alias("usefulness")).join(sums, "id", "left").join(open_triads(near.select("id", "near"), sums), "id", "left")
     if members is not None:
         crossing = near.join(members.withColumnsRenamed({"node": "near"}), "near").groupBy("id").agg(F.countDistinct("community").alias("k"))
         out = out.join(crossing, "id", "left").withColumn("community_bridge", F.when(F.col("k").isNull(), 0.0).otherwise(F.least(F.lit(1.0), (F.col("k") - 1) / 3))).drop("k")
     else:
         out = out.withColumn("community_bridge", F.lit(0.0))
     out = out.fillna({"degree": 0, "weighted": 0.0, "out_degree": 0, "in_degree": 0, "open_triads": 0.0})
-    top = out.agg(F.max("degree").alias("d"), F.max("weighted").alias("w")).first()
+    top = sums.agg(F.max("degree").alias("d"), F.max("weighted").alias("w")).first()
     most, heaviest = float(top.d or 1) or 1.0, float(top.w or 1.0) or 1.0
     return out.select(
         "id", "degree", (F.col("degree") / most).alias("degree_centrality"), (F.col("weighted") / heaviest).alias("weighted_degree"), "in_degree", "out_degree", "open_triads",
-        "community_bridge", F.least(F.lit(1.0), F.col("usage_count") / 20.0).alias("activation_frequency"), F.lit(0.0).alias("usefulness"),
+        "community_bridge", F.least(F.lit(1.0), F.col("usage_count") / 20.0).alias("activation_frequency"), "usefulness",
     )
 
 
@@ -233,24 +237,41 @@ def specificity(graph: Graph, nodes: DataFrame) -> DataFrame:
     return rows.select("id", clamp(spec2).alias("specificity"), clamp(pen2).alias("generic_penalty"))
 
 
-def hubs(graph: Graph, limit: int = 20, kinds: list[str] | None = None, members: DataFrame | None = None) -> DataFrame:
-    """rank, id, type, label, hub_score, centrality, specificity, community_bridge, generic_penalty, is_hub, reason of the best candidates by degree."""
-    top = graph.top_by_degree(max(12 * limit, 120), kinds, list(BOOKKEEPING), list(ANALYTIC_EDGES)).drop("degree", "weighted")
-    top = materialize(top)
-    meaning = [F.when(~F.lower(F.trim(c)).isin("none", "null", "undefined", "unknown", "nan", ""), F.trim(c)) for c in (F.col(x) for x in ("label", "text", "qualified_name", "name", "canonical_key") if x in top.columns)]
-    rows = top.join(centrality(graph, top, members), "id").join(specificity(graph, top), "id").withColumn("shown", F.coalesce(*meaning)).filter("shown IS NOT NULL")
-    score = clamp(
-        0.20 * F.col("degree_centrality") + 0.15 * F.col("weighted_degree") + 0.15 * F.col("activation_frequency") + 0.15 * F.col("usefulness") + 0.10 * F.col("salience")
-        + 0.10 * F.col("community_bridge") + 0.10 * F.col("specificity") + 0.05 * F.col("confidence") - 0.20 * F.col("generic_penalty")
-    )
-    rows = rows.withColumn("hub_score", F.round(score, 12)).withColumn("centrality", (F.col("degree_centrality") + F.col("weighted_degree")) / 2)
-    rows = rows.orderBy(F.col("hub_score").desc(), F.col("specificity").desc(), F.col("centrality").desc(), "id").limit(limit)
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("hub_score").desc(), F.col("specificity").desc(), F.col("centrality").desc(), "id"))
+#: Weights of a hub's score, and what makes a hub.
+HUB_WEIGHTS = {
+    "degree_centrality": 0.20, "weighted_degree": 0.15, "activation_frequency": 0.15, "usefulness": 0.15, "salience": 0.10, "community_bridge": 0.10, "specificity": 0.10, "confidence": 0.05,
+    "generic_penalty": -0.20,
+}
+HUB_LEAST, HUB_GENERIC = 0.18, 0.65
+MEANINGLESS = ("none", "null", "undefined", "unknown", "nan", "")
+
+
+def stored_members(graph: Graph) -> DataFrame:
+    """node, community: the membership that the graph's own edges say."""
+    return graph.edges.filter("type = 'BELONGS_TO_COMMUNITY'").select(F.col("from_id").alias("node"), F.col("to_id").alias("community"))
+
+
+def score_hubs(graph: Graph, rows: DataFrame, members: DataFrame | None = None, measured: DataFrame | None = None) -> DataFrame:
+    """id, type, label, hub_score, centrality, specificity, community_bridge, generic_penalty, is_hub, reason of nodes that have something to be called by and aren't symbols from outside."""
+    measured = centrality(graph, rows, stored_members(graph) if members is None else members) if measured is None else measured
+    meaning = [F.when(~F.lower(F.trim(c)).isin(*MEANINGLESS), F.trim(c)) for c in (F.col(x) for x in ("label", "text", "qualified_name", "name", "canonical_key") if x in rows.columns)]
+    scored = rows.join(measured, "id").join(specificity(graph, rows), "id").withColumn("label", F.coalesce(*meaning)).filter("label IS NOT NULL")
+    if "external" in rows.columns:
+        scored = scored.filter(~((F.col("type") == "CodeSymbol") & F.coalesce(F.col("external").cast("boolean"), F.lit(False))))
+    total = sum((w * F.col(c) for c, w in HUB_WEIGHTS.items()), F.lit(0.0))
+    scored = scored.withColumn("hub_score", F.round(clamp(total), 12)).withColumn("centrality", (F.col("degree_centrality") + F.col("weighted_degree")) / 2)
     reason = F.format_string("degree=%.2f; weighted_degree=%.2f; specificity=%.2f; generic_penalty=%.2f; score=%.2f", "degree_centrality", "weighted_degree", "specificity", "generic_penalty", "hub_score")
-    return rows.select(
-        rank.alias("rank"), "id", "type", F.col("shown").alias("label"), "hub_score", "centrality", "specificity", "community_bridge", "generic_penalty",
-        ((F.col("hub_score") >= 0.18) & (F.col("generic_penalty") < 0.65)).alias("is_hub"), reason.alias("reason"),
-    )
+    is_hub = (F.col("hub_score") >= HUB_LEAST) & (F.col("generic_penalty") < HUB_GENERIC)
+    return scored.select("id", "type", "label", "hub_score", "centrality", "specificity", "community_bridge", "generic_penalty", is_hub.alias("is_hub"), reason.alias("reason"))
+
+
+def hubs(graph: Graph, limit: int = 20, kinds: list[str] | None = None, members: DataFrame | None = None, every: bool = False) -> DataFrame:
+    """rank and score_hubs() of the best of the candidates, which are the max(12 limit, 120) nodes of highest degree; every: of all of them."""
+    top = graph.top_by_degree(max(12 * limit, 120), kinds, list(BOOKKEEPING), list(ANALYTIC_EDGES)).drop("degree", "weighted")
+    rows = score_hubs(graph, materialize(top), members)
+    order = [F.col("hub_score").desc(), F.col("specificity").desc(), F.col("centrality").desc(), F.col("id")]
+    rows = rows if every else rows.orderBy(*order).limit(limit)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
 
 
 def recency(updated: Column, now: Column, half_life_days: float = 14.0) -> Column:

@@ -1,19 +1,17 @@
 """Retrieval: lexical seeds, seed cut, bounded expansion, scores, and the rows and views made of them.
 
-Seeds and scores are joins and column expressions. The expansion is first-come: whether a node is walked on depends on what
-was seen before it. So the piece of the graph within reach of the seeds (at most `per_node` edges a node and level) is cut out
-by joins and scored, and the walk over it is replayed in order, per request.
+All of it is joins and column expressions. The expansion goes level by level: the nodes first reached in a level go on from the
+best way by which they were reached, at most `per_node` edges each, and every node keeps the best score that any way offers it.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinspark.functions.text import clamp
 from skeinspark.operators.graph import Graph
 from skeinspark.operators.search import Profile, lexical_search, match_metrics, type_bonus, weak_match
 from skeinspark.schema import INACTIVE
@@ -43,96 +41,74 @@ def seeds(graph: Graph, profile: Profile, text: str, top_k: int, kinds: list[str
     return rows.filter(F.col("seed") >= 0.2 * (best or 0.0)).orderBy(F.col("seed").desc(), "id").limit(max(2 * top_k, 20))
 
 
-def _clamp(x: float) -> float:
-    return max(0.0, min(1.0, x))
-
-
-def expand(start: list[tuple[str, float]], node: dict[str, dict], edges: dict[str, list[tuple]], n_words: int, depth: int) -> dict[str, dict]:
-    """The best way found to each node, first come. node: match, coverage, bonus, words, is_source; edges: node -> (edge id, neighbour, signal)."""
-    found: dict[str, dict] = {}
-    cover = lambda words: min(1.0, len(words) / n_words) if n_words else 0.0
-
-    def offer(i: str, seed: float, words: frozenset, level: int, signal: float) -> None:
-        x = node[i]
-        along = max(x["coverage"], cover(words))
-        way = _clamp(0.60 * signal + 0.40 * along)
-        penalty = min(0.30, level * 0.08)
-        score = _clamp(0.52 * x["match"] + 0.28 * along + 0.14 * way + 0.06 * seed + x["bonus"] - penalty)
-        if x["is_source"]:
-            score = _clamp(score - (0.08 if level else 0.16))
-        if n_words >= 4 and x["match"] < 0.10 and along < 0.35:
-            return
-        if i not in found or score > found[i]["score"]:
-            found[i] = {"score": score, "match_score": x["match"], "coverage": x["coverage"], "path_score": way, "type_bonus": x["bonus"], "seed_score": seed, "depth_penalty": penalty}
-
-    line: deque = deque()
-    level_of: dict[str, int] = {}
-    for i, seed in start:
-        if i in node:
-            offer(i, seed, node[i]["words"], 0, 1.0)
-            line.append((i, 0, seed, seed, node[i]["words"]))
-            level_of[i] = 0
-    while line:
-        i, level, seed, score, words = line.popleft()
-        if level >= depth:
-            continue
-        for _, other, signal in edges.get(i, ()):
-            if other not in node:
-                continue
-            both = words | node[other]["words"]
-            before = level_of.get(other)
-            if before is not None and before <= level + 1 and other in found and found[other]["coverage"] >= cover(both):
-                continue
-            if level + 1 > 1 and node[other]["match"] <= 0 and cover(both) <= cover(words):
-                continue
-            new = _clamp(0.55 * score + 0.25 * cover(both) + 0.20 * signal)
-            offer(other, seed, both, level + 1, new)
-            if before is None or level + 1 < before:
-                level_of[other] = level + 1
-                line.append((other, level + 1, seed, new, both))
-    return found
+REASONS = ("match_score", "coverage", "path_score", "type_bonus", "seed_score", "depth_penalty")
 
 
-REASONS = ("match_score", "coverage", "path_score", "type_bonus", "seed_score", "depth_penalty")
+def _allowed(graph: Graph, kinds: list[str] | None, archived: bool) -> DataFrame:
+    """Nodes that may be returned and walked over."""
+    rows = graph.nodes.filter(~F.col("type").isin(*TECHNICAL_NODES))
+    if not archived:
+        rows = rows.filter(~F.col("status").isin(*INACTIVE))
+    return _of_kinds(rows, kinds)
+
+
+def _of_kinds(rows: DataFrame, kinds: list[str] | None) -> DataFrame:
+    return rows.filter(F.lower("type").isin([k.lower() for k in kinds])) if kinds else rows
+
+
+def _share(words: Column, n: int) -> Column:
+    return F.least(F.lit(1.0), F.size(words) / n) if n else F.lit(0.0)
+
+
+def _facts(nodes: DataFrame, ids: DataFrame, profile: Profile) -> DataFrame:
+    """id and what its text says about the query, of the nodes in ids."""
+    rows = match_metrics(nodes.join(ids.distinct(), "id", "left_semi"), profile)
+    return rows.select("id", "match_score", "coverage", type_bonus(F.col("match_score")).alias("type_bonus"), F.col("overlap").alias("own_words"), F.col("type").isin(*SOURCE_NODES).alias("is_source"))
+
+
+def _offer(rows: DataFrame, level: int, n: int) -> DataFrame:
+    """id, offer (score and its parts): what a way of this level is worth. rows: facts of the node, and seed, words, reach of the way."""
+    along = F.greatest(F.col("coverage"), _share(F.col("words"), n))
+    way = clamp(0.60 * F.col("reach") + 0.40 * along)
+    penalty = min(0.30, 0.08 * level)
+    score = clamp(0.52 * F.col("match_score") + 0.28 * along + 0.14 * way + 0.06 * F.col("seed") + F.col("type_bonus") - penalty)
+    score = F.when(F.col("is_source"), clamp(score - (0.08 if level else 0.16))).otherwise(score)
+    hopeless = (F.col("match_score") < 0.10) & (along < 0.35) if n >= 4 else F.lit(False)
+    parts = (F.col("match_score"), F.col("coverage"), way, F.col("type_bonus"), F.col("seed"), F.lit(penalty))
+    return rows.filter(~hopeless).select("id", F.struct(score.alias("score"), *[c.alias(name) for c, name in zip(parts, REASONS, strict=True)]).alias("offer"))
+
+
+def expand(graph: Graph, nodes: DataFrame, first: DataFrame, profile: Profile, depth: int, kinds: list[str] | None, per_node: int) -> DataFrame:
+    """id, score and its parts of the best way to every node within reach of first (id, seed)."""
+    n = len(profile.informative)
+    at = first.join(_facts(nodes, first.select("id"), profile), "id").withColumn("words", F.col("own_words"))
+    at = materialize(at.withColumn("reach", F.lit(1.0)))
+    offers = [_offer(at, 0, n)]
+    seen = at.select("id")
+    frontier = at.select("id", "seed", "words", F.col("seed").alias("reach"))
+    for level in range(1, depth + 1):
+        ways = graph.neighbours(frontier.select("id"), per_node, kinds=kinds, least_weight=0.01).filter(~F.col("edge_type").isin(*TECHNICAL_EDGES))
+        signal = clamp(F.col("weight") * F.col("confidence") * F.greatest(F.col("polarity"), F.lit(0)))
+        ways = materialize(ways.select("node", F.col("neighbour").alias("id"), signal.alias("signal")))
+        met = ways.join(frontier.withColumnRenamed("id", "node"), "node").join(_facts(nodes, ways.select("id"), profile), "id")
+        met = met.withColumnRenamed("words", "before").withColumn("words", F.array_union("before", "own_words"))
+        if level > 1:  # far from the seeds only what matches, or adds a word to its way
+            met = met.filter((F.col("match_score") > 0) | (F.size("words") > F.size("before")))
+        met = met.withColumn("reach", clamp(0.55 * F.col("reach") + 0.25 * _share(F.col("words"), n) + 0.20 * F.col("signal")))
+        met = materialize(met.select("id", "seed", F.array_sort("words").alias("words"), "reach", "match_score", "coverage", "type_bonus", "is_source"))
+        offers.append(_offer(met, level, n))
+        new = met.join(seen, "id", "left_anti").groupBy("id").agg(F.max(F.struct("reach", "seed", "words")).alias("best"))
+        frontier = materialize(new.select("id", "best.seed", "best.words", "best.reach"))
+        seen = seen.union(frontier.select("id"))
+    best = reduce(DataFrame.unionByName, offers).groupBy("id").agg(F.max_by("offer", F.struct("offer.score", -F.col("offer.depth_penalty"), "offer")).alias("offer"))
+    return best.select("id", "offer.*")
 
 
 def retrieve(graph: Graph, text: str, top_k: int = 20, depth: int = 3, kinds: list[str] | None = None, archived: bool = False, edge_types: list[str] | None = None, index: DataFrame | None = None, per_node: int = 120) -> DataFrame:
     """id, score and its parts, best first."""
-    profile = Profile(text)
+    profile = Profile(graph.nodes.sparkSession, text)
     first = materialize(seeds(graph, profile, text, top_k, kinds, archived, index))
-    levels, frontier, seen = [], first.select("id"), first.select("id")
-    for _ in range(depth):
-        step = graph.neighbours(frontier, per_node, kinds=edge_types, least_weight=0.01).filter(~F.col("edge_type").isin(*TECHNICAL_EDGES))
-        step = materialize(step)
-        levels.append(step)
-        frontier = step.select(F.col("neighbour").alias("id")).distinct().join(seen, "id", "left_anti")
-        seen = seen.union(frontier)
-    allowed = graph.nodes
-    if not archived:
-        allowed = allowed.filter(~F.col("status").isin(*INACTIVE))
-    if kinds:
-        allowed = allowed.filter(F.lower("type").isin([k.lower() for k in kinds]))
-    reached = match_metrics(allowed.join(materialize(seen.distinct()), "id", "left_semi"), profile)
-    zero = F.lit(None)
-    parts = [reached.select(F.lit("n").alias("kind"), "id", zero.cast("string").alias("other"), zero.cast("string").alias("edge"), F.col("match_score").alias("x"), F.col("coverage").alias("y"), type_bonus(F.col("match_score")).alias("z"), F.col("overlap").alias("words"), F.col("type").isin(*SOURCE_NODES).alias("flag"), F.lit(0).alias("rank"))]
-    parts.append(first.select(F.lit("s"), "id", zero.cast("string"), zero.cast("string"), F.col("seed"), F.lit(0.0), F.lit(0.0), F.array().cast("array<string>"), F.lit(False), F.lit(0)))
-    if levels:
-        ways = reduce(DataFrame.unionByName, levels).dropDuplicates(["node", "edge_id"])
-        signal = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("weight") * F.col("confidence") * F.greatest(F.col("polarity"), F.lit(0))))
-        parts.append(ways.select(F.lit("e"), "node", "neighbour", "edge_id", signal, F.lit(0.0), F.lit(0.0), F.array().cast("array<string>"), F.lit(False), "rank"))
-    piece = reduce(DataFrame.union, parts).withColumn("request", F.lit(0))
-    n_words = len(profile.informative)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        node = {r.id: {"match": r.x, "coverage": r.y, "bonus": r.z, "words": frozenset(r.words), "is_source": r.flag} for r in rows[rows["kind"] == "n"].itertuples()}
-        start = [(r.id, r.x) for r in rows[rows["kind"] == "s"].sort_values(["x", "id"], ascending=[False, True]).itertuples()]
-        edges: dict[str, list[tuple]] = {}
-        for r in rows[rows["kind"] == "e"].sort_values(["id", "rank"]).itertuples():
-            edges.setdefault(r.id, []).append((r.edge, r.other, r.x))
-        found = expand(start, node, edges, n_words, depth)
-        return pd.DataFrame([{"id": i, **v} for i, v in found.items()], columns=["id", "score", *REASONS])
-
-    got = materialize(piece.groupBy("request").applyInPandas(run, "id string, score double, " + ", ".join(f"{r} double" for r in REASONS)))
+    got = materialize(expand(graph, _allowed(graph, kinds, archived), first, profile, depth, edge_types, per_node))
     return got.filter("score > 0 OR match_score > 0").orderBy(F.col("score").desc(), "depth_penalty", "id").limit(top_k)
 
 

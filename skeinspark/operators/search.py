@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinspark.functions.text import bigrams, canonicalize, keyword_table, plain_bigrams, plain_canonicalize, plain_signal, plain_tokenize, tokenize
+from skeinspark.functions.text import analyse, canonicalize, keyword_table, signal, tokenize
 from skeinspark.operators.graph import Graph
 from skeinspark.schema import ACTIVE
 from skeinspark.shared import materialize
 
 TEXT_BUDGET, TERMS_PER_NODE = 4096, 80
+#: Properties whose text is indexed.
+INDEXED = (
+    "artifact_id", "artifact_type", "compiled_at", "finding_type", "fragment_type", "kind", "language", "module", "name", "project_id", "qualified_name", "relative_path", "root_path", "severity", "sha256",
+    "symbol_name", "symbol_type",
+)
+#: Characters of a property once the budget is spent.
+LEAST_PART = 128
 #: Type classes and what they add to a match.
 TYPE_BONUS = {
     0.10: ("Function", "Method", "Class", "Interface", "Module"), 0.07: ("SourceArtifact", "File", "Endpoint", "Schema", "Config", "Test"),
@@ -19,8 +26,13 @@ TYPE_BONUS = {
 
 
 def indexed_text(nodes: DataFrame) -> Column:
-    """Type, label, key and the text, of which the index takes a bounded part."""
-    return F.concat_ws(" ", "type", "label", "canonical_key", F.substring("text", 1, TEXT_BUDGET))
+    """Type, label and key whole; then the text and the indexed properties that the nodes have, by name, which share a budget."""
+    parts, left = [F.substring("text", 1, TEXT_BUDGET)], F.greatest(F.lit(0), TEXT_BUDGET - F.coalesce(F.char_length("text"), F.lit(0)))
+    for name in sorted({*INDEXED} & {*nodes.columns}):
+        item = F.col(name).cast("string")
+        parts.append(F.substr(item, F.lit(1), F.when(left > 0, left).otherwise(LEAST_PART)))
+        left = F.greatest(F.lit(0), left - F.coalesce(F.char_length(item), F.lit(0)))
+    return F.concat_ws(" ", "type", "label", "canonical_key", *parts)
 
 
 def postings(graph: Graph) -> DataFrame:
@@ -30,9 +42,10 @@ def postings(graph: Graph) -> DataFrame:
 
 def lexical_search(graph: Graph, text: str, top_k: int = 20, kinds: list[str] | None = None, archived: bool = False, index: DataFrame | None = None) -> DataFrame:
     """id, score of the best nodes. The query's terms, a handful, are broadcast; postings are aggregated map-side."""
-    tokens = plain_tokenize(text)
     spark = graph.nodes.sparkSession
-    weights = dict.fromkeys(tokens, 1.0) | dict.fromkeys(plain_bigrams(tokens), 1.35)
+    request = analyse(spark, text)
+    tokens = request.tokens
+    weights = dict.fromkeys(tokens, 1.0) | dict.fromkeys(request.pairs, 1.35)
     wanted = spark.createDataFrame(list(weights.items()) or [("", 0.0)], "term string, weight double")
     index = postings(graph) if index is None else index
     found = materialize(index.join(F.broadcast(wanted), "term"))
@@ -53,17 +66,14 @@ def lexical_search(graph: Graph, text: str, top_k: int = 20, kinds: list[str] |
 class Profile:
     """What a query's text is matched by."""
 
-    def __init__(self, text: str) -> None:
-        self.key = plain_canonicalize(text)
-        self.tokens = plain_tokenize(text)
-        informative = sorted({t for t in self.tokens if len(t) >= 3 or plain_signal(t) >= 0.85})
-        self.informative = informative or sorted(set(self.tokens))
-        self.phrases = sorted(set(plain_bigrams(self.tokens)))
+    def __init__(self, spark: SparkSession, text: str) -> None:
+        request = analyse(spark, text)
+        self.key, self.tokens = request.key, list(request.tokens)
+        self.informative = sorted({*request.telling} or {*request.tokens})
+        self.phrases = sorted({*request.pairs})
 
 
 def _strong(t: Column) -> Column:
-    from skeinspark.functions.text import signal
-
     return (signal(t) >= 0.85) & t.rlike("[0-9_-]")
 
 
@@ -120,4 +130,4 @@ def weak_match(profile: Profile, match: Column) -> Column:
     return (match < 0.10) & ~F.exists("overlap", _strong) & few
 
 
-__all__ = ["Profile", "bigrams", "indexed_text", "lexical_search", "match_metrics", "postings", "type_bonus", "weak_match"]
+__all__ = ["Profile", "indexed_text", "lexical_search", "match_metrics", "postings", "type_bonus", "weak_match"]

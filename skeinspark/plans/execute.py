@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skeinspark.functions.text import analyse
 from skeinspark.operators import analysis, findings, retrieval
 from skeinspark.operators.activation import activate
 from skeinspark.operators.graph import Graph, resolver
@@ -19,13 +20,18 @@ from skeinspark.schema import ACTIVE
 
 #: The columns that a statement shows if it doesn't say.
 DEFAULTS = {
-    "FIND NODES": "id type label text status salience confidence activation", "FIND EDGES": "id type from_id to_id weight confidence polarity origin",
-    "SEARCH": "rank score id type label text salience confidence activation", "RETRIEVE": "rank score id type label text source_for relation direction relative_path line_start line_end",
-    "ACTIVATE": "id type label text activation salience confidence", "PATH": "length score node_ids node_labels edge_types edge_ids",
-    "PROJECTS": "id name root_path status updated_at", "ARTIFACTS": "id relative_path path artifact_type language status size_bytes sha256",
-    "FRAGMENTS": "id artifact_id fragment_type section_path start_line end_line status text", "SYMBOLS": "id type name qualified_name relative_path start_line end_line status",
-    "FINDINGS": "id finding_type severity symbol_type symbol_name qualified_name relative_path directory file_count files line_start cleanup_priority cleanup_rank evidence_scope confidence reason status",
-    "DELTAS": "id run_id project_id artifact_id created_at added_nodes updated_nodes archived_nodes",
+    "FIND NODES": ("id", "type", "label", "text", "status", "salience", "confidence", "activation"),
+    "FIND EDGES": ("id", "type", "from_id", "to_id", "weight", "confidence", "polarity", "origin"),
+    "SEARCH": ("rank", "score", "id", "type", "label", "text", "salience", "confidence", "activation"),
+    "RETRIEVE": ("rank", "score", "id", "type", "label", "text", "source_for", "relation", "direction", "relative_path", "line_start", "line_end"),
+    "ACTIVATE": ("id", "type", "label", "text", "activation", "salience", "confidence"),
+    "PATH": ("length", "score", "node_ids", "node_labels", "edge_types", "edge_ids"),
+    "PROJECTS": ("id", "name", "root_path", "status", "updated_at"),
+    "ARTIFACTS": ("id", "relative_path", "path", "artifact_type", "language", "status", "size_bytes", "sha256"),
+    "FRAGMENTS": ("id", "artifact_id", "fragment_type", "section_path", "start_line", "end_line", "status", "text"),
+    "SYMBOLS": ("id", "type", "name", "qualified_name", "relative_path", "start_line", "end_line", "status"),
+    "FINDINGS": ("id", "finding_type", "severity", "symbol_type", "symbol_name", "qualified_name", "relative_path", "directory", "file_count", "files", "line_start", "cleanup_priority", "cleanup_rank", "evidence_scope", "confidence", "reason", "status"),
+    "DELTAS": ("id", "run_id", "project_id", "artifact_id", "created_at", "added_nodes", "updated_nodes", "archived_nodes"),
 }
 LIST_ORDER = {"DELTAS": "created_at", "FINDINGS": "cleanup_rank"}
 PRIORITY = {"high": 3, "medium": 2, "low": 1}
@@ -63,7 +69,7 @@ class Engine:
         return names.get(st.kind, self.listing)(st)
 
     def columns(self, st: Statement) -> list[str]:
-        return st.columns or DEFAULTS[st.kind].split()
+        return st.columns or list(DEFAULTS[st.kind])
 
     # -- scans ----------------------------------------------------------------
     def find_nodes(self, st: Statement) -> DataFrame:
@@ -128,9 +134,7 @@ class Engine:
         if mode == "id":
             found = self.graph.get_node(value).select("id")
         elif mode == "key":
-            from skeinspark.functions.text import plain_canonicalize
-
-            found = self.graph.get_node_by_key(kind or "", plain_canonicalize(value)).select("id")
+            found = self.graph.get_node_by_key(kind or "", analyse(self.graph.nodes.sparkSession, value).key).select("id")
         else:
             found = retrieval.retrieve(self.graph, value, 5, 1, index=self.index).select("id")
         if found.isEmpty():
@@ -185,9 +189,13 @@ class Engine:
         return rows.select(F.row_number().over(order).alias("rank"), "score", "id", "type", "label", "text", F.struct(*retrieval.REASONS).alias("reasons")).orderBy("rank")
 
     def explain_hub(self, st: Statement) -> DataFrame:
+        """The node among the hub candidates; one that isn't among them is measured against the whole graph and has no rank."""
         found = analysis.hubs(self.graph, 1000).filter(F.col("id") == st.options["id"])
         if found.isEmpty():
-            raise EvaluationProblem(f"{st.options['id']!r} is no hub candidate")
+            one = self.graph.get_node(st.options["id"])
+            if one.isEmpty():
+                raise EvaluationProblem(f"there is no node {st.options['id']!r}")
+            found = analysis.score_hubs(self.graph, one, None, analysis.centrality(self.graph)).withColumn("rank", F.lit(None).cast("int"))
         return found.select(F.col("id").alias("node_id"), F.col("type").alias("node_type"), "label", "hub_score", F.col("rank").alias("hub_rank"), "is_hub", F.split("reason", "; ").alias("reasons"))
 
     def stats(self, st: Statement) -> DataFrame:
@@ -236,11 +244,12 @@ class Engine:
         return out.orderBy(F.col("latest_compiled_at").desc(), F.col("project_id").desc()).limit(st.limit)
 
     def communities(self, st: Statement) -> DataFrame:
-        rows, _ = analysis.communities(self.graph, limit=max(5 * st.limit, 100))
-        return self._ranked(rows, st, "salience")
+        """All communities; the limit comes after the filter and the order."""
+        return self._ranked(analysis.communities(self.graph)[0], st, "salience")
 
     def hubs(self, st: Statement) -> DataFrame:
-        rows = analysis.hubs(self.graph, max(5 * st.limit, 100), st.types or None)
+        """All scored candidates; the limit comes after the filter and the order."""
+        rows = analysis.hubs(self.graph, max(5 * st.limit, 100), st.types or None, every=True)
         return self._ranked(rows, st, "hub_score").select("rank", "id", "type", "label", "hub_score", "specificity", "generic_penalty", "reason")
 
     @staticmethod

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinspark.functions import text as tx
-from skeinspark.operators import analysis, findings, merge, search
+from skeinspark.operators import activation, analysis, findings, merge, search
 from skeinspark.operators.graph import Graph
 from skeinspark.operators.paths import simple_paths
 from skeinspark.plans.execute import Engine
@@ -88,8 +88,8 @@ def _degree_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _neighbours_topk(spark: SparkSession, d: str) -> DataFrame:
-    g = _part(graph_of(spark, d), "Part", "Supplier", edges=("SUPPLIED_BY",))
-    return g.neighbours(g.nodes.filter("type = 'Supplier'"), per_node=3).select("node", "neighbour", "edge_id", "weight", "rank")
+    g = graph_of(spark, d)
+    return g.neighbours(g.nodes.filter("type IN ('Supplier', 'Nation')"), per_node=3).select("node", "neighbour", "edge_id", "weight", "rank")
 
 
 def _incident(spark: SparkSession, d: str) -> DataFrame:
@@ -114,9 +114,8 @@ def _get_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _paths(spark: SparkSession, d: str) -> DataFrame:
-    g = _part(graph_of(spark, d), "Customer", "Nation", "Region", "Supplier", edges=("IN_NATION", "IN_REGION"))
-    ids = g.nodes.select("id")
-    got = simple_paths(g, ids.filter("id IN ('customer:1', 'customer:2')"), ids.filter("id LIKE 'region:%'"), 2, ["IN_NATION", "IN_REGION"])
+    g = graph_of(spark, d)
+    got = simple_paths(g, g.nodes.filter("type = 'Customer'").select("id"), g.nodes.filter("type = 'Region'").select("id"), 2, ["IN_NATION", "IN_REGION"])
     return got.select("length", F.round("score", 9).alias("score"), F.array_join("node_ids", ">").alias("nodes"), F.array_join("edge_types", ">").alias("types"))
 
 
@@ -136,77 +135,59 @@ def _keywords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    g = _part(graph_of(spark, d), "Fragment")
-    return search.lexical_search(g, "software distributed without warranty license", 25).select("id", F.round("score", 9).alias("score"))
+    return search.lexical_search(graph_of(spark, d), "software distributed without warranty license", 25).select("id", F.round("score", 9).alias("score"))
 
 
 def _match_metrics(spark: SparkSession, d: str) -> DataFrame:
-    g = _part(graph_of(spark, d), "Part")
-    rows = search.match_metrics(g.nodes, search.Profile("small red gear"))
+    rows = search.match_metrics(graph_of(spark, d).nodes.filter("type IN ('Part', 'Order', 'Customer', 'Nation', 'Region', 'Supplier')"), search.Profile(spark, "small red gear"))
     return rows.filter("match_score > 0").select("id", F.round("match_score", 9).alias("match_score"), F.round("coverage", 9).alias("coverage"))
 
 
 def _adjacency(spark: SparkSession, d: str) -> DataFrame:
-    g = _part(graph_of(spark, d), "User", edges=("EVENT_AFTER",))
-    return analysis.adjacency(g).select("node", "neighbour", F.round("weight", 9).alias("weight"))
+    return analysis.adjacency(graph_of(spark, d)).select("node", "neighbour", F.round("weight", 9).alias("weight"))
 
 
 def _centrality(spark: SparkSession, d: str) -> DataFrame:
-    g = _part(graph_of(spark, d), "Part", "Supplier", edges=("SUPPLIED_BY",))
-    got = analysis.centrality(g)
-    return got.select("id", "degree", *[F.round(c, 9).alias(c) for c in ("degree_centrality", "weighted_degree", "activation_frequency")], "in_degree", "out_degree")
+    g = graph_of(spark, d)
+    members = g.nodes.filter("type <> 'Order'").select(F.col("id").alias("node"), F.col("type").alias("community"))
+    got = analysis.centrality(g, members=members)
+    measures = ("degree_centrality", "weighted_degree", "open_triads", "community_bridge", "activation_frequency", "usefulness")
+    return got.select("id", "degree", *[F.round(c, 9).alias(c) for c in measures], "in_degree", "out_degree")
 
 
 def _triads(spark: SparkSession, d: str) -> DataFrame:
-    g = _part(graph_of(spark, d), "User", edges=("EVENT_AFTER",))
-    near = materialize(analysis.adjacency(g).select(F.col("node").alias("id"), F.col("neighbour").alias("near")))
+    near = materialize(analysis.adjacency(graph_of(spark, d)).select(F.col("node").alias("id"), F.col("neighbour").alias("near")))
     got = analysis.open_triads(near, near.groupBy("id").agg(F.count(F.lit(1)).alias("degree")))
     return got.select("id", F.round("open_triads", 9).alias("open_triads"))
 
 
 def _entropy(spark: SparkSession, d: str) -> DataFrame:
-    g = _part(graph_of(spark, d), "Customer", "Nation", "Region", "Supplier", edges=("IN_NATION", "IN_REGION"))
-    return analysis.entropy(analysis.neighbour_types(g, 100_000)).select("id", "degree", F.round("entropy", 9).alias("entropy"))
+    return analysis.entropy(analysis.neighbour_types(graph_of(spark, d), 100_000)).select("id", "degree", F.round("entropy", 9).alias("entropy"))
 
 
 def _specificity(spark: SparkSession, d: str) -> DataFrame:
-    g = _part(graph_of(spark, d), "Part", "Supplier", edges=("SUPPLIED_BY",))
+    g = graph_of(spark, d)
     return analysis.specificity(g, g.nodes).select("id", F.round("specificity", 6).alias("specificity"), F.round("generic_penalty", 6).alias("generic_penalty"))
 
 
 def _salience(spark: SparkSession, d: str) -> DataFrame:
-    g = _part(graph_of(spark, d), "Part", "Supplier", edges=("SUPPLIED_BY",))
+    g = graph_of(spark, d)
     return analysis.salience(g, g.nodes, "2024-01-15 00:00:00").select("id", F.round("signal", 9).alias("signal"), F.round("salience", 9).alias("salience"))
 
 
 def _hubs(spark: SparkSession, d: str) -> DataFrame:
-    g = _part(graph_of(spark, d), "Part", "Supplier", edges=("SUPPLIED_BY",))
-    got = Engine(Graph(materialize(g.nodes), materialize(g.edges))).run("HUBS LIMIT 15")
+    got = Engine(graph_of(spark, d)).run("HUBS LIMIT 15")
     return got.select("rank", "id", F.round("hub_score", 6).alias("hub_score"), F.round("specificity", 6).alias("specificity"))
 
 
-def _chains(spark: SparkSession, d: str) -> Graph:
-    g = _part(graph_of(spark, d), "Turn", edges=("NEXT",))
-    return Graph(materialize(g.nodes), materialize(g.edges))
-
-
 def _communities(spark: SparkSession, d: str) -> DataFrame:
-    return analysis.communities(_chains(spark, d))[0]
+    return analysis.communities(graph_of(spark, d))[0]
 
 
 def _bridges(spark: SparkSession, d: str) -> DataFrame:
-    g = _part(graph_of(spark, d), "User", edges=("EVENT_AFTER",))
+    g = graph_of(spark, d)
     g = Graph(materialize(g.nodes), materialize(g.edges))
-    members = g.nodes.select(F.col("id").alias("node"), F.concat(F.lit("c"), F.col("usage_count") % 4).alias("community"))
-    return analysis.bridge_candidates(g, members)
-
-
-def _statement(source: str, *kinds: str, edges: tuple[str, ...] = ()) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        g = _part(graph_of(spark, d), *kinds, edges=edges)
-        return plain(Engine(Graph(materialize(g.nodes), materialize(g.edges))).run(source))
-
-    return run
+    return analysis.bridge_candidates(g, analysis.communities(g)[1]).select("id", "type", F.size("communities").alias("communities"), F.round("bridge_score", 6).alias("bridge_score"))
 
 
 def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -235,9 +216,32 @@ def _merge(spark: SparkSession, d: str) -> DataFrame:
     return out.nodes.select("id", "label", "status", "usage_count", F.round("confidence", 9).alias("confidence"), "volatility")
 
 
+def _merge_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """Parts upserted under other ids by (type, canonical_key): names repeat, so many rows of a batch meet one node."""
+    parts = spark.read.parquet(f"{d}/part.parquet")
+    base = graph_of(spark, d).nodes.filter("type = 'Part'").withColumn("canonical_key", F.when(F.regexp_extract("id", r"(\d+)$", 1).cast("long") <= 50, F.col("id")))
+    k = F.col("p_partkey")
+    row = parts.select(
+        F.concat(F.lit("new:"), k).alias("id"), F.lit("Part").alias("type"), F.concat(F.lit("part:"), k % 100).alias("canonical_key"), F.concat(F.lit("label "), k).alias("label"), k.cast("long").alias("seq"), (k % 40).cast("long").alias("usage_count"),
+        F.lit("active").alias("status"), F.lit(0.5).alias("confidence"), F.lit("2024").alias("created_at"),
+    )
+    out = merge.upsert_nodes(Graph(base.filter("canonical_key IS NOT NULL"), graph_of(spark, d).edges), row)
+    return out.nodes.select("id", "canonical_key", "label", "usage_count")
+
+
+def _activate(spark: SparkSession, d: str) -> DataFrame:
+    got = activation.activate(graph_of(spark, d), ["nation:1", "nation:2"], depth=2, per_node=1_000_000)
+    return got.select("id", F.round("activation", 9).alias("activation"))
+
+
+def _explain_hub(spark: SparkSession, d: str) -> DataFrame:
+    return Engine(graph_of(spark, d)).run("EXPLAIN HUB customer:7").select("node_id", "node_type", "label", "hub_rank", "is_hub")
+
+
 def _unused(spark: SparkSession, d: str) -> DataFrame:
     g = graph_of(spark, d)
-    return findings.unused(g.nodes.filter("type = 'Part'").select("id", "label"), g.edges, ("CONTAINS",))
+    # every part is in some order, so a use is a full order of which all was returned
+    return findings.unused(g.nodes.filter("type = 'Part'").select("id", "label"), g.edges.filter("polarity = -1 AND weight >= 0.9"), ("CONTAINS",))
 
 
 def _usage(spark: SparkSession, d: str) -> DataFrame:
@@ -287,9 +291,8 @@ FUNCTIONS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "degree_topk": _degree_topk, "neighbours_topk": _neighbours_topk, "incident_edges": _incident, "khop": _khop, "lookup_nodes": _lookup, "find_by_property": _by_property, "get_edges": _get_edges,
     "paths": _paths, "tokens": _tokens, "canonicalize": _canonical, "keyword_scores": _keywords, "lexical_search": _lexical, "match_metrics": _match_metrics, "adjacency": _adjacency,
     "centrality": _centrality, "open_triads": _triads, "entropy": _entropy, "specificity": _specificity, "salience": _salience, "hubs": _hubs, "communities": _communities, "bridges": _bridges,
-    "activate": _statement("ACTIVATE user:1, user:2 DEPTH 2 LIMIT 30", "User", edges=("EVENT_AFTER",)),
-    "search_turns": _statement("SEARCH 'tion the and' TYPE Turn TOP 10 DEPTH 1", "Turn", edges=("NEXT",)),
-    "retrieve_turns": _statement("RETRIEVE 'thanea eriner' TYPE Turn LIMIT 8 DEPTH 1", "Turn", edges=("NEXT",)),
+    "activate": _activate, "search_turns": lambda spark, d: _run("SEARCH 'tion the and' TYPE Turn TOP 10 DEPTH 1")(spark, d), "retrieve_turns": lambda spark, d: _run("RETRIEVE 'thanea eriner' TYPE Turn LIMIT 8 DEPTH 1")(spark, d),
+    "merge_by_key": _merge_by_key, "explain_hub": _explain_hub,
     "delta": _delta, "dirty_set": _dirty, "merge_nodes": _merge, "unused_symbols": _unused, "usage_fold": _usage, "cache_status": _cache_status, "list_artifacts": _artifacts,
     "orphan_directories": _orphans, "stable_ids": _stable_ids, "locate_fragments": _locate,
 }
@@ -314,33 +317,75 @@ def _sql() -> dict[str, str]:
     g = graph_sql()
     both = "SELECT from_id AS node, to_id AS near, 'out' AS direction, * FROM edges UNION ALL SELECT to_id, from_id, 'in', * FROM edges WHERE from_id <> to_id"
     out = {name: f"{g}\n{sql}" for name, (_, sql) in STATEMENTS.items()}
-    supplied = "e2 AS (SELECT * FROM edges WHERE type = 'SUPPLIED_BY'), n2 AS (SELECT * FROM nodes WHERE type IN ('Part', 'Supplier'))"
-    users = f"n2 AS (SELECT * FROM nodes WHERE type = 'User'), u AS (SELECT * FROM n2 WHERE status NOT IN ('archived', 'deleted', 'rejected')), e2 AS (SELECT * FROM edges WHERE type = 'EVENT_AFTER' AND from_id IN (SELECT id FROM u) AND to_id IN (SELECT id FROM u)), adj AS (SELECT node, near, sum(w) AS w FROM (SELECT from_id AS node, to_id AS near, greatest(0, weight * confidence) AS w FROM e2 UNION ALL SELECT to_id, from_id, greatest(0, weight * confidence) FROM e2) GROUP BY ALL)"
-    places = "e2 AS (SELECT * FROM edges WHERE type IN ('IN_NATION', 'IN_REGION')), n2 AS (SELECT * FROM nodes WHERE type IN ('Customer', 'Nation', 'Region', 'Supplier'))"
+    users = f"u AS (SELECT * FROM nodes WHERE status NOT IN ('archived', 'deleted', 'rejected')), e2 AS (SELECT * FROM edges WHERE from_id IN (SELECT id FROM u) AND to_id IN (SELECT id FROM u)), adj AS (SELECT node, near, sum(w) AS w FROM (SELECT from_id AS node, to_id AS near, greatest(0, weight * confidence) AS w FROM e2 UNION ALL SELECT to_id, from_id, greatest(0, weight * confidence) FROM e2) GROUP BY ALL)"
     versions = "o AS (SELECT * FROM (SELECT p_partkey AS id, p_name, p_size, p_retailprice FROM part) WHERE id % 7 <> 0), n AS (SELECT p_partkey AS id, p_name, CASE WHEN p_partkey % 13 = 0 THEN p_size + 1 ELSE p_size END AS p_size, p_retailprice FROM part WHERE p_partkey % 11 <> 0)"
     live = f"type IN ('Part', 'Supplier', 'Nation') AND {LIVE}"
     out |= {
         "degree_topk": f"{g}, b AS ({both}), d AS (SELECT node, count(*) AS degree, sum(weight * confidence) AS weighted FROM b GROUP BY node)\nSELECT id, type, coalesce(degree, 0) AS degree, round(coalesce(weighted, 0), 6) AS weighted FROM nodes LEFT JOIN d ON d.node = id WHERE {live} ORDER BY coalesce(degree, 0) DESC, coalesce(d.weighted, 0) DESC, salience DESC, id LIMIT 40",
-        "neighbours_topk": f"{g}, {supplied}\nSELECT to_id AS node, from_id AS neighbour, id AS edge_id, weight, row_number() OVER (PARTITION BY to_id ORDER BY weight DESC, id) AS rank FROM e2 WHERE from_id IN (SELECT id FROM n2) AND to_id IN (SELECT id FROM n2) QUALIFY rank <= 3",
+        "neighbours_topk": f"""{g}, x AS (
+    SELECT from_id AS node, to_id AS neighbour, 'out' AS direction, id AS eid, weight FROM edges UNION ALL SELECT to_id, from_id, 'in', id, weight FROM edges WHERE from_id <> to_id),
+y AS (SELECT x.*, row_number() OVER (PARTITION BY node, direction ORDER BY weight DESC, eid) AS no FROM x JOIN nodes n ON n.id = x.node AND n.type IN ('Supplier', 'Nation') WHERE neighbour IN (SELECT id FROM nodes) QUALIFY no <= 3)
+SELECT node, neighbour, eid AS edge_id, weight, row_number() OVER (PARTITION BY node ORDER BY direction DESC, no) AS rank FROM y QUALIFY rank <= 3""",
         "incident_edges": f"{g}, s AS (SELECT id FROM nodes WHERE type = 'Nation' AND salience > 0.19)\nSELECT id, type, weight FROM edges WHERE type <> 'IN_REGION' AND (from_id IN (SELECT id FROM s) OR to_id IN (SELECT id FROM s))",
         "khop": f"{g}, r AS (SELECT from_id AS id FROM edges WHERE type = 'IN_REGION' AND to_id = 'region:1')\nSELECT 'region:1' AS id, 0 AS depth UNION ALL SELECT id, 1 FROM r UNION ALL SELECT from_id, 2 FROM edges WHERE type = 'IN_NATION' AND to_id IN (SELECT id FROM r)",
         "lookup_nodes": f"{g}\nSELECT id, type, label FROM nodes WHERE id IN ('part:7', 'nation:3', 'missing:1', 'customer:12')",
         "find_by_property": f"{g}\nSELECT id, segment FROM nodes WHERE type = 'Customer' AND segment = 'BUILDING' ORDER BY updated_at DESC, id LIMIT 30",
         "get_edges": f"{g}\nSELECT id, weight FROM edges WHERE to_id = 'supplier:5' AND type = 'SUPPLIED_BY' ORDER BY weight DESC, id LIMIT 20",
-        "paths": f"{g}\nSELECT 2 AS length, round(least(1.0::DOUBLE, (x.weight * x.confidence + y.weight * y.confidence) / 2 * 0.85 + 0.15 * (a.salience + b.salience + c.salience) / 3), 9) AS score, a.id || '>' || b.id || '>' || c.id AS nodes, x.type || '>' || y.type AS types FROM edges x JOIN edges y ON y.from_id = x.to_id AND y.type = 'IN_REGION' JOIN nodes a ON a.id = x.from_id JOIN nodes b ON b.id = x.to_id JOIN nodes c ON c.id = y.to_id WHERE x.type = 'IN_NATION' AND a.id IN ('customer:1', 'customer:2')",
+        "paths": f"{g}\nSELECT 2 AS length, round(least(1.0::DOUBLE, (x.weight * x.confidence + y.weight * y.confidence) / 2 * 0.85 + 0.15 * (a.salience + b.salience + c.salience) / 3), 9) AS score, a.id || '>' || b.id || '>' || c.id AS nodes, x.type || '>' || y.type AS types FROM edges x JOIN edges y ON y.from_id = x.to_id AND y.type = 'IN_REGION' JOIN nodes a ON a.id = x.from_id JOIN nodes b ON b.id = x.to_id JOIN nodes c ON c.id = y.to_id WHERE x.type = 'IN_NATION' AND a.type = 'Customer'",
         "tokens": f"SELECT token, count(*) AS n, count(DISTINCT doc_id) AS docs, {_SIGNAL.format(t='token')} AS signal FROM (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY token",
         "canonicalize": f"SELECT doc_id, sha256({_CANON}) AS canonical_sha256 FROM documents",
         "keyword_scores": f"WITH {_keyword_sql('documents', 'doc_id', 12)}\nSELECT doc_id, term, round(score, 9) AS score, rank FROM kw",
-        "match_metrics": f"{g}, p AS (SELECT id, label AS text, {_CANON.replace('text', 'label')} AS key FROM nodes WHERE type = 'Part'), t AS (SELECT *, len(list_intersect(string_split(key, ' '), ['small', 'red', 'gear'])) / 3.0::DOUBLE AS cov, (CASE WHEN contains(' ' || key || ' ', ' small red ') THEN 0 ELSE 0 END) AS phr FROM p)\nSELECT id, round(CASE WHEN cov >= 0.75 THEN 0.56 WHEN cov >= 0.5 THEN 0.40 ELSE least(0.38, 0.16 * cov) END, 9) AS match_score, round(cov, 9) AS coverage FROM t WHERE cov > 0",
+        "match_metrics": f"{g}, p AS (SELECT id, label AS text, {_CANON.replace('text', 'label')} AS key FROM nodes WHERE type IN ('Part', 'Order', 'Customer', 'Nation', 'Region', 'Supplier')), t AS (SELECT *, len(list_intersect(string_split(key, ' '), ['small', 'red', 'gear'])) / 3.0::DOUBLE AS cov, (CASE WHEN contains(' ' || key || ' ', ' small red ') THEN 0 ELSE 0 END) AS phr FROM p)\nSELECT id, round(CASE WHEN cov >= 0.75 THEN 0.56 WHEN cov >= 0.5 THEN 0.40 ELSE least(0.38, 0.16 * cov) END, 9) AS match_score, round(cov, 9) AS coverage FROM t WHERE cov > 0",
         "adjacency": f"{g}, {users}\nSELECT node, near AS neighbour, round(w, 9) AS weight FROM adj",
-        "centrality": f"{g}, {supplied}, k AS (SELECT * FROM n2 WHERE status NOT IN ('archived', 'deleted', 'rejected')), i AS (SELECT * FROM e2 WHERE from_id IN (SELECT id FROM k) AND to_id IN (SELECT id FROM k)), b AS (SELECT from_id AS id, to_id AS near, weight, 1 AS o FROM i UNION ALL SELECT to_id, from_id, weight, 0 FROM i), s AS (SELECT id, count(DISTINCT near) AS degree, sum(weight) AS w, sum(o) AS out_degree, sum(1 - o) AS in_degree FROM b GROUP BY id)\nSELECT k.id, coalesce(degree, 0) AS degree, round(coalesce(degree, 0) / (SELECT max(degree) FROM s)::DOUBLE, 9) AS degree_centrality, round(coalesce(w, 0) / (SELECT max(w) FROM s), 9) AS weighted_degree, round(least(1.0, usage_count / 20.0), 9) AS activation_frequency, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree FROM k LEFT JOIN s ON s.id = k.id",
-        "open_triads": f"{g}, {users}, d AS (SELECT node, count(*) AS degree FROM adj GROUP BY node), c AS (SELECT x.node, count(*) AS closed FROM adj x JOIN adj y ON y.node = x.node AND x.near < y.near JOIN adj z ON z.node = x.near AND z.near = y.near GROUP BY x.node)\nSELECT d.node AS id, CASE WHEN degree < 2 THEN 0.0 ELSE round((degree * (degree - 1) / 2 - coalesce(closed, 0)) / (degree * (degree - 1) / 2), 9) END AS open_triads FROM d LEFT JOIN c ON c.node = d.node",
-        "entropy": f"{g}, {places}, b AS (SELECT from_id AS id, to_id AS near FROM e2 UNION ALL SELECT to_id, from_id FROM e2), c AS (SELECT b.id, n2.type, count(*) AS n FROM b JOIN n2 ON n2.id = b.near GROUP BY ALL), p AS (SELECT id, n, n / sum(n) OVER (PARTITION BY id) AS p FROM c)\nSELECT id, sum(n) AS degree, round(sum(-p * log2(p)), 9) AS entropy FROM p GROUP BY id",
-        "salience": f"{g}, {supplied}, b AS (SELECT from_id AS id FROM e2 UNION ALL SELECT to_id FROM e2), d AS (SELECT id, count(*) AS degree FROM b GROUP BY id), r AS (SELECT n2.*, 0.16 / greatest(1, usage_count + 1) + 0.12 * pow(0.5, 14.0 / 14.0) + 0.24 * least(1.0, coalesce(degree, 0) / 12.0) + 0.12 * least(1.0, evidence_count / 5.0) + 0.18 * confidence AS raw FROM n2 LEFT JOIN d ON d.id = n2.id), q AS (SELECT *, CASE WHEN status = 'archived' THEN raw * 0.25 ELSE raw END AS sig FROM r)\nSELECT id, round(sig, 9) AS signal, round(greatest(0, least(1, 0.04 + 0.82 * sig - 0.08 * volatility)), 9) AS salience FROM q",
+        "centrality": f"""{g}, {users}, b AS (
+    SELECT from_id AS id, to_id AS near, weight, 1 AS o FROM e2 UNION ALL SELECT to_id, from_id, weight, 0 FROM e2),
+s AS (SELECT id, count(DISTINCT near) AS degree, sum(weight) AS w, sum(o) AS out_degree, sum(1 - o) AS in_degree FROM b GROUP BY id),
+c AS (SELECT x.node, count(*) AS closed FROM adj x JOIN adj z ON z.node = x.near JOIN adj y ON y.node = x.node AND y.near = z.near WHERE x.near < y.near GROUP BY x.node),
+m AS (SELECT b.id, count(DISTINCT n.type) AS k FROM b JOIN nodes n ON n.id = b.near WHERE n.type <> 'Order' GROUP BY b.id)
+SELECT u.id, coalesce(degree, 0) AS degree, round(coalesce(degree, 0) / (SELECT max(degree) FROM s)::DOUBLE, 9) AS degree_centrality, round(coalesce(w, 0) / (SELECT max(w) FROM s), 9) AS weighted_degree,
+       CASE WHEN coalesce(degree, 0) < 2 THEN 0.0 ELSE round((degree * (degree - 1) / 2 - coalesce(closed, 0)) / (degree * (degree - 1) / 2), 9) END AS open_triads,
+       CASE WHEN k IS NULL THEN 0.0 ELSE round(least(1.0, (k - 1) / 3.0::DOUBLE), 9) END AS community_bridge, round(least(1.0, usage_count / 20.0), 9) AS activation_frequency, 0.0::DOUBLE AS usefulness,
+       coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree
+FROM u LEFT JOIN s ON s.id = u.id LEFT JOIN c ON c.node = u.id LEFT JOIN m ON m.id = u.id""",
+        "open_triads": f"{g}, {users}, d AS (SELECT node, count(*) AS degree FROM adj GROUP BY node), c AS (SELECT x.node, count(*) AS closed FROM adj x JOIN adj z ON z.node = x.near JOIN adj y ON y.node = x.node AND y.near = z.near WHERE x.near < y.near GROUP BY x.node)\nSELECT d.node AS id, CASE WHEN degree < 2 THEN 0.0 ELSE round((degree * (degree - 1) / 2 - coalesce(closed, 0)) / (degree * (degree - 1) / 2), 9) END AS open_triads FROM d LEFT JOIN c ON c.node = d.node",
+        "entropy": f"{g}, b AS (SELECT from_id AS id, to_id AS near FROM edges UNION ALL SELECT to_id, from_id FROM edges), c AS (SELECT b.id, nodes.type, count(*) AS n FROM b JOIN nodes ON nodes.id = b.near GROUP BY ALL), p AS (SELECT id, n, n / sum(n) OVER (PARTITION BY id) AS p FROM c)\nSELECT id, sum(n) AS degree, round(sum(-p * log2(p)), 9) AS entropy FROM p GROUP BY id",
+        "salience": f"{g}, b AS (SELECT from_id AS id FROM edges UNION ALL SELECT to_id FROM edges WHERE from_id <> to_id), d AS (SELECT id, count(*) AS degree FROM b GROUP BY id), r AS (SELECT n2.*, 0.16 / greatest(1, usage_count + 1) + 0.12 * pow(0.5, 14.0 / 14.0) + 0.24 * least(1.0, coalesce(degree, 0) / 12.0) + 0.12 * least(1.0, evidence_count / 5.0) + 0.18 * confidence AS raw FROM nodes n2 LEFT JOIN d ON d.id = n2.id), q AS (SELECT *, CASE WHEN status = 'archived' THEN raw * 0.25 ELSE raw END AS sig FROM r)\nSELECT id, round(sig, 9) AS signal, round(greatest(0, least(1, 0.04 + 0.82 * sig - 0.08 * volatility)), 9) AS salience FROM q",
+        "specificity": f"""{g}, b AS (
+    SELECT from_id AS id, to_id AS near, 'o' AS way, weight, id AS eid FROM edges UNION ALL SELECT to_id, from_id, 'i', weight, id FROM edges),
+t AS (SELECT b.* FROM b QUALIFY row_number() OVER (PARTITION BY id, way ORDER BY weight DESC, eid) <= 200),
+c AS (SELECT t.id, nodes.type, count(*) AS n FROM t JOIN nodes ON nodes.id = t.near GROUP BY ALL),
+p AS (SELECT id, n, n / sum(n) OVER (PARTITION BY id) AS p FROM c),
+h AS (SELECT id, sum(n) AS degree, sum(-p * log2(p)) AS entropy FROM p GROUP BY id),
+w AS (SELECT nodes.id, nodes.type, coalesce(h.degree, 0) AS degree, coalesce(h.entropy, 0) AS entropy,
+    list_transform(regexp_extract_all(concat_ws(' ', coalesce(label, ''), coalesce(text, ''), '', coalesce(name, '')), '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM nodes LEFT JOIN h ON h.id = nodes.id),
+s AS (SELECT id, degree, entropy, len(w) AS n, 0.35::DOUBLE + CASE WHEN len(w) BETWEEN 2 AND 8 THEN 0.2 WHEN len(w) = 1 AND length(w[1]) >= 5 THEN 0.05 ELSE 0 END
+        + CASE WHEN len(list_filter(w, lambda x: length(x) >= 6 OR regexp_matches(x, '[0-9_]'))) > 0 THEN 0.15 ELSE 0 END + CASE WHEN degree > 0 AND NOT entropy > 1.5 THEN 0.08 ELSE 0 END AS spec,
+    CASE WHEN len(w) > 14 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: length(x) <= 3 AND NOT regexp_matches(x, '[0-9_]')))::DOUBLE / len(w) * 0.35 ELSE 0 END + CASE WHEN entropy > 1.5 THEN 0.12 ELSE 0 END AS pen FROM w)
+SELECT id, round(greatest(0, least(1, spec)), 6) AS specificity, round(greatest(0, least(1, pen + CASE WHEN degree > 8 AND spec < 0.55 THEN least(0.25, degree / 80.0::DOUBLE) ELSE 0 END)), 6) AS generic_penalty FROM s""",
+        "explain_hub": f"{g}\nSELECT id AS node_id, type AS node_type, label, CAST(NULL AS INTEGER) AS hub_rank, true AS is_hub FROM nodes WHERE id = 'customer:7'",
+        "orphan_directories": """WITH f AS (SELECT 'd' || p_partkey % 9 || '/s' || p_partkey % 45 || '/f' || p_partkey AS path, p_partkey AS k FROM part),
+l AS (SELECT path AS source, 'd' || ((k * 7) % 1000) % 9 || '/s' || ((k * 7) % 1000) % 45 || '/f' || (k * 7) % 1000 AS target FROM f WHERE k % 5 = 0 AND k % 9 <> 4),
+o AS (SELECT path, unnest([split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS directory FROM f),
+d AS (SELECT directory, count(DISTINCT path) AS file_count, array_to_string(list_sort(list(DISTINCT path)), ',') AS files FROM o GROUP BY directory HAVING count(DISTINCT path) >= 2),
+a AS (SELECT source, unnest([split_part(target, '/', 1), split_part(target, '/', 1) || '/' || split_part(target, '/', 2)]) AS directory FROM l WHERE source <> target AND NOT starts_with(target, 'd4/')),
+e AS (SELECT DISTINCT directory FROM a WHERE NOT starts_with(source, directory || '/'))
+SELECT directory, file_count, sha256(files) AS files_sha256 FROM d WHERE directory NOT IN (SELECT directory FROM e) QUALIFY row_number() OVER (PARTITION BY files ORDER BY length(directory) - length(replace(directory, '/', '')), directory) = 1""",
         "delta": f"WITH {versions}\nSELECT coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'archived' ELSE 'updated' END AS change FROM o FULL OUTER JOIN n ON n.id = o.id WHERE o.id IS NULL OR n.id IS NULL OR o.p_size <> n.p_size",
         "dirty_set": f"WITH {versions}\nSELECT coalesce(o.id, n.id) AS artifact_id, CASE WHEN n.id IS NULL THEN 'deleted' WHEN o.id IS NULL THEN 'new' WHEN o.p_size = n.p_size AND o.p_retailprice = n.p_retailprice THEN 'clean' ELSE 'changed' END AS state FROM o FULL OUTER JOIN n ON n.id = o.id",
         "merge_nodes": f"{g}, c AS (SELECT *, CAST(regexp_extract(id, '(\\d+)$', 1) AS BIGINT) AS k FROM nodes WHERE type = 'Customer')\nSELECT id, CASE WHEN k % 6 = 0 THEN 'c' || k ELSE label END AS label, CASE WHEN k % 3 <> 0 THEN status WHEN k % 6 = 0 THEN 'mature' WHEN status = 'archived' THEN 'latent' ELSE status END AS status, CASE WHEN k % 3 = 0 THEN greatest(usage_count, 7) ELSE usage_count END AS usage_count, round(CASE WHEN k % 6 = 0 THEN ((confidence + 0.5) / 2 + 0.1) / 2 WHEN k % 3 = 0 THEN (confidence + 0.5) / 2 ELSE confidence END, 9) AS confidence, CASE WHEN k % 6 = 0 THEN 0.2 ELSE volatility END AS volatility FROM c",
-        "unused_symbols": f"{g}\nSELECT id, label FROM nodes WHERE type = 'Part' AND id NOT IN (SELECT to_id FROM edges WHERE type = 'CONTAINS' AND CAST(regexp_extract(from_id, '(\\d+)$', 1) AS BIGINT) % 7 = 0)",
+        "merge_by_key": """WITH p AS (SELECT p_partkey AS k, 'part:' || p_partkey % 100 AS key FROM part),
+o AS (SELECT p_partkey AS k, p_partkey % 20 AS used, p_name AS label FROM part WHERE p_partkey <= 50),
+b AS (SELECT key, min(k) AS first, max(k) AS last, max(k % 40) AS used FROM p GROUP BY key)
+SELECT CASE WHEN o.k IS NOT NULL THEN 'part:' || o.k ELSE 'new:' || first END AS id, coalesce('part:' || o.k, key) AS canonical_key, CASE WHEN last IS NULL THEN o.label ELSE 'label ' || last END AS label,
+       greatest(coalesce(o.used, 0), coalesce(b.used, 0)) AS usage_count FROM b FULL OUTER JOIN o ON key = 'part:' || o.k""",
+        "activate": f"""{g}, a AS (SELECT id, CASE WHEN status = 'candidate' THEN 0.35::DOUBLE ELSE 1.0::DOUBLE END AS f FROM nodes WHERE status NOT IN ('archived', 'deleted', 'rejected', 'dismissed')),
+x AS (SELECT from_id AS node, to_id AS near, CASE WHEN polarity < 0 THEN 0 ELSE weight * confidence END AS w FROM edges WHERE weight >= 0.01 UNION ALL SELECT to_id, from_id, CASE WHEN polarity < 0 THEN 0 ELSE weight * confidence END FROM edges WHERE weight >= 0.01 AND from_id <> to_id),
+v0 AS (SELECT id, 1.0::DOUBLE AS v FROM a WHERE id IN ('nation:1', 'nation:2')),
+g1 AS (SELECT near AS id, sum(v * w * f * 0.55) AS gain FROM v0 JOIN x ON x.node = v0.id JOIN a ON a.id = x.near GROUP BY near),
+v1 AS (SELECT coalesce(v0.id, g1.id) AS id, least(1.0, coalesce(v, 0) + coalesce(gain, 0)) AS v, coalesce(v, 0) AS b FROM v0 FULL OUTER JOIN g1 ON g1.id = v0.id),
+g2 AS (SELECT near AS id, sum(v * w * f * 0.55 * 0.55) AS gain FROM (SELECT * FROM v1 WHERE v > b + 1e-9 AND v >= 0.03) z JOIN x ON x.node = z.id JOIN a ON a.id = x.near GROUP BY near)
+SELECT coalesce(v1.id, g2.id) AS id, round(least(1.0, coalesce(v, 0) + coalesce(gain, 0)), 9) AS activation FROM v1 FULL OUTER JOIN g2 ON g2.id = v1.id""",
+        "unused_symbols": f"{g}\nSELECT id, label FROM nodes WHERE type = 'Part' AND id NOT IN (SELECT to_id FROM edges WHERE type = 'CONTAINS' AND polarity = -1 AND weight >= 0.9)",
         "usage_fold": "SELECT 'user:' || user_id AS id, count(*) AS uses, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS last_used_at, round(sum(0.03 * greatest(0, least(1, value / 100))), 6) AS utility_delta, max(value) AS activation FROM events GROUP BY user_id",
         "cache_status": "SELECT source AS project_id, count(*) AS total_entries, count(*) FILTER (WHERE doc_id % 10 > 1) AS active_entries, count(*) FILTER (WHERE doc_id % 10 = 0) AS archived_entries, count(*) FILTER (WHERE doc_id % 10 > 1) AS cached_artifacts, max(strftime(DATE '2024-01-01' + CAST(doc_id % 28 AS INTEGER), '%Y-%m-%d')) AS latest_compiled_at FROM documents GROUP BY source ORDER BY latest_compiled_at DESC, project_id DESC LIMIT 12",
         "list_artifacts": "SELECT 'artifact:' || doc_id AS id, source || '/' || doc_id AS relative_path, n_chars AS size_bytes, sha256(text) AS sha256 FROM documents WHERE doc_id % 10 <> 0 AND lang = 'de' AND n_chars > 3000 ORDER BY n_chars DESC, id LIMIT 40",

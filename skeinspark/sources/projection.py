@@ -41,13 +41,29 @@ def fragments(documents: DataFrame) -> DataFrame:
     return lines.filter(F.trim("line") != "")
 
 
-#: Plans, not data, of the graphs that this process has bound last, by application and folder.
-_bound: dict[tuple[str, str], Graph] = {}
+#: Plans, not data, of the graphs bound last, by application, folder and the state of the folder's files.
+_bound: dict[tuple, Graph] = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
+
+
+def _listing(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, length and time of all files of the tables, as they are now."""
+    jvm, found = spark._jvm, []
+    for name in TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        todo = [path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)]
+        while todo:
+            status = todo.pop()
+            if status.isDirectory():
+                todo += list(status.getPath().getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(status.getPath()))
+            else:
+                found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph of the tables in a folder. Its plan is kept, as a catalog keeps a view's, so that later queries don't analyse it anew."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The graph of the tables in a folder. Its plan is kept as long as the files are the same ones, so that later queries don't analyse it anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, _listing(spark, sf_dir))
     if key not in _bound:
         if len(_bound) >= 8:
             _bound.clear()
@@ -56,7 +72,7 @@ def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> Graph:
-    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")}
+    t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in TABLES}
     c = F.col
     lines = fragments(t["documents"])
     nodes = [

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import random
+import re
+import unicodedata
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,7 +190,7 @@ def test_text_functions(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.tokenize(F.col("t")).alias("w"), tx.canonicalize(F.col("t")).alias("c")).collect()
     for r in rows:
         if "ﬀ" not in texts[r.i]:
-            assert r.w == tx.plain_tokenize(texts[r.i]) and r.c == tx.plain_canonicalize(texts[r.i])
+            assert r.w == plain_tokens(texts[r.i]) and r.c == plain_canonical(texts[r.i])
 
 
 def test_merge_is_ordered(spark):
@@ -260,3 +263,44 @@ def test_guarded_session(spark, tmp_path):
     with pytest.raises(EvaluationProblem):
         s.query("HUBS")
     assert s.query("FIND NODES LIMIT 9999").count() == 1
+
+
+def plain_canonical(text):
+    """The rule spelt out: quotes, white space, lower case, decomposition without marks, then letters, digits, `_` and `-` only."""
+    for a, b in zip("‘’“”", "''\"\"", strict=True):
+        text = text.replace(a, b)
+    low = re.sub(r"\s+", " ", text).strip().lower()
+    bare = "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
+    return " ".join(re.sub(r"[^a-z0-9_-]", " ", bare).split())
+
+
+def plain_tokens(text):
+    return [t for t in (m.strip("_-") for m in re.findall("[a-z0-9_][a-z0-9_-]+", plain_canonical(text))) if len(t) >= 2]
+
+
+def test_one_canonical_form_for_all_code_points(spark):
+    """Every code point of the basic plane between two words, in columns and for a request's text alike."""
+    codes = [c for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    rows = spark.createDataFrame([(c, f"ab{chr(c)}cd {chr(c)}") for c in codes], "i int, t string")
+    wrong = [r.i for r in rows.select("i", tx.canonicalize(F.col("t")).alias("c")).collect() if r.c != plain_canonical(f"ab{chr(r.i)}cd {chr(r.i)}")]
+    assert not wrong, [hex(c) for c in wrong[:40]] + [len(wrong)]
+    got = tx.analyse(spark, "ﬁle ﬂow ½ Ⅳ Ünïcode")
+    assert got.key == "file flow 1 2 iv unicode" and got.tokens == ("file", "flow", "iv", "unicode")
+
+
+def test_a_graph_is_bound_to_the_files_as_they_are(spark, sf, tmp_path):
+    """Rows added to a table are in the graph of the next call."""
+    import shutil
+
+    from skeinspark.sources.projection import TABLES, graph_of
+
+    for name in TABLES:
+        shutil.copytree(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet") if (Path(sf) / f"{name}.parquet").is_dir() else shutil.copy(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet")
+    more = spark.read.parquet(f"{sf}/region.parquet")
+    n = more.count()
+    (tmp_path / "region.parquet").unlink() if (tmp_path / "region.parquet").is_file() else None
+    more.write.mode("overwrite").parquet(str(tmp_path / "region.parquet"))
+    count = lambda: graph_of(spark, str(tmp_path)).nodes.filter("type = 'Region'").count()
+    assert count() == n
+    more.withColumn("r_regionkey", F.col("r_regionkey") + 100).write.mode("append").parquet(str(tmp_path / "region.parquet"))
+    assert count() == 2 * n
