@@ -320,3 +320,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=90).drop("rk", "first_rk")
+
+
+#: The join of all shingles with themselves, for small tables.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, list_distinct(list_transform(range(0, len(w) - least(3, len(w)) + 1), lambda i: array_to_string(w[i + 1 : i + least(3, len(w))], ' '))) AS g FROM d WHERE len(w) > 0),
+one AS MATERIALIZED (SELECT g, min(doc_id) AS doc_id, len(g) AS n FROM s GROUP BY g),
+e AS MATERIALIZED (SELECT doc_id, n, unnest(g) AS x FROM one),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON b.x = a.x AND a.doc_id < b.doc_id AND 10 * least(a.n, b.n) >= 9 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+l AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id AS a, doc_id AS b FROM one UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a, min(b) AS root FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(len(s.g), 0) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN one ON one.g = s.g LEFT JOIN c ON c.a = one.doc_id
+"""

@@ -22,4 +22,5 @@ SQL = {
     "op4_warc_revisit": warc.OP4_SQL,
     "op7_line_dedup": line_dedup.OP7_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op10_ngram_jaccard": near_dup.OP10_SQL,
 }
