@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinspark.functions import guards
 from skeinspark.functions import text as tx
+from skeinspark.operators import analysis, findings, merge, overlay, reports, retrieval
 from skeinspark.operators import compile as compiling
-from skeinspark.operators import findings, merge, overlay, reports, retrieval
 from skeinspark.operators.graph import Graph
 from skeinspark.plans.execute import Engine
 from skeinspark.queries import LIVE, _part, plain
@@ -162,6 +163,46 @@ def _priority(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_partkey", "priority", findings.removal_safety(F.col("priority"), F.col("signals")).alias("safety"))
 
 
+def _count_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph_of(spark, d).count_edges(["CONTAINS", "PLACED"])
+
+
+def _layers(spark: SparkSession, d: str) -> DataFrame:
+    g = graph_of(spark, d)
+    return Graph(g.nodes.filter("type <> 'Region'"), g.edges).layer_counts()
+
+
+def _project_status(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("doc_id") % 10 == 0, "archived").otherwise("active")
+    nodes = _documents(spark, d).select(F.concat(F.lit("artifact:"), F.col("doc_id")).alias("id"), F.lit("SourceArtifact").alias("type"), status.alias("status"), F.lit("p").alias("project_id"), F.when(F.col("lang") != "fr", F.col("lang")).alias("artifact_type"))
+    return Graph(nodes, graph_of(spark, d).edges).project_status("p")
+
+
+def _persist(spark: SparkSession, d: str) -> DataFrame:
+    g = graph_of(spark, d)
+    g = Graph(materialize(g.nodes), materialize(g.edges))
+    k = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    seq = F.lit(1).cast("long")
+    nodes = g.nodes.filter("type = 'Supplier'").withColumn("id", F.when(k % 3 == 0, F.concat(F.lit("new:"), "id")).otherwise(F.col("id"))).withColumn("seq", seq)
+    edges = g.edges.filter("type = 'IN_NATION' AND from_id LIKE 'supplier:%'").withColumn("type", F.when(F.regexp_extract("from_id", r"(\d+)$", 1).cast("long") % 4 == 0, "BASED_IN").otherwise(F.col("type"))).withColumn("seq", seq)
+    return merge.persist(g, nodes, edges)[1]
+
+
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    return _documents(spark, d).select("doc_id", F.sha2(guards.sanitize_label(F.col("text"), 200), 256).alias("label_sha256"))
+
+
+def _signatures(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.split("p_name", " ").alias("normalized_tokens"), F.array("p_brand").alias("main_topics"))
+    return tx.signature_vector(rows, "p_partkey").withColumnRenamed("id", "p_partkey")
+
+
+def _recompute(spark: SparkSession, d: str) -> DataFrame:
+    g = graph_of(spark, d)
+    g = Graph(materialize(g.nodes), materialize(g.edges))
+    return analysis.recompute_salience(g, "2024-01-15 00:00:00", g.nodes.filter("type = 'Supplier'").select("id")).nodes.filter("type IN ('Supplier', 'Nation')").select("id", F.round("salience", 9).alias("salience"))
+
+
 def _path_by_id(spark: SparkSession, d: str) -> DataFrame:
     got = Engine(_standard(spark, d)).run("PATH FROM ID supplier:1 TO ID supplier:2 VIA CALLS DEPTH 2 LIMIT 5")
     return got.select("length", F.round("score", 9).alias("score"), *[F.array_join(c, ">").alias(c) for c in ("node_ids", "node_labels", "edge_types", "edge_ids")])
@@ -207,6 +248,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "code_links": _code_links, "overlay_sync": _overlay, "verify_finding": _verify, "explore_callers": _explore, "query_graph": _query_graph, "stale_nodes": _stale, "generic_high_degree": _generic, "export_json": _export,
     "finding_priority": _priority, "list_symbols": _on_standard("SYMBOLS TYPE Function WHERE relative_path STARTS WITH 'src/red' RETURN id, relative_path ORDER BY relative_path ASC LIMIT 60"),
     "hubs_of_files": _on_standard("HUBS TYPE File LIMIT 10"), "explain_search": _on_standard("EXPLAIN SEARCH 'red gear' TOP 5 DEPTH 1"), "path_by_id": _path_by_id, "compile_documents": _compile, "compile_states": _compile_states,
+    "count_edges": _count_edges, "layer_counts": _layers, "project_status": _project_status, "persist_counts": _persist, "sanitize_labels": _labels, "signature_vectors": _signatures, "recompute_salience": _recompute,
 }
 
 
@@ -243,6 +285,19 @@ UNION ALL SELECT 'Directory', 'active', count(DISTINCT source) FROM documents UN
 UNION ALL SELECT 'CONTAINS', 'edge', (SELECT count(DISTINCT source) FROM documents) + (SELECT count(*) FROM (SELECT doc_id FROM all_one UNION SELECT doc_id FROM all_two))
 UNION ALL SELECT 'CONTAINS_FRAGMENT', 'edge', count(*) FROM f2""",
         "compile_states": "SELECT CASE WHEN doc_id % 7 = 2 THEN 'deleted' WHEN doc_id % 11 = 3 THEN 'new' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'clean' END AS state, count(*) AS n FROM documents WHERE NOT (doc_id % 7 = 2 AND doc_id % 11 = 3) GROUP BY 1",
+        "count_edges": f"{g}\nSELECT count(*) AS edges FROM edges WHERE type IN ('CONTAINS', 'PLACED')",
+        "layer_counts": f"""{g}, n AS (SELECT id FROM nodes WHERE type <> 'Region'), w AS (SELECT count(*) AS n FROM edges WHERE from_id IN (SELECT id FROM n) AND to_id IN (SELECT id FROM n))
+SELECT (SELECT count(*) FROM n) AS nodes, (SELECT n FROM w) AS edges, (SELECT count(*) FROM edges) - (SELECT n FROM w) AS loose_edges""",
+        "project_status": "SELECT 'artifact_type' AS what, CASE WHEN lang = 'fr' THEN 'unknown' ELSE lang END AS value, count(*) AS n FROM documents GROUP BY 2 UNION ALL SELECT 'status', CASE WHEN doc_id % 10 = 0 THEN 'archived' ELSE 'active' END, count(*) FROM documents GROUP BY 2",
+        "persist_counts": """SELECT 'node' AS kind, count(*) FILTER (WHERE s_suppkey % 3 = 0) AS created, count(*) FILTER (WHERE s_suppkey % 3 <> 0) AS updated FROM supplier
+UNION ALL SELECT 'edge', count(*) FILTER (WHERE s_suppkey % 4 = 0), count(*) FILTER (WHERE s_suppkey % 4 <> 0) FROM supplier JOIN nation ON n_nationkey = s_nationkey""",
+        "sanitize_labels": """WITH l AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[\\x00-\\x1F\\x7F]', ' ', 'g'), '\\s+', ' ', 'g')) AS t FROM documents),
+c AS (SELECT doc_id, CASE WHEN length(t) > 200 THEN rtrim(t[1:197]) || '...' ELSE t END AS t FROM l)
+SELECT doc_id, sha256(replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;')) AS label_sha256 FROM c""",
+        "signature_vectors": "SELECT p_partkey, feature, count(*) AS n FROM (SELECT p_partkey, 'tok:' || unnest(string_split(p_name, ' ')) AS feature FROM part UNION ALL SELECT p_partkey, 'topic:' || p_brand FROM part) GROUP BY ALL",
+        "recompute_salience": f"""{g}, b AS (SELECT from_id AS id FROM edges UNION ALL SELECT to_id FROM edges WHERE from_id <> to_id), d AS (SELECT id, count(*) AS degree FROM b GROUP BY id),
+r AS (SELECT n.id, n.type, n.status, n.salience, 0.16 / (usage_count + 1) + 0.06 + 0.24 * least(1.0, coalesce(degree, 0) / 12.0) + 0.12 * least(1.0, evidence_count / 5.0) + 0.18 * confidence AS raw FROM nodes n LEFT JOIN d ON d.id = n.id WHERE n.type IN ('Supplier', 'Nation'))
+SELECT id, round(CASE WHEN type = 'Nation' THEN salience ELSE greatest(0, least(1, 0.04 + 0.82 * raw * CASE WHEN status = 'archived' THEN 0.25 ELSE 1 END - 0.04)) END, 9) AS salience FROM r""",
         "finding_priority": "WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 2 = 0 AND p_partkey % 4 <> 0 THEN 'high' WHEN p_partkey % 4 <> 0 THEN 'medium' ELSE 'low' END AS priority FROM part) SELECT p_partkey, priority, CASE WHEN priority = 'high' AND p_partkey % 5 <> 0 THEN 'safe' WHEN p_partkey % 5 = 0 THEN 'risky' ELSE 'validate' END AS safety FROM p",
         "generic_high_degree": f"{g}, e2 AS (SELECT * FROM edges WHERE type = 'IN_NATION'), d AS (SELECT id, count(*) AS degree FROM (SELECT from_id AS id FROM e2 UNION ALL SELECT to_id FROM e2) GROUP BY id HAVING count(*) >= 3)\nSELECT n.id, n.label, degree FROM nodes n JOIN d ON d.id = n.id WHERE n.type IN ('Nation', 'Supplier') ORDER BY degree DESC, n.id LIMIT 10",
         "export_json": f"{g}\nSELECT 'node' AS kind, id FROM nodes WHERE type IN ('Nation', 'Region') UNION ALL SELECT 'edge', id FROM edges WHERE type = 'IN_REGION'",

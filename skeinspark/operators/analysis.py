@@ -293,6 +293,14 @@ def salience(graph: Graph, nodes: DataFrame, now: str) -> DataFrame:
     return rows.select("id", raw.alias("signal"), clamp(prior + 0.82 * raw - 0.08 * clamp(F.col("volatility"))).alias("salience"))
 
 
+def recompute_salience(graph: Graph, now: str, ids: DataFrame | None = None) -> Graph:
+    """The graph with the salience of all nodes, or of those in ids, worked out anew."""
+    rows = graph.nodes if ids is None else graph.nodes.join(ids.select("id").distinct(), "id", "left_semi")
+    new = salience(graph, rows, now).select(F.col("id").alias("__id"), F.col("salience").alias("__salience"))
+    met = graph.nodes.join(new, F.col("id") == F.col("__id"), "left")
+    return Graph(met.withColumn("salience", F.coalesce("__salience", "salience")).select(*graph.nodes.columns), graph.edges)
+
+
 def bridge_candidates(graph: Graph, members: DataFrame, limit: int = 50) -> DataFrame:
     """Nodes next to two communities or more, scored; least score 0.30."""
     top = materialize(graph.top_by_degree(500, None, list(BOOKKEEPING), list(ANALYTIC_EDGES)).drop("degree", "weighted"))

@@ -176,6 +176,31 @@ class Graph:
             rows = rows.filter(F.col("status").isin(statuses))
         return rows.agg(F.count(F.lit(1)).alias("nodes"))
 
+    def count_edges(self, kinds: list[str] | None = None, project: str | None = None, with_global: bool = True) -> DataFrame:
+        """Edges of these types; of a project, and with those of no project, if edges have project_id."""
+        rows = self.edges.filter(F.col("type").isin(kinds)) if kinds else self.edges
+        if project is not None:
+            own = F.col("project_id") if "project_id" in self.edges.columns else F.lit(None).cast("string")
+            rows = rows.filter((own == project) | (own.isNull() & F.lit(with_global)))
+        return rows.agg(F.count(F.lit(1)).alias("edges"))
+
+    def layer_counts(self) -> DataFrame:
+        """nodes, edges (those of which both ends are there) and loose_edges."""
+        nodes, edges, whole = (df.agg(F.count(F.lit(1)).alias("n")) for df in (self.nodes, self.edges, self.whole_edges()))
+        row = nodes.select(F.col("n").alias("nodes")).crossJoin(whole.select(F.col("n").alias("edges"))).crossJoin(edges.select(F.col("n").alias("every")))
+        return row.select("nodes", "edges", (F.col("every") - F.col("edges")).alias("loose_edges"))
+
+    def project_status(self, project: str) -> DataFrame:
+        """what (artifact_type or status), value, n over the project's artifacts, in one pass."""
+        rows = self.nodes.filter((F.col("type") == "SourceArtifact") & (F.col("project_id") == project))
+        each = F.explode(F.array(F.struct(F.lit("artifact_type").alias("what"), F.coalesce("artifact_type", F.lit("unknown")).alias("value")), F.struct(F.lit("status").alias("what"), F.col("status").alias("value"))))
+        return rows.select(each.alias("x")).groupBy("x.what", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+    def with_relation(self, ids: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+        """Of ids those that an edge of these types touches at either end."""
+        touched = self.edges.filter(F.col("type").isin(*kinds)).select(F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+        return ids.join(touched, "id", "left_semi")
+
     def whole_edges(self) -> DataFrame:
         """Edges of which both ends are there."""
         ids = self.nodes.select(F.col("id").alias("__id"))

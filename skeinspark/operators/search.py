@@ -114,6 +114,24 @@ def match_metrics(nodes: DataFrame, profile: Profile) -> DataFrame:
     return rows.withColumn("match_score", score.otherwise(0.0)).withColumn("coverage", cover.otherwise(0.0)).drop("__key", "__parts", "__phrase", "__cov")
 
 
+def direct_relevance(nodes: DataFrame, profile: Profile) -> DataFrame:
+    """id, relevance: how well each node's own text answers the request."""
+    return match_metrics(nodes, profile).select("id", F.col("match_score").alias("relevance"))
+
+
+def scoped_search(graph: Graph, text: str, scopes: tuple[str, ...], top_k: int = 20, kinds: list[str] | None = None, archived: bool = False, technical: tuple[str, ...] = ()) -> DataFrame:
+    """id, score of the best nodes within context scopes (nodes without one count as code): matched by their text, without the index."""
+    profile = Profile(graph.nodes.sparkSession, text)
+    scope = F.col("context_scope") if "context_scope" in graph.nodes.columns else F.lit(None).cast("string")
+    rows = graph.nodes.filter(F.coalesce(scope, F.lit("code")).isin(*scopes) & ~F.col("type").isin(*technical))
+    if kinds:
+        rows = rows.filter(F.lower("type").isin([k.lower() for k in kinds]))
+    if not archived:
+        rows = rows.filter(F.col("status").isin(*ACTIVE))
+    rows = match_metrics(rows, profile).filter("match_score > 0").filter(~weak_match(profile, F.col("match_score")))
+    return rows.orderBy(F.col("match_score").desc(), type_bonus(F.col("match_score")).desc(), F.col("salience").desc(), "id").limit(top_k).select("id", F.col("match_score").alias("score"))
+
+
 def type_bonus(match: Column) -> Column:
     out = F.when(match <= 0, 0.0)
     for bonus, kinds in TYPE_BONUS.items():
