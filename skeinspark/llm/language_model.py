@@ -58,10 +58,10 @@ class Settings:
     strength: float = 1.0
     root: float = 0.5
     exact: int = 256
-    share: int = 16 << 20
-    flush: int = 1 << 21
+    share: int = 8 << 20
+    flush: int = 1 << 20
     hot_share: int = 1000
-    cached: int = 1 << 18
+    cached: int = 1 << 17
 
 
 DEFAULT = Settings()
@@ -157,6 +157,7 @@ def runs_of(batches, column: int, flush: int):
         if n >= flush:
             yield np.concatenate(keys), np.concatenate(counts), held
             keys, counts, held, n = [], [], [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield np.concatenate(keys), np.concatenate(counts), held
 
@@ -762,7 +763,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def ask(batches):
         words, pairs = shared.value
         run = TaskContext.get().partitionId() << 33
-        for keys, counts, held in runs_of(batches, 1, flush):
+        for keys, counts, held in runs_of(batches, 1, flush // 2):
             run += 1
             u, w, doc = with_ends(keys, counts)
             n = len(counts)
