@@ -61,7 +61,7 @@ class Settings:
     share: int = 8 << 20
     flush: int = 1 << 20
     hot_share: int = 1000
-    cached: int = 1 << 17
+    cached: int = 1 << 18
 
 
 DEFAULT = Settings()
@@ -753,6 +753,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A text's score is a sum. What the caches don't hold is asked of the buckets, packed, and comes back as sums by text.
     """
     spark = docs.sparkSession
+    tidy(spark)  # of what fit() has shuffled
     shared = spark.sparkContext.broadcast((Cache(*model.word_cache), Cache(*model.pair_cache)))
     hot, buckets, unseen, unknown, start, flush = model.hot, model.buckets, model.unseen, model.unknown, model.start, model.how.flush
     kind = docs.schema[id_col].dataType.simpleString()
