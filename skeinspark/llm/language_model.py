@@ -28,8 +28,10 @@ are learned from and scored as often as they occur; without training rows every
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +51,8 @@ END, START = np.int64(1), np.int64(2)
 class Settings:
     """strength: of a context; root: the root's strength for each word of its base; exact: customers of a dish up to which Stirling numbers are tabled.
 
-    share: bytes of text to a bucket; flush: tokens that a task holds at once; hot_share: a context of one token in so many is spread; cached: words and pairs.
+    share: bytes of text to a bucket; flush: tokens that a task holds at once; hot_share: a context of one token in so many is spread; cached: words and pairs;
+    slices: parts of the texts that are scored one after the other, so that only one part's look-ups are on disk.
     """
 
     burn_in: int = 3
@@ -62,11 +65,22 @@ class Settings:
     flush: int = 1 << 20
     hot_share: int = 1000
     cached: int = 1 << 18
+    slices: int = 2
 
 
 DEFAULT = Settings()
 
 
+_malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Gives back to the system what earlier work has freed: a worker lives on between tasks, and all of an executor's workers count."""
+    pa.default_memory_pool().release_unused()
+    if _malloc_trim:
+        _malloc_trim(0)
+
+
 # -- packed columns ------------------------------------------------------------------
 def pack(a: np.ndarray) -> bytes:
     """Numbers of one kind, compressed byte by byte of their places."""
@@ -146,6 +160,7 @@ def summed(keys: np.ndarray, *cols: np.ndarray) -> list[np.ndarray]:
 # -- tokens --------------------------------------------------------------------------
 def runs_of(batches, column: int, flush: int):
     """Keys of the words of runs of texts of `flush` tokens or so, the words of each text, and the slices of the batches that hold them."""
+    trim()
     words = WordHasher()
     keys, counts, held, n = [], [], [], 0
     for batch in pieces(batches, column):
@@ -157,7 +172,7 @@ def runs_of(batches, column: int, flush: int):
         if n >= flush:
             yield np.concatenate(keys), np.concatenate(counts), held
             keys, counts, held, n = [], [], [], 0
-            pa.default_memory_pool().release_unused()
+            trim()
     if held:
         yield np.concatenate(keys), np.concatenate(counts), held
 
@@ -249,6 +264,7 @@ def count_pairs(train: DataFrame, hot: np.ndarray, buckets: int, how: Settings)
             yield from rows_of([(b, *map(pack, cols)) for b, cols in parts(where, u, w, c)], part).to_batches()
 
     def merge(table: pa.Table) -> pa.Table:
+        trim()
         u, w, c = join_packed(table, "u"), join_packed(table, "w"), join_packed(table, "c", np.int32)
         pair = mixed(u, w)
         order = np.argsort(pair)
@@ -464,6 +480,7 @@ def reseat(state: DataFrame, down: DataFrame, total: float, hot: np.ndarray, hot
     keep = sweep >= how.burn_in
 
     def run(key, state: pa.Table, down: pa.Table) -> pa.Table:
+        trim()
         row = {n: state.column(n)[0].as_py() for n in state.column_names}
         uk, single, c, wk = (unpack(row[n]) for n in ("uk", "single", "c", "wk"))
         ui, wi, t, t_sum = (unpack(row[n], np.int32) for n in ("ui", "wi", "t", "t_sum"))
@@ -576,34 +593,33 @@ def first_row(batch, i: int) -> dict:
 def finish_up(both: DataFrame, hot: np.ndarray, d: float, buckets: int, how: Settings) -> DataFrame:
     """To the bucket of each word: its averaged customers at the root from a bucket of contexts, and the weights of the contexts themselves, whose bucket is their own."""
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = first_row(batch, i)
-                u1, w1 = unpack(row["u1"]), unpack(row["w1"])
-                uk, tables, customers, _, _, t = contexts_of(u1, row, how.sweeps)
-                w = np.concatenate([w1, unpack(row["wk"])[unpack(row["wi"], np.int32)]])
-                k, n = summed(w, np.concatenate([np.ones(len(w1)), t]))
-                cold = is_hot(uk, hot) < 0
-                own = np.log10((how.strength + d * tables) / (how.strength + customers))[cold]
-                empty = pack(np.zeros(0, np.int64))
-                out = [(at, row["b"], *map(pack, cols), empty, empty) for at, cols in parts(bucket_of(k, buckets), k, n)]
-                yield from rows_of([*out, (row["b"], -1, empty, empty, pack(uk[cold]), pack(own))], FINISH).to_batches()
+    def run(table: pa.Table) -> pa.Table:
+        trim()
+        row = first_row(table, 0)
+        u1, w1 = unpack(row["u1"]), unpack(row["w1"])
+        uk, tables, customers, _, _, t = contexts_of(u1, row, how.sweeps)
+        w = np.concatenate([w1, unpack(row["wk"])[unpack(row["wi"], np.int32)]])
+        k, n = summed(w, np.concatenate([np.ones(len(w1)), t]))
+        cold = is_hot(uk, hot) < 0
+        own = np.log10((how.strength + d * tables) / (how.strength + customers))[cold]
+        empty = pack(np.zeros(0, np.int64))
+        out = [(at, row["b"], *map(pack, cols), empty, empty) for at, cols in parts(bucket_of(k, buckets), k, n)]
+        return rows_of([*out, (row["b"], -1, empty, empty, pack(uk[cold]), pack(own))], FINISH)
 
-    return both.mapInArrow(run, spark_schema(FINISH))
+    # by groups, not by mapInArrow: only one bucket's row, of many MB, goes to the worker at once
+    return both.groupBy("b").applyInArrow(run, spark_schema(FINISH))
 
 
 def hot_totals(both: DataFrame, hot: np.ndarray, how: Settings) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = first_row(batch, i)
-                uk, tables, customers, *_ = contexts_of(unpack(row["u1"]), row, how.sweeps)
-                at = is_hot(uk, hot)
-                on = at >= 0
-                yield from rows_of([(row["b"], pack(at[on]), *(pack((x[on] * how.sweeps).round().astype(np.int64)) for x in (tables, customers)))], HOTS).to_batches()
+    def run(table: pa.Table) -> pa.Table:
+        trim()
+        row = first_row(table, 0)
+        uk, tables, customers, *_ = contexts_of(unpack(row["u1"]), row, how.sweeps)
+        at = is_hot(uk, hot)
+        on = at >= 0
+        return rows_of([(row["b"], pack(at[on]), *(pack((x[on] * how.sweeps).round().astype(np.int64)) for x in (tables, customers)))], HOTS)
 
-    return both.mapInArrow(run, spark_schema(HOTS))
+    return both.select("b", "u1", "uk", "ui", "c", "t_sum").groupBy("b").applyInArrow(run, spark_schema(HOTS))
 
 
 def finish_words(up: DataFrame, words: DataFrame, root_total: float, floor: float, hot: np.ndarray, hot_own: np.ndarray, how: Settings) -> DataFrame:
@@ -637,6 +653,7 @@ def finish_pairs(both: DataFrame, records: DataFrame, hot: np.ndarray, hot_new:
     schema = schema_of("b:i k:p v:p c:p")
 
     def run(key, both: pa.Table, down: pa.Table) -> pa.Table:
+        trim()
         row = {n: both.column(n)[0].as_py() for n in both.column_names}
         u1, w1 = unpack(row["u1"]), unpack(row["w1"])
         uk, tables, _, at, c, t = contexts_of(u1, row, how.sweeps)
@@ -748,9 +765,10 @@ class Cache:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score: one row per row of docs.
+    """doc_id, n_tokens, n_known, base_score, score: one row per row of docs, as a written table.
 
-    A text's score is a sum. What the caches don't hold is asked of the buckets, packed, and comes back as sums by text.
+    A text's score is a sum. What the caches don't hold is asked of the buckets, packed, and comes back as sums by text. The
+    texts are dealt into slices by hash; a slice's look-ups are gone from the disk before the next one asks.
     """
     spark = docs.sparkSession
     tidy(spark)  # of what fit() has shuffled
@@ -796,6 +814,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(np.full(n, run % buckets)), pa.array(np.full(n, run)), pa.nulls(n, pa.binary()), place, *[pa.nulls(n, pa.binary())] * 2, ids, pa.array(counts + 1), pa.array(sums[0]), pa.array(sums[1]), pa.array(sums[2])], names=names)
 
     def answer(asked: pa.Table, found: pa.Table) -> pa.Table:
+        trim()
         text = pa.compute.is_valid(asked.column("n_tokens"))
         texts, asks = asked.filter(text), asked.filter(pa.compute.invert(text))
         if not asks.num_rows:
@@ -841,9 +860,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     nothing = F.lit(None).cast("binary")
     found = model.words.select(F.col("at").alias("b"), F.col("k").alias("wk"), "base", "v", nothing.alias("pk"), nothing.alias("gain"))
     found = found.union(model.pairs.select("b", nothing, nothing, nothing, "k", "v"))
-    asked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(ask, middle)
-    answered = asked.groupBy("b").cogroup(found.groupBy("b")).applyInArrow(answer, middle)
-    return answered.groupBy("run").applyInArrow(total, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    done = []
+    for i in range(model.how.slices):
+        some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(model.how.slices)) == i)
+        answered = some.mapInArrow(ask, middle).groupBy("b").cogroup(found.groupBy("b")).applyInArrow(answer, middle)
+        done.append(materialize(answered.groupBy("run").applyInArrow(total, f"doc_id {kind}, n_tokens bigint, n_known bigint, base_score double, score double")))
+        del answered
+        tidy(spark)
+    return reduce(DataFrame.unionByName, done)
 
 
 def perplexity(scores: Column, tokens: Column) -> Column:
@@ -858,5 +883,8 @@ def held_out(c: Column) -> Column:
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs.filter(crc_mod(F.col("doc_id"), 5) != 1))
-    out = score(docs, model).withColumn("held_out", held_out(F.col("doc_id"))).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
+    scored = score(docs, model)
+    for old in (model.pairs, model.words):
+        discard(old)
+    out = scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("train_tokens", F.lit(model.n_tokens).cast("long"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -371,6 +371,20 @@ def test_buckets_and_caches_change_nothing_but_the_draws(spark, sf):
         assert abs(r.score / o.score - 1) < 0.02
 
 
+def test_slices_of_look_ups_are_let_go(spark, sf):
+    docs = language_model.read(spark, sf, "documents").select("doc_id", "text")
+    found = {}
+    for slices in (1, 3):
+        out = language_model.score(docs, language_model.fit(docs, how=language_model.Settings(share=4000, flush=700, cached=30, slices=slices)))
+        # a written table: no shuffle of look-ups is held by the result
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+        found[slices] = {r.doc_id: r for r in out.collect()}
+    assert found[1].keys() == found[3].keys() == {r.doc_id for r in docs.collect()}
+    for i, r in found[3].items():
+        assert (r.n_tokens, r.n_known) == (found[1][i].n_tokens, found[1][i].n_known)
+        assert math.isclose(r.base_score, found[1][i].base_score, rel_tol=1e-9) and math.isclose(r.score, found[1][i].score, rel_tol=1e-5)
+
+
 def test_stirling_numbers():
     for d in (0.1, 0.5, 0.9):
         exact = language_model.stirling_table(d, 400)[399][:398]
