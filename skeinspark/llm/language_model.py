@@ -29,7 +29,6 @@ are learned from and scored as often as they occur; without training rows every
 from __future__ import annotations
 
 import ctypes
-import gc
 from dataclasses import dataclass
 from functools import reduce
 
@@ -40,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinspark.llm.common import crc_mod, discard, materialize, read
+from skeinspark.llm.common import crc_mod, discard, materialize, read, tidy
 from skeinspark.llm.tokens import WordHasher, pieces
 
 #: Keys that are no word's hash but by a chance of 2^-64: the end of a text, and its start as a context.
@@ -543,12 +542,6 @@ def sample(cells: DataFrame, hot: np.ndarray, d: float, customers: float, types:
     return state
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets the driver find out which shuffles nothing refers to any more, so that their files go before the next step."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 # -- the model -----------------------------------------------------------------------
 @dataclass
 class Model:

@@ -17,6 +17,10 @@ on the sets. Links give components. Then pairs of documents that share a block b
 verified in the same way, and components are final: every two documents that share a block were either compared or are
 connected, so no component misses a link.
 
+Disk. What grows faster than the corpus is who shares a block with whom, so of these only numbers and sketches are kept; sets are
+read again for the pairs alone that the sketches allow. Pairs are compared in slices of bounded bytes, SLICES_MOST at most, and
+each slice's shuffles are let go before the next.
+
 Defined cases: null, empty and wordless texts have no shingles and no links; texts of fewer words than a shingle have one; rows
 without an id link nothing and have no component (null); repeated rows share theirs, rows of one id and different texts are
 judged by their own texts; an empty table gives an empty result; other columns are not read.
@@ -36,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from skeinspark.llm.common import join_hot, materialize, read, row_key
+from skeinspark.llm.common import discard, join_hot, materialize, read, row_key, tidy
 from skeinspark.llm.tokens import M1, WordHasher, mix, pieces
 from skeinspark.operators.components import components
 
@@ -47,6 +51,8 @@ CELLS, SLICES = 1 << 20, 64
 FIXED_BITS = 1024
 #: Words of 64 bits of the filter of wanted documents: the least and the most.
 FILTER_WORDS = 1 << 17, 1 << 20
+#: Bytes of sets, or of sketches, that are joined at once, and the most slices that they are cut into.
+SLICE_BYTES, SLICES_MOST = 2 << 30, 8
 #: Rows of a batch that are worked on at once; their blocks, hundreds each, are held in memory together.
 AT_ONCE = 1000
 
@@ -218,8 +224,8 @@ def sharers(rows: DataFrame) -> DataFrame:
     return led.filter("sig <> leader").select("key", "sig", "leader").union(heads)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """node, n, sketch, shingles of the sets in wanted (node, h: the hash of one row that has it). A bit filter keeps most other rows from being read again."""
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int, whole: bool) -> DataFrame:
+    """Of the sets in wanted (node, h: the hash of one row that has it) node and shingles or, unless whole, node, n and sketch. A bit filter keeps most other rows from being read again."""
     least, most = FILTER_WORDS
     words, n = least, wanted.count()
     while words < most and 4 * words < n:
@@ -237,12 +243,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             hit = pa.array(((table[(h >> 6) & (len(table) - 1)] >> (h & 63)) & 1).astype(bool))
             for part in pieces([batch.filter(hit)], 0, AT_ONCE):
                 found = [s for s in shingle(part.column(0)) if len(s)]
+                node = pa.array([signature(s) for s in found], pa.int64())
+                if whole:
+                    yield pa.RecordBatch.from_arrays([node, pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["node", "shingles"])
+                    continue
                 fixed = [np.packbits(np.bincount((s & np.uint64(FIXED_BITS - 1)).astype(np.int64), minlength=FIXED_BITS) & 1).view(np.int64) for s in found]
-                lists = [pa.array([x.view(np.int64) for x in xs], pa.list_(pa.int64())) for xs in (fixed, found)]
-                yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64()), *lists], names=["node", "n", "sketch", "shingles"])
+                yield pa.RecordBatch.from_arrays([node, pa.array([len(s) for s in found], pa.int64()), pa.array(fixed, pa.list_(pa.int64()))], names=["node", "n", "sketch"])
 
     rows = docs.filter("doc_id IS NOT NULL").select("text", row_hash(F.col("doc_id"), row_key(F.col("text"))).alias("h"))
-    rows = rows.mapInArrow(run, "node bigint, n bigint, sketch array<bigint>, shingles array<bigint>")
+    rows = rows.mapInArrow(run, "node bigint, shingles array<bigint>" if whole else "node bigint, n bigint, sketch array<bigint>")
     return rows.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
@@ -259,44 +268,82 @@ def may_link(percent: int) -> Column:
     return sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: the pairs whose sets are similar enough."""
-    slim = [sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}")) for x in "ab"]
-    near = pairs.join(slim[0], "a").join(slim[1], "b").filter(may_link(percent)).select("a", "b")
-    full = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab"]
-    both = F.size(F.array_intersect("sa", "sb"))
-    checked = near.join(full[0], "a").join(full[1], "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("all"))
-    return checked.filter(100 * F.col("both") >= percent * F.col("all")).select("a", "b")
+def cut(table: DataFrame, key: str, size: int) -> list[DataFrame]:
+    """A written table in slices by a key; size: the bytes that all of it brings together."""
+    n = min(SLICES_MOST, 1 + size // SLICE_BYTES)
+    return [table.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, slim: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: the pairs whose sets are similar enough. nodes: node, h; slim: node, n, sketch. All are written tables, as the result is."""
+    spark = docs.sparkSession
+    ends = [slim.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}")) for x in "ab"]
+    near = materialize(pairs.join(ends[0], "a").join(ends[1], "b").filter(may_link(percent)).select("a", "b", (F.col("na") + F.col("nb")).alias("n")))
+    tidy(spark)
+    out = []
+    for some in cut(near, "a", 8 * (near.agg(F.sum("n")).first()[0] or 0)):
+        some = some.select("a", "b")
+        wanted = materialize(nodes.join(some.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
+        sets = materialize(sets_of(docs, wanted, size, True))
+        tidy(spark)
+        full = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab"]
+        both = F.size(F.array_intersect("sa", "sb"))
+        checked = some.join(full[0], "a").join(full[1], "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb") - both).alias("all"))
+        out.append(materialize(checked.filter(100 * F.col("both") >= percent * F.col("all")).select("a", "b")))
+        del checked
+        discard(sets)
+        tidy(spark)
+    return reduce(DataFrame.union, out)
+
+
+def unlike_sharers(holds: DataFrame, roots: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """a, b: sets that share a block and are in different components, if sizes and sketches allow a link."""
+    spark = holds.sparkSession
+    apart = holds.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    split = apart.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+    apart = materialize(apart.join(split, "key", "left_semi"))
+    tidy(spark)
+    out = []
+    for some in cut(apart, "key", (FIXED_BITS // 8 + 32) * apart.count()):
+        some = some.join(slim, "node")
+        left, right = (some.select("key", F.col("node").alias(x), F.col("root").alias(f"root{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}")) for x in "ab")
+        other = left.join(right, (left["key"] == right["key"]) & (F.col("roota") < F.col("rootb")) & may_link(percent))
+        out.append(materialize(other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()))
+        del some, left, right, other
+        tidy(spark)
+    return reduce(DataFrame.union, out).distinct()
 
 
 def clusters(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id, text. Two written tables: doc_id, rk, n, sig of every row; and sig, rows, one, root of every set that a row with an id has: how many rows have it, the first of them (doc_id, rk), and the smallest sig that links reach."""
-    bands = Bands(percent)
+    spark, bands = docs.sparkSession, Bands(percent)
     seen = materialize(describe(docs, size, bands))
     rows = seen.filter("cells IS NULL").select("doc_id", "rk", "n", "sig")
     nodes = rows.filter("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("doc_id", "rk")).alias("one"))
     nodes = materialize(nodes.select(F.col("sig").alias("node"), "rows", "one", row_hash(F.col("one.doc_id"), F.col("one.rk")).alias("h")))
     member = materialize(sharers(offered(docs, size, bands, Common(count_blocks(seen)))))
+    tidy(spark)
     # who shares a block: the original of many copies shares most, with most, and so leads its blocks
     holds = materialize(member.select("key", F.col("sig").alias("node")).union(member.select("key", "leader")).distinct())
+    discard(member)
     crowd = holds.join(holds.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key")
     weight = crowd.groupBy("node").agg(F.sum("size").alias("weight"))
     lead = holds.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("head"))
-    sets = materialize(sets_of(docs, materialize(nodes.join(holds.select("node").distinct(), "node", "left_semi").select("node", "h")), size))
-
     pairs = holds.join(lead, "key").filter("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
     pairs = materialize(pairs)
-    links = materialize(verified(pairs, sets, percent))
+    held = materialize(nodes.join(holds.select("node").distinct(), "node", "left_semi").select("node", "h"))
+    slim = materialize(sets_of(docs, held, size, False))
+    tidy(spark)
+
+    links = verified(docs, pairs, held, slim, size, percent)
     roots = components(links)
+    tidy(spark)
 
     # who shares a block with somebody of another component
-    apart = holds.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = apart.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    apart = apart.join(split, "key", "left_semi").join(sets.select("node", "n", "sketch"), "node")
-    left, right = (apart.select("key", F.col("node").alias(x), F.col("root").alias(f"root{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch{x}")) for x in "ab")
-    other = left.join(right, (left["key"] == right["key"]) & (F.col("roota") < F.col("rootb")) & may_link(percent))
-    other = other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialize(verified(other.join(pairs, ["a", "b"], "left_anti"), sets, percent))
+    other = unlike_sharers(holds, roots, slim, percent)
+    more = verified(docs, materialize(other.join(pairs, ["a", "b"], "left_anti")), held, slim, size, percent)
+    for old in (holds, pairs, slim):
+        discard(old)
     if not more.isEmpty():
         roots = components(links.union(more))
     return rows, materialize(nodes.join(roots, "node", "left").select(F.col("node").alias("sig"), "rows", "one", F.coalesce("root", "node").alias("root")))

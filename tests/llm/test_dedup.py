@@ -140,6 +140,19 @@ def test_near_duplicates_around_an_original(spark):
     assert len({c for i, (_, c) in got.items() if i < 300}) < 30
 
 
+def test_slices_keep_every_link(spark, sf, monkeypatch):
+    docs = common.read(spark, sf, "documents").select("doc_id", "text")
+    whole = sorted(tuple(r) for r in near_dup.near_duplicates(docs, 3, 90).collect())
+    monkeypatch.setattr(near_dup, "SLICE_BYTES", 1 << 12)
+    monkeypatch.setattr(near_dup, "SLICES_MOST", 3)
+    kept = []
+    monkeypatch.setattr(near_dup, "materialize", lambda df: kept.append((set(df.columns), (out := common.materialize(df)).count())) or out)
+    assert sorted(tuple(r) for r in near_dup.near_duplicates(docs, 3, 90).collect()) == whole
+    # whole sets are written in slices, and only those that a pair needs whose sketches allow a link
+    sets, sketches = ([n for names, n in kept if name in names] for name in ("shingles", "sketch"))
+    assert len(sets) > 1 and len(sketches) == 1 and max(sets) < sketches[0]
+
+
 def test_empty_tables(none):
     assert exact_dedup(none).count() == 0
     assert line_dedup.apply_bitmaps(none, line_dedup.keep_bitmaps(none)).count() == 0
