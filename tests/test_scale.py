@@ -86,3 +86,10 @@ def test_a_bridge_may_have_a_low_degree(spark):
     links = [("x", "a"), ("x", "b")] + [(f"n{i}", f"m{k}") for i in range(510) for k in range(3)]
     members = spark.createDataFrame([("a", "A"), ("b", "B"), ("m0", "A"), ("m1", "A"), ("m2", "A")], "node string, community string")
     assert [r.id for r in analysis.bridge_candidates(_graph(spark, links), members).select("id").collect()] == ["x"]
+
+
+def test_equal_sums_of_weights_are_ranked_by_salience(spark):
+    nodes = spark.createDataFrame([("a", "Concept", None, None, None, "active", 0.1, 0.0, None), ("b", "Concept", None, None, None, "active", 0.9, 0.0, None)], NODE)
+    rows = [(f"{n}{i}", "LINK", n, f"x{i}", w, 1.0, 1) for n, ws in (("a", (0.1, 0.2, 0.3)), ("b", (0.6, 0.0, 0.0))) for i, w in enumerate(ws)]
+    got = Graph(nodes, spark.createDataFrame(rows, EDGE).coalesce(1)).top_by_degree(2)
+    assert [r.id for r in got.select("id").collect()] == ["b", "a"]
